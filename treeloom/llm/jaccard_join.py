@@ -33,21 +33,25 @@ from treeloom.llm.words import chunks, hash_words, mix64, sequence_key, shingle_
 
 SIZE_RATIO = 1.6
 COARSE_FRAGMENTS = 8
+#: Orders that are tried for a document whose shingles fall too unevenly, before a prefix filter.
+ORDERS = 4
 #: Ids of at most this many bytes are broadcast when texts are looked up again; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
 @lru_cache(maxsize=8)
 def size_classes(num: int, den: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first size, most differences, fragments) of each size class for similarity num/den."""
+    """(first size, most differences, fragments) of each size class for similarity num/den.
+
+    The fragments outnumber the differences and the empty fragments that a document of the class's least size may expect.
+    """
     first, most, cut, low = [], [], [], 1
     while low < top:
         nxt = int(low * SIZE_RATIO) + 1
         differ = (den - num) * (nxt - 1) // num
         parts = differ + 1
-        if differ:
-            while parts - differ < (e := parts * math.exp(-low / parts)) + 4 * math.sqrt(e) + 1 and parts < 4 * (differ + 1):
-                parts += 1 + differ // 500
+        while differ and parts < 2 * differ and parts - differ <= (e := parts * math.exp(-low / parts)) + 1.3 * math.sqrt(e):
+            parts += 1 + differ // 500
         first.append(low)
         most.append(differ)
         cut.append(parts)
@@ -91,27 +95,31 @@ def _segment_keys(owner, keys, sizes, num: int, den: int) -> tuple[np.ndarray, n
     own = np.searchsorted(first, sizes, side="right") - 1
     owners, out = [], []
     for back in (0, 1):
-        cls = own - back
+        cls = np.maximum(own - back, 0)
         # One class down only where a partner of that class can be similar.
-        use = (sizes > 0) & (cls >= 0)
+        use = (sizes > 0) & (own >= back)
         if back:
-            use &= den * (first[np.maximum(own, 0)] - 1) >= num * sizes
-        pick = use[owner]
-        o, k = owner[pick], keys[pick]
-        if not len(o):
-            continue
-        parts = cut[np.maximum(cls, 0)][o].astype(np.uint64)
-        part = ((k >> np.uint64(32)) * parts) >> np.uint64(32)
-        edge = np.ones(len(o), dtype=bool)
-        edge[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(edge)
-        label = mix64(part[at] * np.uint64(4099) + cls[o[at]].astype(np.uint64) + np.uint64(1))
-        owners.append(o[at])
-        out.append(mix64(np.add.reduceat(mix64(k), at) ^ label))
-        # Documents with too many empty fragments: the promise of a non-empty agreeing segment fails.
-        full = np.bincount(o[at], minlength=len(sizes))
-        lumpy = use & (most[np.maximum(cls, 0)] > 0) & (full <= most[np.maximum(cls, 0)])
-        for i in np.flatnonzero(lumpy).tolist():
+            use &= den * (first[own] - 1) >= num * sizes
+        for order in range(ORDERS):
+            pick = use[owner]
+            o, k = owner[pick], keys[pick]
+            if not len(o):
+                break
+            if order:
+                k = mix64(k ^ np.uint64(order))
+                by = np.lexsort((k, o))
+                o, k = o[by], k[by]
+            part = ((k >> np.uint64(32)) * cut[cls][o].astype(np.uint64)) >> np.uint64(32)
+            edge = np.ones(len(o), dtype=bool)
+            edge[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
+            at = np.flatnonzero(edge)
+            label = mix64(part[at] * np.uint64(4099) + (cls[o[at]] * ORDERS + order).astype(np.uint64) + np.uint64(1))
+            owners.append(o[at])
+            out.append(mix64(np.add.reduceat(mix64(k), at) ^ label))
+            # Where too many fragments are empty, two similar sets may agree on empty ones only; both then come here.
+            use &= np.bincount(o[at], minlength=len(sizes)) <= most[cls]
+            use &= most[cls] > 0
+        for i in np.flatnonzero(use).tolist():
             lo, hi = np.searchsorted(owner, [i, i + 1])
             prefix = keys[lo : lo + (hi - lo) - -(-(hi - lo) * num // den) + 1]
             owners.append(np.full(len(prefix), i))
@@ -185,10 +193,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, pieces: DataFrame, num: int, den
     return total.where(f"{den} * shared >= {num} * (a_size + b_size - shared)").select("a", "b").distinct()
 
 
+def _is_small(ids: DataFrame) -> bool:
+    return ids.count() * 16 <= BROADCAST_BYTES
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``ids``: broadcast if the ids are few, else a shuffled semi-join."""
-    few = ids.count() * 16 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if _is_small(ids) else ids, "doc_id", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -205,10 +216,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     reps = real.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("doc_id"))
     copies = real.join(reps.select("hi", "lo", F.col("doc_id").alias("b")), ["hi", "lo"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     reps = saved(reps, "representatives")
+    spare = saved(copies.select(F.col("a").alias("doc_id")).join(reps.select("doc_id"), "doc_id", "left_anti").distinct(), "copies")
+    # Copies stand in all buckets of their representative: to leave them out early saves rows, to leave them in costs none.
+    once = docs.join(F.broadcast(spare), "doc_id", "left_anti") if _is_small(spare) else docs
 
     bucket = Window.partitionBy("segment").orderBy("doc_id")
-    hubs = segments(docs, n, num, den).withColumn("hub", F.first("doc_id").over(bucket)).where("hub <> doc_id")
-    # Copies stand in all buckets of their representative, so representatives alone lose nothing; a hub is always one.
+    hubs = segments(once, n, num, den).withColumn("hub", F.first("doc_id").over(bucket)).where("hub <> doc_id")
+    # Representatives alone lose nothing; a hub is always one.
     members = saved(hubs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "members")
     starred = members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     ids = saved(members.select("doc_id").unionByName(members.select(F.col("hub").alias("doc_id"))).distinct(), "ids")
