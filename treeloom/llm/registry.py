@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from treeloom.llm import jaccard_join
+from treeloom.llm import bpe, jaccard_join, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.query,
+    "op6_byte_sharding": sharding.query,
+    "op7_token_counts": token_counts.query,
+    "op8_bpe_coding": bpe.query,
     "op10_ngram_jaccard_join": jaccard_join.query,
 }
 
 ORACLE_SQL = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
 }
