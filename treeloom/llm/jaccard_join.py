@@ -13,7 +13,7 @@ keys, and the order is cut into fragments:
 
 Equal sets are joined through their smallest id and never paired.  Within a bucket of equal segments, members are first
 compared with one hub; only members that the links found so far leave in different components are then compared with each
-other, so a group of near copies costs its size, and no link between components is lost.
+other, block of documents by block, so a group of near copies costs its size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ SIZE_RATIO = 1.6
 COARSE_FRAGMENTS = 8
 #: Orders that are tried for a document whose shingles fall too unevenly, before a prefix filter.
 ORDERS = 4
+#: Documents and shingles of a block.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 20
 #: Ids of at most this many bytes are broadcast when texts are looked up again; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -193,6 +195,58 @@ def _similar(pairs: DataFrame, sets: DataFrame, pieces: DataFrame, num: int, den
     return total.where(f"{den} * shared >= {num} * (a_size + b_size - shared)").select("a", "b").distinct()
 
 
+def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(block, doc_id, component, size, hi, lo): members of buckets in blocks of bounded size, neighbours together."""
+    docs = rows.groupBy("doc_id").agg(F.min("hub").alias("family"), F.min("component").alias("component")).join(sets, "doc_id")
+    families = docs.groupBy("family").agg(F.greatest(F.expr(f"ceil(count(*) / {BLOCK_DOCS})"), F.expr(f"ceil(sum(size) / {BLOCK_SHINGLES})")).alias("parts"))
+    # Salted by the set: a family of any size falls into blocks of about the bound.
+    return docs.join(families, "family").select(F.xxhash64("family", F.expr("pmod(xxhash64(hi, lo), parts)")).alias("block"), "doc_id", "component", "size", "hi", "lo")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets, within one fragment."""
+    n, both = len(left), [*left, *right]
+    out = np.zeros((n, len(right)), dtype=np.float32)
+    values, column = np.unique(np.concatenate(both), return_inverse=True)
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    for low in range(0, len(values), 2048):
+        use = (column >= low) & (column < low + 2048)
+        hot = np.zeros((len(both), min(2048, len(values) - low)), dtype=np.float32)
+        hot[row[use], column[use] - low] = 1
+        out += hot[:n] @ hot[n:].T
+    return out
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of similar sets in different components, one for each two components of a pair of blocks."""
+    blocks = saved(_blocks(rows, sets), "blocks")
+    seen = rows.select("segment", "doc_id").join(blocks.select("doc_id", "block"), "doc_id").select("segment", "block").distinct()
+    twice = seen.select("segment", F.col("block").alias("x")).join(seen.select("segment", F.col("block").alias("y")), "segment").where("x <= y").select("x", "y").distinct()
+    twice = saved(twice, "block-pairs")
+    loaded = blocks.join(pieces, ["hi", "lo"]).select("block", "doc_id", "component", "size", "fragment", "shingles")
+    sides = twice.select("x", "y", F.col("x").alias("block")).unionByName(twice.where("x <> y").select("x", "y", F.col("y").alias("block")))
+
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        x, y = (k.as_py() for k in key)
+        held: dict[int, dict[tuple, dict[int, np.ndarray]]] = {x: {}, y: {}}
+        for block, *doc, fragment, shingles in zip(*(table.column(c).to_pylist() for c in ("block", "doc_id", "component", "size", "fragment")), table.column("shingles"), strict=True):
+            held[block].setdefault(tuple(doc), {})[fragment] = shingles.values.to_numpy()
+        none = np.zeros(0, dtype=np.int64)
+        left, right = list(held[x]), list(held[y])
+        shared = np.zeros((len(left), len(right)), dtype=np.int64)
+        for f in range(COARSE_FRAGMENTS):  # each fragment by itself, summed for each pair
+            shared += _overlaps([held[x][d].get(f, none) for d in left], [held[y][d].get(f, none) for d in right]).astype(np.int64)
+        size = lambda docs: np.array([d[2] for d in docs], dtype=np.int64)
+        component = lambda docs: np.array([d[1] for d in docs], dtype=np.int64)
+        near = den * shared >= num * (size(left)[:, None] + size(right)[None, :] - shared)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, j in zip(*np.nonzero(near & (component(left)[:, None] != component(right)[None, :])), strict=True):
+            found.setdefault((left[i][1], right[j][1]), (left[i][0], right[j][0]))
+        return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()), "b": pa.array([b for _, b in found.values()], pa.int64())})
+
+    return saved(sides.join(loaded, "block").groupBy("x", "y").applyInArrow(link, "a long, b long"), "block-links")
+
+
 def _is_small(ids: DataFrame) -> bool:
     return ids.count() * 16 <= BROADCAST_BYTES
 
@@ -230,16 +284,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     near = saved(_similar(starred, reps, pieces, num, den), "near")
     first = connected_components(copies.unionByName(near))
 
-    # Members of one bucket that are still in different components.
-    rows = members.select("segment", "doc_id").unionByName(members.select("segment", F.col("hub").alias("doc_id")).distinct())
+    # Members of one bucket that are still in different components: compared block by block.
+    rows = members.select("segment", "doc_id", "hub").unionByName(members.select("segment", F.col("hub").alias("doc_id"), "hub").distinct())
     rows = rows.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = rows.join(reps.groupBy("doc_id").agg(F.min("size").alias("low"), F.max("size").alias("high")), "doc_id")
     split = rows.groupBy("segment").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("segment")
     rows = saved(rows.join(split, "segment", "left_semi"), "split")
-    left, right = (rows.select("segment", *(F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "low", "high"))) for x in "ab")
-    rest = left.join(right, "segment").where(f"a_component < b_component and {den} * a_high >= {num} * b_low and {den} * b_high >= {num} * a_low")
-    rest = rest.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
-    more = _similar(rest, reps, pieces, num, den)
+    more = _block_links(rows, reps, pieces, num, den)
     last = connected_components(more.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     out = sets.join(last, sets.doc_id == last.id, "left")
