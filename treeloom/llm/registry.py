@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from treeloom.llm import bpe, jaccard_join, quality_rules, sharding, token_counts
+from treeloom.llm import bpe, html_extraction, jaccard_join, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op5_html_extraction": html_extraction.query,
     "op6_byte_sharding": sharding.query,
     "op7_token_counts": token_counts.query,
     "op8_bpe_coding": bpe.query,
+    "op9_toxicity": toxicity.query,
     "op10_ngram_jaccard_join": jaccard_join.query,
 }
 
