@@ -30,7 +30,7 @@ LEAST_DOCS, LEAST_SHARE, LEAST_EVIDENCE = 4, 0.7, 12.0
 #: Words of at least these lengths may be off by one edit, or two.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Weights under this (words that merely look like a term) don't count.
-LEAST_WEIGHT = 3.5
+LEAST_WEIGHT = 4.4
 #: Weights of hits that are quoted or reported, and of hits beside an address; the window's reach in words.
 QUOTED, ADDRESSED, REACH = 0.35, 1.15, 6
 CACHED = 300_000
