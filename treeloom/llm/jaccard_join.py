@@ -296,6 +296,22 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     return out.select(sets.doc_id, F.col("size").alias("n_shingles"), F.coalesce("component", sets.doc_id).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` less all but the smallest doc_id of each group of linked documents.
+
+    Of rows that share a doc_id one stays; documents without words and rows with a null doc_id stay.
+    """
+    found = saved(jaccard_components(docs, n, num, den).select("doc_id", "component_id"), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(F.broadcast(gone) if _is_small(gone) else gone, "doc_id", "left_anti").select(docs.columns)
+    twice = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if not twice.limit(1).count():
+        return kept
+    shared = F.broadcast(twice) if _is_small(twice) else twice
+    one = kept.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(shared, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10_ngram_jaccard_join over the whole of ``documents``."""
     return jaccard_components(table(spark, sf_dir, "documents"))
