@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from treeloom.llm import bpe, decontamination, html_extraction, jaccard_join, quality_rules, sharding, token_counts, toxicity, url_rules
+from treeloom.llm import bpe, decontamination, html_extraction, jaccard_join, lm_scoring, quality_rules, sharding, token_counts, toxicity, url_rules
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_lm_scoring": lm_scoring.query,
     "op4_url_rules": url_rules.query,
     "op5_html_extraction": html_extraction.query,
     "op6_byte_sharding": sharding.query,
@@ -21,6 +22,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontamination": decontamination.ORACLE_SQL,
     "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op3_lm_scoring": lm_scoring.ORACLE_SQL,
     "op4_url_rules": url_rules.ORACLE_SQL,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
 }
