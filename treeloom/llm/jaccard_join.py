@@ -7,7 +7,8 @@ keys, and the order is cut into fragments:
    each size class the order is cut into more fragments than that, so that two similar sets agree wholly on at least
    one fragment that isn't empty.  Each document sends a key for each of its non-empty segments.  A document so lumpy
    that this cannot be promised also sends its shingles of a prefix filter.  Frequent shingles do no harm: whole
-   segments must agree.
+   segments must agree.  Sketches (size and hash of each of 64 fragments) bound the differences of a pair from below and
+   drop hopeless pairs before any set is moved.
 2. *Overlaps.*  The order is cut into a few coarse fragments.  For each candidate pair the overlap is counted in each
    fragment separately (a join on set and fragment) and summed per pair; the sum decides.
 
@@ -33,6 +34,8 @@ from treeloom.llm.words import chunks, hash_words, mix64, sequence_key, shingle_
 
 SIZE_RATIO = 1.6
 COARSE_FRAGMENTS = 8
+#: Fragments of a sketch.
+SKETCH = 64
 #: Orders that are tried for a document whose shingles fall too unevenly, before a prefix filter.
 ORDERS = 4
 #: Documents and shingles of a block.
@@ -165,8 +168,34 @@ def segments(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(_over_texts(emit), "segment long, doc_id long")
 
 
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, hi, lo, sketch): size and 16 bits of hash of each of SKETCH fine fragments, for lower bounds of differences."""
+
+    def emit(ids, texts):
+        owner, keys, sizes = sets_of(texts, n)
+        hi, lo = _set_ids(owner, keys, sizes)
+        part = owner * SKETCH + (keys >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+        count = np.bincount(part, minlength=len(texts) * SKETCH)
+        mark = np.zeros(len(texts) * SKETCH, dtype=np.uint64)
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        if len(at):
+            mark[part[at]] = np.add.reduceat(mix64(keys), at) >> np.uint64(48)
+        both = np.stack([np.minimum(count, 65535).astype(np.uint16), mark.astype(np.uint16)], axis=1).reshape(len(texts), -1)
+        data = pa.array([row.tobytes() for row in both], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi), pa.array(lo), data], ["doc_id", "hi", "lo", "sketch"])
+
+    return docs.mapInArrow(_over_texts(emit), "doc_id long, hi long, lo long, sketch binary")
+
+
+def _may_link(left: np.ndarray, right: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sketches (.., SKETCH, 2) allow a link: unlike fragments differ by their sizes' difference, and by 2 if those are equal."""
+    apart = np.abs(left[..., 0].astype(np.int64) - right[..., 0])
+    least = np.where(left[..., 1] == right[..., 1], apart, np.where(apart == 0, 2, apart)).sum(axis=-1)
+    return den * (a_size + b_size - least) >= num * (a_size + b_size + least)
+
+
 def coarse_segments(docs: DataFrame, n: int) -> DataFrame:
-    """(hi, lo, fragment, shingles) of each distinct set of ``docs``."""
+    """(hi, lo, fragment, shingles) of each row's set."""
 
     def emit(ids, texts):
         owner, keys, sizes = sets_of(texts, n)
@@ -178,29 +207,46 @@ def coarse_segments(docs: DataFrame, n: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(keys)).astype(np.int32)), pa.array(keys.view(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(hi[owner[at]]), pa.array(lo[owner[at]]), pa.array(part[at].astype(np.int32)), lists], ["hi", "lo", "fragment", "shingles"])
 
-    rows = docs.mapInArrow(_over_texts(emit), "hi long, lo long, fragment int, shingles array<long>")
-    return rows.dropDuplicates(["hi", "lo", "fragment"])
+    return docs.mapInArrow(_over_texts(emit), "hi long, lo long, fragment int, shingles array<long>")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar.  sets: (doc_id, size, hi, lo); pieces: coarse_segments()."""
-    side = lambda x: sets.select(*(F.col(c).alias(f"{x}{c}") for c in ("doc_id", "size", "hi", "lo")))
-    both = pairs.join(side("a_"), F.col("a") == F.col("a_doc_id")).join(side("b_"), F.col("b") == F.col("b_doc_id"))
+def _pieces(docs: DataFrame, ids: DataFrame, n: int, unique: bool) -> DataFrame:
+    """coarse_segments() of the texts of ``ids``, each set once."""
+    found = coarse_segments(_only(docs, ids), n)
+    return saved(found if unique else found.dropDuplicates(["hi", "lo", "fragment"]), "pieces")
+
+
+def _promising(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sizes and sketches allow a link, with sizes and identities.  sets: (doc_id, size, hi, lo, sketch)."""
+    side = lambda x: sets.select(*(F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "size", "hi", "lo", "sketch")))
+    both = pairs.join(side("a"), F.col("a") == F.col("a_doc_id")).join(side("b"), F.col("b") == F.col("b_doc_id"))
     alike = f"{den} * least(a_size, b_size) >= {num} * greatest(a_size, b_size) and not (a_hi = b_hi and a_lo = b_lo)"
-    both = both.where(alike).select("a", "b", "a_size", "b_size", "a_hi", "a_lo", "b_hi", "b_lo").distinct()
+    names = ["a", "b", "a_size", "b_size", "a_hi", "a_lo", "b_hi", "b_lo"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, SKETCH, 2) for c in ("a_sketch", "b_sketch"))
+            keep = _may_link(left, right, batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy(), num, den)
+            yield batch.select(names).filter(pa.array(keep))
+
+    return both.where(alike).select(*names, "a_sketch", "b_sketch").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _similar(pairs: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` (of _promising) whose sets are similar: overlaps by fragment, summed by pair."""
     left = pieces.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), "fragment", F.col("shingles").alias("left"))
     right = pieces.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), "fragment", F.col("shingles").alias("right"))
-    partial = both.join(left, ["a_hi", "a_lo"]).join(right, ["b_hi", "b_lo", "fragment"]).withColumn("shared", F.size(F.array_intersect("left", "right")))
+    partial = pairs.join(left, ["a_hi", "a_lo"]).join(right, ["b_hi", "b_lo", "fragment"]).withColumn("shared", F.size(F.array_intersect("left", "right")))
     total = partial.groupBy("a", "b", "a_hi", "a_lo", "b_hi", "b_lo", "a_size", "b_size").agg(F.sum("shared").alias("shared"))
     return total.where(f"{den} * shared >= {num} * (a_size + b_size - shared)").select("a", "b").distinct()
 
 
 def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(block, doc_id, component, size, hi, lo): members of buckets in blocks of bounded size, neighbours together."""
+    """(block, doc_id, component, size, hi, lo, sketch): members of buckets in blocks of bounded size, neighbours together."""
     docs = rows.groupBy("doc_id").agg(F.min("hub").alias("family"), F.min("component").alias("component")).join(sets, "doc_id")
     families = docs.groupBy("family").agg(F.greatest(F.expr(f"ceil(count(*) / {BLOCK_DOCS})"), F.expr(f"ceil(sum(size) / {BLOCK_SHINGLES})")).alias("parts"))
     # Salted by the set: a family of any size falls into blocks of about the bound.
-    return docs.join(families, "family").select(F.xxhash64("family", F.expr("pmod(xxhash64(hi, lo), parts)")).alias("block"), "doc_id", "component", "size", "hi", "lo")
+    return docs.join(families, "family").select(F.xxhash64("family", F.expr("pmod(xxhash64(hi, lo), parts)")).alias("block"), "doc_id", "component", "size", "hi", "lo", "sketch")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -217,19 +263,49 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
+def _block_pairs(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(x, y): blocks whose documents share a bucket."""
+    seen = rows.select("segment", "doc_id").join(blocks.select("doc_id", "block").distinct(), "doc_id").select("segment", "block").distinct()
+    return saved(seen.select("segment", F.col("block").alias("x")).join(seen.select("segment", F.col("block").alias("y")), "segment").where("x <= y").select("x", "y").distinct(), "block-pairs")
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select("x", "y", F.col("x").alias("block")).unionByName(pairs.where("x <> y").select("x", "y", F.col("y").alias("block")))
+
+
+def _likely(blocks: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, doc_id): documents with a partner of another component that sketches allow, by pair of blocks."""
+
+    def pick(key: tuple, table: pa.Table) -> pa.Table:
+        x, y = (k.as_py() for k in key)
+        block, doc, component, size = (table.column(c).to_numpy() for c in ("block", "doc_id", "component", "size"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, SKETCH, 2)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out: set[int] = set()
+        for i in left.tolist():
+            near = (component[right] != component[i]) & (den * np.minimum(size[right], size[i]) >= num * np.maximum(size[right], size[i]))
+            near = right[near]
+            near = near[_may_link(sketch[i][None], sketch[near], size[i], size[near], num, den)]
+            if len(near):
+                out.add(i)
+                out.update(near.tolist())
+        at = np.array(sorted(out), dtype=np.int64)
+        return pa.table({"x": pa.array(np.full(len(at), x)), "y": pa.array(np.full(len(at), y)), "doc_id": pa.array(doc[at])})
+
+    loaded = _sides(pairs).join(blocks.select("block", "doc_id", "component", "size", "sketch"), "block")
+    return saved(loaded.groupBy("x", "y").applyInArrow(pick, "x long, y long, doc_id long").distinct(), "likely")
+
+
+def _block_links(likely: DataFrame, blocks: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of similar sets in different components, one for each two components of a pair of blocks."""
-    blocks = saved(_blocks(rows, sets), "blocks")
-    seen = rows.select("segment", "doc_id").join(blocks.select("doc_id", "block"), "doc_id").select("segment", "block").distinct()
-    twice = seen.select("segment", F.col("block").alias("x")).join(seen.select("segment", F.col("block").alias("y")), "segment").where("x <= y").select("x", "y").distinct()
-    twice = saved(twice, "block-pairs")
-    loaded = blocks.join(pieces, ["hi", "lo"]).select("block", "doc_id", "component", "size", "fragment", "shingles")
-    sides = twice.select("x", "y", F.col("x").alias("block")).unionByName(twice.where("x <> y").select("x", "y", F.col("y").alias("block")))
+    loaded = likely.join(blocks.select("block", "doc_id", "component", "size", "hi", "lo"), "doc_id").where("block = x or block = y")
+    loaded = loaded.join(pieces, ["hi", "lo"]).select("x", "y", "block", "doc_id", "component", "size", "hi", "fragment", "shingles")
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
         x, y = (k.as_py() for k in key)
         held: dict[int, dict[tuple, dict[int, np.ndarray]]] = {x: {}, y: {}}
-        for block, *doc, fragment, shingles in zip(*(table.column(c).to_pylist() for c in ("block", "doc_id", "component", "size", "fragment")), table.column("shingles"), strict=True):
+        columns = (table.column(c).to_pylist() for c in ("block", "doc_id", "component", "size", "hi", "fragment"))
+        for block, *doc, fragment, shingles in zip(*columns, table.column("shingles"), strict=True):
             held[block].setdefault(tuple(doc), {})[fragment] = shingles.values.to_numpy()
         none = np.zeros(0, dtype=np.int64)
         left, right = list(held[x]), list(held[y])
@@ -244,7 +320,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, pieces: DataFrame, num: int,
             found.setdefault((left[i][1], right[j][1]), (left[i][0], right[j][0]))
         return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()), "b": pa.array([b for _, b in found.values()], pa.int64())})
 
-    return saved(sides.join(loaded, "block").groupBy("x", "y").applyInArrow(link, "a long, b long"), "block-links")
+    return saved(loaded.groupBy("x", "y").applyInArrow(link, "a long, b long"), "block-links")
 
 
 def _is_small(ids: DataFrame) -> bool:
@@ -280,8 +356,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     members = saved(hubs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "members")
     starred = members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     ids = saved(members.select("doc_id").unionByName(members.select(F.col("hub").alias("doc_id"))).distinct(), "ids")
-    pieces = saved(coarse_segments(_only(docs, ids), n), "pieces")
-    near = saved(_similar(starred, reps, pieces, num, den), "near")
+    drawn = sketches(_only(docs, ids), n).join(reps.select("hi", "lo", "size"), ["hi", "lo"]).select("doc_id", "size", "hi", "lo", "sketch")
+    drawn = saved(drawn.dropDuplicates(["doc_id", "hi", "lo"]), "sketches")
+    pairs = saved(_promising(starred, drawn, num, den), "pairs")
+    # Sets are in one row each unless ids repeat.
+    unique = not sets.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    near = saved(_similar(pairs, _pieces(docs, saved(wanted, "wanted"), n, unique), num, den), "near")
     first = connected_components(copies.unionByName(near))
 
     # Members of one bucket that are still in different components: compared block by block.
@@ -289,7 +370,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     rows = rows.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("segment").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("segment")
     rows = saved(rows.join(split, "segment", "left_semi"), "split")
-    more = _block_links(rows, reps, pieces, num, den)
+    blocks = saved(_blocks(rows, drawn), "blocks")
+    likely = _likely(blocks, _block_pairs(rows, blocks), num, den)
+    more = _block_links(likely, blocks, _pieces(docs, saved(likely.select("doc_id").distinct(), "wanted"), n, unique), num, den)
     last = connected_components(more.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     out = sets.join(last, sets.doc_id == last.id, "left")
