@@ -27,6 +27,8 @@ TRAIN_ROWS = 30_000
 LEXICON, STEMS = 4_000, (4, 5, 6, 7, 8)
 #: Evidence a term needs: documents, share of toxic ones, and documents times the log of its lift.
 LEAST_DOCS, LEAST_SHARE, LEAST_EVIDENCE = 4, 0.7, 12.0
+#: A term stays if this share of the toxic documents hold it, or this many that no more frequent term explains.
+OFTEN, LEAST_NEW = 0.02, 2
 #: Words of at least these lengths may be off by one edit, or two.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Weights under this (words that merely look like a term) don't count.
@@ -229,6 +231,40 @@ def _clean_counts(wanted: Broadcast):
     return run
 
 
+def _terms_held(wanted: Broadcast):
+    """mapInArrow function: for each toxic document, which of the ordered terms it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {t: i for i, t in enumerate(wanted.value)}
+        for batch in batches:
+            held = []
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if label:
+                    words = set(_WORD.findall((text.as_py() or "").lower()))
+                    held.append([place[t] for t in words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n} if t in place])
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], ["terms"])
+
+    return run
+
+
+def _needed(terms: list[str], count: dict[str, int], held: list[list[int]]) -> list[str]:
+    """Terms, the most frequent first, that many toxic documents hold or that explain some which no term before does.
+
+    Words that merely come along in copies of a toxic document explain none.
+    """
+    docs: list[set[int]] = [set() for _ in terms]
+    for d, found in enumerate(held):
+        for t in found:
+            docs[t].add(d)
+    covered, out = set[int](), []
+    for t, term in enumerate(terms):
+        if count[term] >= OFTEN * len(held) or len(docs[t] - covered) >= LEAST_NEW:
+            out.append(term)
+            covered |= docs[t]
+    return out
+
+
 def _hit_counts(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter()
@@ -277,6 +313,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         if share >= LEAST_SHARE and n_toxic * math.log(share / base) >= LEAST_EVIDENCE and not covered and not lone:
             terms.append(term)
     terms = sorted(terms, key=lambda t: (-able[t], t))[:LEXICON]
+    held = train.where("toxic = 1").mapInArrow(_terms_held(spark.sparkContext.broadcast(terms)), "terms array<int>").collect()  # at most about ``rows`` rows
+    terms = _needed(terms, able, [r.terms for r in held])
     shared = spark.sparkContext.broadcast(Model(terms))
     hits = train.mapInArrow(_hit_counts(shared), "term int, edits int, toxic int, n long").groupBy("term", "edits", "toxic").agg(F.sum("n").alias("n")).collect()  # bounded by the lexicon
     seen = {(r.term, r.edits, r.toxic): r.n for r in hits}
