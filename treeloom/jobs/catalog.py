@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.jobs import mapping, review, selection, star
+from treeloom.jobs import extras, mapping, review, selection, star
 
-QUERIES = mapping.QUERIES | selection.QUERIES | review.QUERIES | star.QUERIES
-ORACLE_SQL = mapping.ORACLE | selection.ORACLE | review.ORACLE | star.ORACLE
+QUERIES = mapping.QUERIES | selection.QUERIES | review.QUERIES | extras.QUERIES | star.QUERIES
+ORACLE_SQL = mapping.ORACLE | selection.ORACLE | review.ORACLE | extras.ORACLE | star.ORACLE
