@@ -39,7 +39,7 @@ SKETCH = 64
 #: Orders that are tried for a document whose shingles fall too unevenly, before a prefix filter.
 ORDERS = 4
 #: Documents and shingles of a block.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 4 << 20
 #: Ids of at most this many bytes are broadcast when texts are looked up again; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -241,12 +241,18 @@ def _similar(pairs: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFra
     return total.where(f"{den} * shared >= {num} * (a_size + b_size - shared)").select("a", "b").distinct()
 
 
-def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(block, doc_id, component, size, hi, lo, sketch): members of buckets in blocks of bounded size, neighbours together."""
-    docs = rows.groupBy("doc_id").agg(F.min("hub").alias("family"), F.min("component").alias("component")).join(sets, "doc_id")
-    families = docs.groupBy("family").agg(F.greatest(F.expr(f"ceil(count(*) / {BLOCK_DOCS})"), F.expr(f"ceil(sum(size) / {BLOCK_SHINGLES})")).alias("parts"))
+def _blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, doc_id, component, size, hi, lo, sketch): members of buckets in blocks of bounded size, neighbours of like size together."""
+    # The least hub of the buckets' least hubs: what shares buckets mostly shares a family.
+    own = rows.groupBy("doc_id").agg(F.min("hub").alias("family"), F.min("component").alias("component"))
+    wide = rows.select("segment", "doc_id").join(own.select("doc_id", "family"), "doc_id").groupBy("segment").agg(F.min("family").alias("family"))
+    family = rows.select("segment", "doc_id").join(wide, "segment").groupBy("doc_id").agg(F.min("family").alias("family"))
+    docs = own.drop("family").join(family, "doc_id").join(sets, "doc_id").withColumn("step", F.floor(F.log("size") / math.log(den / num)))
+    parts = F.greatest(F.expr(f"ceil(count(*) / {BLOCK_DOCS})"), F.expr(f"ceil(sum(size) / {BLOCK_SHINGLES})"))
+    families = docs.groupBy("family", "step").agg(parts.alias("parts"))
     # Salted by the set: a family of any size falls into blocks of about the bound.
-    return docs.join(families, "family").select(F.xxhash64("family", F.expr("pmod(xxhash64(hi, lo), parts)")).alias("block"), "doc_id", "component", "size", "hi", "lo", "sketch")
+    block = F.xxhash64("family", "step", F.expr("pmod(xxhash64(hi, lo), parts)"))
+    return docs.join(families, ["family", "step"]).select(block.alias("block"), "doc_id", "component", "size", "hi", "lo", "sketch")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -263,10 +269,14 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_pairs(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(x, y): blocks whose documents share a bucket."""
+def _block_pairs(rows: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y): blocks whose documents share a bucket, are of like size, and aren't all of one component."""
     seen = rows.select("segment", "doc_id").join(blocks.select("doc_id", "block").distinct(), "doc_id").select("segment", "block").distinct()
-    return saved(seen.select("segment", F.col("block").alias("x")).join(seen.select("segment", F.col("block").alias("y")), "segment").where("x <= y").select("x", "y").distinct(), "block-pairs")
+    pairs = seen.select("segment", F.col("block").alias("x")).join(seen.select("segment", F.col("block").alias("y")), "segment").where("x <= y").select("x", "y").distinct()
+    span = blocks.groupBy("block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("component").alias("first"), F.max("component").alias("last"))
+    side = lambda c: span.select(F.col("block").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("low", "high", "first", "last")))
+    fits = f"{den} * x_high >= {num} * y_low and {den} * y_high >= {num} * x_low and not (x_first = x_last and y_first = y_last and x_first = y_first)"
+    return saved(pairs.join(side("x"), "x").join(side("y"), "y").where(fits).select("x", "y"), "block-pairs")
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
@@ -370,8 +380,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     rows = rows.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("segment").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("segment")
     rows = saved(rows.join(split, "segment", "left_semi"), "split")
-    blocks = saved(_blocks(rows, drawn), "blocks")
-    likely = _likely(blocks, _block_pairs(rows, blocks), num, den)
+    blocks = saved(_blocks(rows, drawn, num, den), "blocks")
+    likely = _likely(blocks, _block_pairs(rows, blocks, num, den), num, den)
     more = _block_links(likely, blocks, _pieces(docs, saved(likely.select("doc_id").distinct(), "wanted"), n, unique), num, den)
     last = connected_components(more.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
