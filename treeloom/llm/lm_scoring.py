@@ -91,10 +91,11 @@ def _requests(bits: int, buckets: int):
     def blocks(part: int, texts: list[str | None]) -> Iterator[tuple]:
         for n, keys in enumerate(_explode(texts, bits)[0], 1):
             keys, counts = _distinct(keys)
-            edges = np.searchsorted(keys, [np.uint64((b << bits) // buckets) for b in range(1, buckets)])
+            lows = [np.uint64((b << bits) // buckets) for b in range(buckets)]
+            edges = np.searchsorted(keys, lows[1:])
             for b, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(keys)], strict=True)):
-                if hi > lo:
-                    yield (part, n, b, *_pack(keys[lo:hi]), *_pack_counts(counts[lo:hi]))
+                if hi > lo:  # keys count from the bucket's least, so that the first step is no wider than others
+                    yield (part, n, b, *_pack(keys[lo:hi] - lows[b]), *_pack_counts(counts[lo:hi]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[str | None]] = {}
