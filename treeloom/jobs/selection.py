@@ -205,11 +205,17 @@ def span_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CASE WHEN strlen(text) <= {TRIM_BYTES} THEN text ELSE substr(text, 1, {TRIM_BYTES // 2}) || chr(10) || '... [cut ' || (strlen(text) - {TRIM_BYTES}) || ' bytes] ...' || chr(10) || substr(text, length(text) - {TRIM_BYTES // 2} + 1) END AS content FROM documents WHERE strlen(text) = length(text)")
 def trim_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole table; rows of one-byte characters, which the SQL can cut by bytes."""
+    """Rows of one-byte characters only, which the SQL can cut by bytes; trim_content_full takes all rows."""
     docs = table(spark, sf_dir, "documents").where("octet_length(text) = length(text)")
     return docs.select("doc_id", trimmed("text", TRIM_BYTES).alias("content"))
 
 
+@query(None)
+def trim_content_full(spark: SparkSession, sf_dir: str, limit: int = N.FILE_BYTES) -> DataFrame:
+    """Every document at the reference's limit; no SQL, since DuckDB doesn't cut text by bytes."""
+    return table(spark, sf_dir, "documents").select("doc_id", trimmed("text", limit).alias("content"))
+
+
 @query(f"""WITH s AS (SELECT source, doc_id, least(strlen(text), {TRIM_BYTES}) + 40 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
 u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY doc_id) + 100 + length(k::VARCHAR) AS total FROM s), m AS (SELECT source, max(k) AS keep FROM u WHERE total <= {PROMPT_BYTES} GROUP BY source)
 SELECT source, doc_id, k::BIGINT AS k, total::BIGINT AS total FROM u JOIN m USING (source) WHERE k <= keep""")
