@@ -1,8 +1,10 @@
 """The queries over whole texts and at the reference's limits, where their namesakes stay with cut texts or small limits."""
 
+import re
+
 import pytest
 
-from treeloom.jobs import selection
+from treeloom.jobs import extras, selection
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +29,10 @@ def test_trim_of_the_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = {r.doc_id: r.content for r in selection.trim_content_full(spark, SF, 1000).collect()}
     assert got == {i: cut(t, 1000) for i, t in docs.items()} and len(got) > selection.trim_content(spark, SF).count()
+
+
+def test_redact_goes_through_whole_texts(spark, tmp_path):
+    texts = ["The a THE " * 500, "é" * 300 + " the end", "x" * 199 + "the", "none", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in extras.redact_root_full(spark, str(tmp_path)).collect()}
+    assert got == {i: t and re.sub("(?i)the", "<repository>", t) for i, t in enumerate(texts)}

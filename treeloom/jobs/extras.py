@@ -112,6 +112,12 @@ def redact_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), "(?i)\\Qthe\\E", "<repository>").alias("text"))
 
 
+@query("SELECT doc_id, regexp_replace(text, '(?i)the', '<repository>', 'g') AS text FROM documents")
+def redact_root_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of every text, where redact_root and its SQL take the first 200 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "(?i)\\Qthe\\E", "<repository>").alias("text"))
+
+
 @query("SELECT doc_id, strlen(text) > 16384 OR len(string_split(text, chr(10))) > 40 AS large_paste, strlen(text) > 131072 AS large_prompt FROM documents")
 def size_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("text")
