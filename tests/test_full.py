@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from treeloom.jobs import extras, selection
+from tests.oracle import assert_same, connect
+from treeloom.jobs import extras, review, selection
+from treeloom.jobs.catalog import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +38,33 @@ def test_redact_goes_through_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in extras.redact_root_full(spark, str(tmp_path)).collect()}
     assert got == {i: t and re.sub("(?i)the", "<repository>", t) for i, t in enumerate(texts)}
+
+
+def tables(spark, folder, texts):
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    turns = [(i // 2, i % 2, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return connect(str(folder))
+
+
+LONG = ["first line, and FILE: deep/x.go, then\nmore " + "wörds " * 40 + "(FILE:y.py).\nlast line", "short", "a\n\nb\n" + "z" * 500, "", "tail\n"]
+
+
+def test_whole_turns_in_prompts_and_handoffs(spark, tmp_path):
+    con, sf = tables(spark, tmp_path, LONG), str(tmp_path)
+    prompts = {r.conv_id: r.prompt for r in review.assemble_prompts_full(spark, sf).collect()}
+    assert prompts == {0: f"user: {LONG[0]}\nuser: {LONG[1]}", 1: f"user: {LONG[2]}\nuser: ", 2: f"user: {LONG[4]}"}
+    bodies = {(r.conv_id, r.turn): r.body for r in extras.handoff_parse_full(spark, sf).collect()}
+    assert bodies == {(i // 2, i % 2): t for i, t in enumerate(LONG)}
+    assert_same(review.assemble_prompts_full(spark, sf), con, ORACLE_SQL["assemble_prompts_full"])
+    assert_same(extras.handoff_parse_full(spark, sf), con, ORACLE_SQL["handoff_parse_full"])
+
+
+def test_whole_texts_in_write_plans_and_selectors(spark, tmp_path):
+    con, sf = tables(spark, tmp_path, LONG), str(tmp_path)
+    written = {r.doc_id: r.content for r in review.write_plan_full(spark, sf).where("block = 1").collect()}
+    assert written == dict(enumerate(LONG))
+    paths = [r.sel_path for r in selection.embedded_selectors_full(spark, sf).where("doc_id = 0").orderBy("pos").collect()]
+    assert paths == ["deep/x.go, then\nmore " + "wörds " * 40 + "(", "y.py).\nlast line", "src1/a.go, and", "en/b.py); xFILE:no (", "c.ts"]
+    assert_same(review.write_plan_full(spark, sf), con, ORACLE_SQL["write_plan_full"])
+    assert_same(selection.embedded_selectors_full(spark, sf), con, ORACLE_SQL["embedded_selectors_full"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import classify as C
@@ -159,12 +159,25 @@ def workspace_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("members"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, '--- Handoff: ' || CASE turn % 3 WHEN 0 THEN 'review' WHEN 1 THEN 'design' ELSE 'other' END || ' ---' || chr(10) || substring(text, 1, 40) AS h FROM conversations)
-SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'review' WHEN 1 THEN 'design' END AS mode, CASE WHEN turn % 3 < 2 THEN substring(h, strpos(h, chr(10)) + 1) END AS body FROM t""")
-def handoff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mode and body of framed hand-overs; unknown modes give nulls."""
+def _handoffs(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     mode = F.expr("case turn % 3 when 0 then 'review' when 1 then 'design' else 'other' end")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("--- Handoff: "), mode, F.lit(" ---\n"), F.substring("text", 1, 40)).alias("h"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("--- Handoff: "), mode, F.lit(" ---\n"), text).alias("h"))
     pattern = r"(?s)^--- Handoff: (review|design|handoff) ---\n(.*)$"
     fits = F.col("h").rlike(pattern)
     return rows.select("conv_id", "turn", F.when(fits, F.regexp_extract("h", pattern, 1)).alias("mode"), F.when(fits, F.regexp_extract("h", pattern, 2)).alias("body"))
+
+
+_HANDOFF = """WITH t AS (SELECT conv_id, turn, '--- Handoff: ' || CASE turn % 3 WHEN 0 THEN 'review' WHEN 1 THEN 'design' ELSE 'other' END || ' ---' || chr(10) || {0} AS h FROM conversations)
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'review' WHEN 1 THEN 'design' END AS mode, CASE WHEN turn % 3 < 2 THEN substring(h, strpos(h, chr(10)) + 1) END AS body FROM t"""
+
+
+@query(_HANDOFF.format("substring(text, 1, 40)"))
+def handoff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode and body of framed hand-overs; unknown modes give nulls."""
+    return _handoffs(spark, sf_dir, F.substring("text", 1, 40))
+
+
+@query(_HANDOFF.format("text"))
+def handoff_parse_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole bodies."""
+    return _handoffs(spark, sf_dir, F.col("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import classify as C
@@ -134,19 +134,34 @@ def completion_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A response for each document: one file written, one deleted, one bad path, for some a block without an end.
-_RESPONSE = "concat('Note', chr(10), '--- File: src/', source, '.md ---', chr(10), substring(text, 1, 60), chr(10), '--- End File ---', chr(10), '--- Delete File: old/', lang, ' ---', chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('--- File: ../up ---', chr(10), 'x', chr(10), '--- End File ---') ELSE '--- File: tail.txt ---' END)"
+_RESPONSE = "concat('Note', chr(10), '--- File: src/', source, '.md ---', chr(10), {0}, chr(10), '--- End File ---', chr(10), '--- Delete File: old/', lang, ' ---', chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('--- File: ../up ---', chr(10), 'x', chr(10), '--- End File ---') ELSE '--- File: tail.txt ---' END)"
+_RESPONSE_CUT, _RESPONSE_FULL = _RESPONSE.format("substring(text, 1, 60)"), _RESPONSE.format("text")
 
 
-@query(rf"""WITH d AS (SELECT doc_id, string_split({_RESPONSE}, chr(10)) AS l FROM documents), x AS (SELECT doc_id, i - 1 AS ln, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+def _plan_sql(response: str) -> str:
+    return rf"""WITH d AS (SELECT doc_id, string_split({response}, chr(10)) AS l FROM documents), x AS (SELECT doc_id, i - 1 AS ln, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
 m AS (SELECT *, nullif(regexp_extract(line, '^--- File: (.+) ---$', 1), '') AS w, nullif(regexp_extract(line, '^--- Delete File: (.+) ---$', 1), '') AS r FROM x), b AS (SELECT *, count(coalesce(w, r)) OVER (PARTITION BY doc_id ORDER BY ln) AS block FROM m),
 g AS (SELECT doc_id, block, max(CASE WHEN w IS NOT NULL THEN 'write' WHEN r IS NOT NULL THEN 'delete' END) AS op, max(coalesce(w, r)) AS target, min(ln) FILTER (WHERE line = '--- End File ---') AS e, min(ln) FILTER (WHERE coalesce(w, r) IS NOT NULL) AS s FROM b WHERE block > 0 GROUP BY ALL)
 SELECT doc_id, block::BIGINT AS block, op, target, CASE WHEN op = 'write' AND e IS NOT NULL THEN coalesce((SELECT string_agg(line, chr(10) ORDER BY ln) FROM x WHERE x.doc_id = g.doc_id AND x.ln > g.s AND x.ln < g.e), '') WHEN op = 'write' THEN '' END AS content,
-  CASE WHEN op = 'write' AND e IS NULL THEN 'unterminated' WHEN regexp_matches(target, '(^|[/\\])[.][.]([/\\]|$)') THEN 'outside' END AS error FROM g""")
-def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.expr(_RESPONSE), "\n")).alias("ln", "line"))
+  CASE WHEN op = 'write' AND e IS NULL THEN 'unterminated' WHEN regexp_matches(target, '(^|[/\\])[.][.]([/\\]|$)') THEN 'outside' END AS error FROM g"""
+
+
+def _plans(spark: SparkSession, sf_dir: str, response: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.expr(response), "\n")).alias("ln", "line"))
     return R.write_plan(rows, ["doc_id"]).select("doc_id", "block", "op", "target", "content", "error")
 
 
+@query(_plan_sql(_RESPONSE_CUT))
+def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plans(spark, sf_dir, _RESPONSE_CUT)
+
+
+@query(_plan_sql(_RESPONSE_FULL))
+def write_plan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole texts in the blocks."""
+    return _plans(spark, sf_dir, _RESPONSE_FULL)
+
+
 _INDENTED = "CASE WHEN (doc_id + ln) % 4 = 0 THEN concat(chr(9), line) WHEN (doc_id + ln) % 4 = 1 THEN concat(repeat(' ', CAST(2 + doc_id % 2 * 2 AS int)), line) WHEN (doc_id + ln) % 4 = 2 THEN concat('    ', line) ELSE line END"
 
 
@@ -245,8 +260,21 @@ def release_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(issue.alias("issue")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
-@query("SELECT conv_id, count(*)::BIGINT AS turns, string_agg(role || ': ' || substring(text, 1, 30), chr(10) ORDER BY turn) AS prompt, sum(strlen(text))::BIGINT AS size FROM conversations GROUP BY conv_id")
-def assemble_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's turns joined in order."""
-    turns = table(spark, sf_dir, "conversations").withColumn("part", F.concat("role", F.lit(": "), F.substring("text", 1, 30)))
+_PROMPT_SQL = "SELECT conv_id, count(*)::BIGINT AS turns, string_agg(role || ': ' || {0}, chr(10) ORDER BY turn) AS prompt, sum(strlen(text))::BIGINT AS size FROM conversations GROUP BY conv_id"
+
+
+def _prompts(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("part", F.concat("role", F.lit(": "), text))
     return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), joined("part", "turn", "\n").alias("prompt"), F.sum(F.octet_length("text")).alias("size"))
+
+
+@query(_PROMPT_SQL.format("substring(text, 1, 30)"))
+def assemble_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 30 characters of a conversation's turns joined in order."""
+    return _prompts(spark, sf_dir, F.substring("text", 1, 30))
+
+
+@query(_PROMPT_SQL.format("text"))
+def assemble_prompts_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's whole turns joined in order."""
+    return _prompts(spark, sf_dir, F.col("text"))

@@ -60,14 +60,29 @@ def strict_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy("req_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("code") == "ok").alias("n_ok"), F.bool_and(F.col("code").isin("ok", "blank")).alias("accepted"))
 
 
-_EMBEDDED_LINE = "concat(substring(text, 1, 15), ' FILE: ', source, '/a.go, and file:', lang, '/b.py); xFILE:no', CASE WHEN doc_id % 2 = 0 THEN ' (FILE:c.ts]' ELSE '' END)"
+_EMBEDDED_LINE = "concat({0}, ' FILE: ', source, '/a.go, and file:', lang, '/b.py); xFILE:no', CASE WHEN doc_id % 2 = 0 THEN ' (FILE:c.ts]' ELSE '' END)"
+_EMBEDDED_CUT, _EMBEDDED_FULL = _EMBEDDED_LINE.format("substring(text, 1, 15)"), _EMBEDDED_LINE.format("text")
 
 
-@query(rf"""WITH l AS (SELECT doc_id, {_EMBEDDED_LINE} AS line FROM documents), m AS (SELECT doc_id, regexp_replace(line, '(?i)(^|[^\pL\p{{Nd}}_])FILE:', '\1' || chr(1), 'g') AS line FROM l),
+def _embedded_sql(line: str) -> str:
+    return rf"""WITH l AS (SELECT doc_id, {line} AS line FROM documents), m AS (SELECT doc_id, regexp_replace(line, '(?i)(^|[^\pL\p{{Nd}}_])FILE:', '\1' || chr(1), 'g') AS line FROM l),
 p AS (SELECT doc_id, list_filter(list_transform(string_split(line, chr(1))[2:], lambda x: regexp_replace(regexp_replace(x, '^[ \t]+', ''), '[ \t\r\n.,;:)\]}}]+$', '')), lambda x: x <> '') AS paths, len(string_split(line, chr(1))) AS n FROM m)
-SELECT doc_id, pos::BIGINT - 1 AS pos, paths[pos] AS sel_path FROM (SELECT doc_id, paths, unnest(range(1, len(paths) + 1)) AS pos FROM p WHERE n >= 3)""".replace("([^\\pL", "([^\\pL"))
+SELECT doc_id, pos::BIGINT - 1 AS pos, paths[pos] AS sel_path FROM (SELECT doc_id, paths, unnest(range(1, len(paths) + 1)) AS pos FROM p WHERE n >= 3)""".replace("([^\\pL", "([^\\pL")
+
+
+def _embedded(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
+    return S.embedded(table(spark, sf_dir, "documents").select("doc_id", F.expr(line).alias("line"))).select("doc_id", "pos", "sel_path")
+
+
+@query(_embedded_sql(_EMBEDDED_CUT))
 def embedded_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.embedded(table(spark, sf_dir, "documents").select("doc_id", F.expr(_EMBEDDED_LINE).alias("line"))).select("doc_id", "pos", "sel_path")
+    return _embedded(spark, sf_dir, _EMBEDDED_CUT)
+
+
+@query(_embedded_sql(_EMBEDDED_FULL))
+def embedded_selectors_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the whole text before the selectors."""
+    return _embedded(spark, sf_dir, _EMBEDDED_FULL)
 
 
 @query(f"WITH {FILES}, {_PARSED} SELECT req_id, seq, sel_path, sel_path IN (SELECT path FROM files) AS found FROM parsed WHERE code = 'ok'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeloom.functions import names as N
 
 _LINE = r"(?i)^(FILE|PREFIX|NEAR):([^#]*)(?:#(.*))?$"
-_EMBEDDED = r"(?i)(?<![\p{L}\p{Nd}_])FILE:(.*?)(?=(?<![\p{L}\p{Nd}_])FILE:|$)"
+_EMBEDDED = r"(?is)(?<![\p{L}\p{Nd}_])FILE:(.*?)(?=(?<![\p{L}\p{Nd}_])FILE:|$)"
 
 
 def trim(text: Column) -> Column:
