@@ -353,3 +353,14 @@ def test_pipeline_stage_by_stage(spark):
             assert left == set(before) - found
         docs = after
     assert left == set(before)
+
+
+def test_scores_keep_apart_keys_that_share_their_high_half(spark):
+    names = [b"w%d" % i for i in range(400_000)]
+    high = hash_words([b" ".join(names)]).keys >> np.uint64(32)
+    order = np.argsort(high, kind="stable")
+    same = np.flatnonzero(np.diff(high[order]) == 0)
+    assert len(same)
+    pairs = [(names[order[i]].decode(), names[order[i + 1]].decode()) for i in same]
+    docs = spark.createDataFrame(list(enumerate(x for pair in pairs for x in pair)), "doc_id long, text string")
+    assert {(r.n_unigrams, r.n_unseen) for r in lm_scoring.lm_scores(docs).collect()} == {(0, 1)}

@@ -11,7 +11,7 @@ Rows are packed, since a corpus has about as many different n-grams as words:
 3. Each part explodes its texts again, joins the n-grams to the totals that came back, takes the document's own counts off,
    and sums up.
 
-Keys have at least 22 bits more than the number of words calls for, and at most 64.
+Keys have all 64 bits, zero included, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -31,20 +31,20 @@ ORDER, ALPHA = 3, 0.4
 PART_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
 
 
-def _explode(texts: list[str | None], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of the n-grams that end at each word, for each n (0 where a document's start is nearer), and words before each document."""
-    runs, counts = [[] for _ in range(ORDER)], [np.zeros(1, dtype=np.int64)]
+def _explode(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each n, keys of the n-grams and the words that they end at (none where a document's start is nearer), and words before each document."""
+    runs, counts, before = [[] for _ in range(ORDER)], [np.zeros(1, dtype=np.int64)], 0
     for _, run in chunks(texts):
         words = hash_words(run, lower=True)
         counts.append(words.counts())
         for n in range(1, ORDER + 1):
             keys, bounds = (words.keys, words.first) if n == 1 else shingle_keys(words, n)
-            out = np.zeros(len(words.keys), dtype=np.uint64)
             per = np.diff(bounds)
             at = np.repeat(words.first[:-1] + n - 1 - bounds[:-1], per) + np.arange(len(keys))
-            out[at] = (keys >> np.uint64(64 - bits)) | np.uint64(1)  # 0 is free
-            runs[n - 1].append(out)
-    return [np.concatenate([np.zeros(0, dtype=np.uint64), *r]) for r in runs], np.cumsum(np.concatenate(counts))
+            runs[n - 1].append((keys, at + before))
+        before += len(words.keys)
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return [tuple(map(np.concatenate, zip(none, *r, strict=True))) for r in runs], np.cumsum(np.concatenate(counts))
 
 
 def _pack(keys: np.ndarray) -> tuple[int, bytes]:
@@ -71,11 +71,6 @@ def _unpack_counts(small: bytes, large: bytes) -> np.ndarray:
     return out
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.unique(keys, return_counts=True)
-    return (keys[1:], counts[1:]) if len(keys) and not keys[0] else (keys, counts)
-
-
 _BLOCK = "part long, n int, bucket long, width int, keys binary, small binary, large binary"
 _BLOCK_NAMES = ["part", "n", "bucket", "width", "keys", "small", "large"]
 
@@ -85,13 +80,13 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], _BLOCK_NAMES)
 
 
-def _requests(bits: int, buckets: int):
+def _requests(buckets: int):
     """mapInArrow function (part, text) -> blocks of distinct keys."""
 
     def blocks(part: int, texts: list[str | None]) -> Iterator[tuple]:
-        for n, keys in enumerate(_explode(texts, bits)[0], 1):
-            keys, counts = _distinct(keys)
-            lows = [np.uint64((b << bits) // buckets) for b in range(buckets)]
+        for n, (keys, _) in enumerate(_explode(texts)[0], 1):
+            keys, counts = np.unique(keys, return_counts=True)
+            lows = [np.uint64((b << 64) // buckets) for b in range(buckets)]
             edges = np.searchsorted(keys, lows[1:])
             for b, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(keys)], strict=True)):
                 if hi > lo:  # keys count from the bucket's least, so that the first step is no wider than others
@@ -125,24 +120,24 @@ def _totals(table: pa.Table) -> pa.Table:
     return _table([(r["part"], r["n"], r["bucket"], 0, b"", *_pack_counts(t)) for r, t in zip(rows, np.split(total, cuts), strict=True)])
 
 
-def _scores(texts: list[str | None], totals: list[np.ndarray], bits: int, corpus_words: int) -> list[np.ndarray]:
+def _scores(texts: list[str | None], totals: list[np.ndarray], corpus_words: int) -> list[np.ndarray]:
     """For each text: words, sum of log scores, and words scored at each level (3 words, 2, 1, unseen)."""
-    grams, first = _explode(texts, bits)
+    grams, first = _explode(texts)
     size = int(first[-1])
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     others = []
-    for n in range(ORDER):
-        keys = _distinct(grams[n])[0]
-        if len(keys) != len(totals[n]):
+    for (keys, ends), counts in zip(grams, totals, strict=True):
+        at = np.searchsorted(distinct := np.unique(keys), keys)
+        if len(distinct) != len(counts):
             raise ValueError("a part was read in two ways")
-        at = np.searchsorted(keys, grams[n])
-        at[grams[n] == 0] = 0
-        total = np.where(grams[n] > 0, totals[n][at] if len(keys) else 0, 0)
+        total = counts[at]
         # The document's own count, where the total leaves room for others.
-        own, use = np.ones(size, dtype=np.int64), np.flatnonzero(total > 1)
-        _, back, times = np.unique(owner[use] * np.int64(max(len(keys), 1)) + at[use], return_inverse=True, return_counts=True)
+        own, use = np.ones(len(total), dtype=np.int64), np.flatnonzero(total > 1)
+        _, back, times = np.unique(owner[ends[use]] * np.int64(max(len(distinct), 1)) + at[use], return_inverse=True, return_counts=True)
         own[use] = times[back]
-        others.append(np.maximum(total - own, 0))
+        other = np.zeros(size, dtype=np.int64)
+        other[ends] = total - own
+        others.append(other)
     one, two, three = others
     before = lambda x: np.concatenate([np.zeros(min(1, size), dtype=np.int64), x[:-1]])
     reach = np.minimum(np.arange(size) - first[owner], ORDER - 1)  # words of history
@@ -174,21 +169,20 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     corpus_words, n_bytes = _size(docs.select("text"))
-    bits = min(64, max(32, corpus_words.bit_length() + 22))
     buckets = max(4, -(-corpus_words * 8 // BUCKET_BYTES))
     split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     split = _split_of(docs)
     # A split of compressed columns holds about twice its bytes of text; frames without splits are cut by hash alone.
     parts = max(1, -(-2 * split_bytes // PART_BYTES)) if split else max(1, -(-n_bytes // PART_BYTES))
     rows = docs.select(F.xxhash64(*split, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).alias("part"), "doc_id", "text")
-    asked = (rows if split else rows.repartition("part")).select("part", "text").mapInArrow(_requests(bits, buckets), _BLOCK)
+    asked = (rows if split else rows.repartition("part")).select("part", "text").mapInArrow(_requests(buckets), _BLOCK)
     answered = asked.groupBy("n", "bucket").applyInArrow(_totals, _BLOCK)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = sorted(right.to_pylist(), key=lambda r: (r["n"], r["bucket"]))
         totals = [np.concatenate([np.zeros(0, dtype=np.int64), *[_unpack_counts(r["small"], r["large"]) for r in answers if r["n"] == n]]) for n in range(1, ORDER + 1)]
-        count, logs, *levels = _scores(left.column("text").to_pylist(), totals, bits, corpus_words)
+        count, logs, *levels = _scores(left.column("text").to_pylist(), totals, corpus_words)
         return pa.table([left.column("doc_id"), pa.array(count), pa.array(logs), *[pa.array(x.astype(np.int64)) for x in levels]], ["doc_id", "n_words", "log_score", "n_trigrams", "n_bigrams", "n_unigrams", "n_unseen"])
 
     out = rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(score, f"doc_id {id_type}, n_words long, log_score double, n_trigrams long, n_bigrams long, n_unigrams long, n_unseen long")
