@@ -5,8 +5,10 @@ import re
 import pytest
 
 from tests.oracle import assert_same, connect
-from treeloom.jobs import extras, review, selection
-from treeloom.jobs.catalog import ORACLE_SQL
+from treeloom.functions import names as N
+from treeloom.jobs import extras, mapping, review, selection
+from treeloom.jobs.catalog import ORACLE_SQL, QUERIES
+from treeloom.sources.corpus import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +70,27 @@ def test_whole_texts_in_write_plans_and_selectors(spark, tmp_path):
     assert paths == ["deep/x.go, then\nmore " + "wörds " * 40 + "(", "y.py).\nlast line", "src1/a.go, and", "en/b.py); xFILE:no (", "c.ts"]
     assert_same(review.write_plan_full(spark, sf), con, ORACLE_SQL["write_plan_full"])
     assert_same(selection.embedded_selectors_full(spark, sf), con, ORACLE_SQL["embedded_selectors_full"])
+
+
+def test_reference_limits_keep_what_small_ones_cut(spark):
+    n = {q: QUERIES[q](spark, SF).count() for q in ("scan_cap", "scan_cap_full", "dir_scan_cap", "dir_scan_cap_full", "prompt_budget", "prompt_budget_full")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert n["scan_cap_full"] == n["dir_scan_cap_full"] == docs > max(n["scan_cap"], n["dir_scan_cap"]) and n["prompt_budget_full"] > n["prompt_budget"]
+    over = {q: QUERIES[q](spark, SF).where("verdict = 'budget'").count() for q in ("review_budget", "review_budget_full")}
+    assert over["review_budget_full"] <= over["review_budget"]
+    maps = {q: QUERIES[q](spark, SF).first()["map"] for q in ("topology_text", "topology_text_full")}
+    assert len(maps["topology_text"]) <= len(maps["topology_text_full"])
+    assert QUERIES["topology_budget_full"](spark, SF).count() >= QUERIES["topology_budget"](spark, SF).count()
+
+
+def test_limits_bite(spark):
+    con, f = connect(SF), files(spark, SF)
+    assert extras.scan_cap(spark, SF, 7).count() == 7
+    assert_same(extras.scan_cap(spark, SF, 7), con, extras._scan_sql(7))
+    assert_same(mapping.dir_scan_cap(f, 1), con, mapping._dir_sql(1))
+    assert_same(mapping.topology_budget(f, 500), con, mapping._budget_sql(500))
+    assert_same(mapping.topology_text(f, 500), con, mapping._text_sql(500))
+    assert_same(review.review_budget(spark, SF, 300), con, review._review_sql(300))
+    assert_same(selection.prompt_budget(spark, SF, 900, 50), con, selection._prompt_sql(900, 50))
+    assert review.review_budget(spark, SF, 300).where("verdict = 'budget'").count() > 0
+    assert N.SCAN_FILES == 10_000 and N.DIR_FILES == 250 and N.REVIEW_BYTES == N.MAP_BYTES == 524_288 and N.PROMPT_BYTES == 196_608 and N.FILE_BYTES == 51_200

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import classify as C
+from treeloom.functions import names as N
 from treeloom.jobs import mapping as M
 from treeloom.operators import paths as P
 from treeloom.operators.ranking import top_k
@@ -71,10 +72,20 @@ def summarize_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(children, ["root"], [F.asc("is_dir"), F.asc("child")], 8).select("root", "child", "is_dir", "rank")
 
 
-@query(f"WITH {M.FILES} SELECT path, doc_id FROM files ORDER BY string_split(path, '/'), doc_id LIMIT 100")
-def scan_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scan_sql(limit: int) -> str:
+    return f"WITH {M.FILES} SELECT path, doc_id FROM files ORDER BY string_split(path, '/'), doc_id LIMIT {limit}"
+
+
+@query(_scan_sql(100))
+def scan_cap(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
     """The first 100 files in walk order, which compares segment by segment (the limit is the feature)."""
-    return files(spark, sf_dir).orderBy(F.split("path", "/"), "doc_id").limit(100).select("path", "doc_id")
+    return files(spark, sf_dir).orderBy(F.split("path", "/"), "doc_id").limit(limit).select("path", "doc_id")
+
+
+@query(_scan_sql(N.SCAN_FILES))
+def scan_cap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the reference's limit."""
+    return scan_cap(spark, sf_dir, N.SCAN_FILES)
 
 
 _ROLE_DIR = "concat(CASE doc_id % 6 WHEN 0 THEN 'cmd' WHEN 1 THEN 'internal' WHEN 2 THEN 'pkg' WHEN 3 THEN 'Tests' WHEN 4 THEN 'docs' ELSE 'lib' END, '/', source)"

@@ -52,15 +52,25 @@ def selected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.join(R.diff(*_snapshots(spark, sf_dir)), "path", "left").select("path", F.coalesce("change", F.lit("stale")).alias("change"))
 
 
-@query(f"""WITH {M.FILES}, k AS (SELECT *, {M._KIND} AS kind, CASE doc_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change FROM files),
+def _review_sql(limit: int) -> str:
+    return f"""WITH {M.FILES}, k AS (SELECT *, {M._KIND} AS kind, CASE doc_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change FROM files),
 s AS (SELECT dir, path, doc_id, size, CASE WHEN kind = 'binary' THEN 'binary' WHEN {M._SENSITIVE} THEN 'sensitive' WHEN change IN ('added', 'deleted') THEN change ELSE 'pending' END AS status FROM k),
 u AS (SELECT *, sum(CASE WHEN status = 'pending' THEN size ELSE 0 END) OVER (PARTITION BY dir ORDER BY path, doc_id) AS used FROM s),
-v AS (SELECT *, bool_or(status = 'pending' AND used > {REVIEW_BYTES}) OVER (PARTITION BY dir ORDER BY path, doc_id) AS over FROM u)
-SELECT dir, path, doc_id, status, used::BIGINT AS used, CASE WHEN status <> 'pending' THEN status WHEN over THEN 'budget' ELSE 'included' END AS verdict FROM v""")
-def review_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+v AS (SELECT *, bool_or(status = 'pending' AND used > {limit}) OVER (PARTITION BY dir ORDER BY path, doc_id) AS over FROM u)
+SELECT dir, path, doc_id, status, used::BIGINT AS used, CASE WHEN status <> 'pending' THEN status WHEN over THEN 'budget' ELSE 'included' END AS verdict FROM v"""
+
+
+@query(_review_sql(REVIEW_BYTES))
+def review_budget(spark: SparkSession, sf_dir: str, limit: int = REVIEW_BYTES) -> DataFrame:
     change = F.expr("case doc_id % 4 when 0 then 'added' when 1 then 'deleted' else 'modified' end")
     rows = files(spark, sf_dir).withColumn("kind", C.kind()).withColumn("change", change).withColumn("status", R.context_status())
-    return R.greedy(rows, ["dir"], ["path", "doc_id"], REVIEW_BYTES).select("dir", "path", "doc_id", "status", "used", "verdict")
+    return R.greedy(rows, ["dir"], ["path", "doc_id"], limit).select("dir", "path", "doc_id", "status", "used", "verdict")
+
+
+@query(_review_sql(N.REVIEW_BYTES))
+def review_budget_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the reference's limit."""
+    return review_budget(spark, sf_dir, N.REVIEW_BYTES)
 
 
 _PATCH = "CASE (doc_id + ln) % 5 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '+++' WHEN 3 THEN '---' ELSE ' ' END"

@@ -231,13 +231,23 @@ def trim_content_full(spark: SparkSession, sf_dir: str, limit: int = N.FILE_BYTE
     return table(spark, sf_dir, "documents").select("doc_id", trimmed("text", limit).alias("content"))
 
 
-@query(f"""WITH s AS (SELECT source, doc_id, least(strlen(text), {TRIM_BYTES}) + 40 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
-u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY doc_id) + 100 + length(k::VARCHAR) AS total FROM s), m AS (SELECT source, max(k) AS keep FROM u WHERE total <= {PROMPT_BYTES} GROUP BY source)
-SELECT source, doc_id, k::BIGINT AS k, total::BIGINT AS total FROM u JOIN m USING (source) WHERE k <= keep""")
-def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _prompt_sql(limit: int, trim: int) -> str:
+    return f"""WITH s AS (SELECT source, doc_id, least(strlen(text), {trim}) + 40 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
+u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY doc_id) + 100 + length(k::VARCHAR) AS total FROM s), m AS (SELECT source, max(k) AS keep FROM u WHERE total <= {limit} GROUP BY source)
+SELECT source, doc_id, k::BIGINT AS k, total::BIGINT AS total FROM u JOIN m USING (source) WHERE k <= keep"""
+
+
+@query(_prompt_sql(PROMPT_BYTES, TRIM_BYTES))
+def prompt_budget(spark: SparkSession, sf_dir: str, limit: int = PROMPT_BYTES, trim: int = TRIM_BYTES) -> DataFrame:
     """As many documents of a source as fit, the header holding their number; size(k) is explicit, so no re-rendering."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", (F.least(F.octet_length("text"), F.lit(TRIM_BYTES)) + 40).alias("size"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", (F.least(F.octet_length("text"), F.lit(trim)) + 40).alias("size"))
     order = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = docs.withColumn("k", F.count("*").over(order)).withColumn("total", F.sum("size").over(order) + 100 + F.length(F.col("k").cast("string")))
-    keep = F.max(F.when(F.col("total") <= PROMPT_BYTES, F.col("k"))).over(Window.partitionBy("source"))
+    keep = F.max(F.when(F.col("total") <= limit, F.col("k"))).over(Window.partitionBy("source"))
     return ranked.withColumn("keep", keep).where("k <= keep").select("source", "doc_id", "k", F.col("total").cast("long").alias("total"))
+
+
+@query(_prompt_sql(N.PROMPT_BYTES, N.FILE_BYTES))
+def prompt_budget_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the reference's limits."""
+    return prompt_budget(spark, sf_dir, N.PROMPT_BYTES, N.FILE_BYTES)
