@@ -12,7 +12,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from treeloom.llm.pretokens import WORD_PATTERN, is_odd, splitter, vocabulary_text
+from treeloom.llm.resident import resident
 from treeloom.llm.storage import table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of a worker's cache of pre-tokens, and of its table of pairs.
-CACHED, PAIRS = 200_000, 1_000_000
+#: Entries of a worker's cache of pre-tokens, letters of those in it, and entries of its table of pairs.
+CACHED, CACHED_LETTERS, PAIRS = 200_000, 40, 500_000
 _END = "\x00"
 
 
@@ -160,26 +161,28 @@ class Bpe:
                     if ids is None:
                         if len(cache) >= CACHED:
                             cache.clear()
-                        ids = cache[word] = self.encode_word(word)
+                        ids = self.encode_word(word)
+                        if len(word) <= CACHED_LETTERS:
+                            cache[word] = ids
                     out += ids
             if hit:
                 out.append(self.special[hit.group()])
                 at = hit.end()
         return out
 
-    @lru_cache(maxsize=1)  # noqa: B019  one vocabulary lives as long as its worker
+    @cached_property
     def tables(self) -> tuple[OffsetTable, OffsetTable]:
         """Names, and decimal ids, each with a space behind."""
         return OffsetTable([f"{s} " for s in self.names]), OffsetTable([f"{i} " for i in range(len(self.names))])
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The library's text for ids: without a decoder in the file, token names with spaces between."""
-        return self.tables()[0].join(np.asarray(ids, dtype=np.int64))[:-1].decode()
+        return self.tables[0].join(np.asarray(ids, dtype=np.int64))[:-1].decode()
 
 
-@lru_cache(maxsize=2)
 def bpe(vocabulary: str) -> Bpe:
-    return Bpe(vocabulary)
+    """The tables of a vocabulary, kept by the worker until another operator runs there."""
+    return resident(("bpe", hashlib.sha256(vocabulary.encode()).hexdigest()), lambda: Bpe(vocabulary))
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -211,7 +214,7 @@ def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
 def _digester(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(shared.value)
-        names, numbers = model.tables()
+        names, numbers = model.tables
         digest = lambda data: hashlib.sha256(data[:-1]).hexdigest()
         for batch in batches:
             n, coded, decoded = [], [], []

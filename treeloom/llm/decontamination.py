@@ -3,8 +3,8 @@
 Items are grouped by length into classes, each with a window a little shorter than its items.  Windows of that size move
 over every document in short strides; an item's windows are taken at all offsets, so a copied item always holds a document
 window that stands like one of its own.  Fingerprints have 64 bits over words and word pairs.  They are cut into four blocks of 16
-bits: two fingerprints within RADIUS bits agree in some block within RADIUS // 4, and a table of each block's values
-within that distance finds all such items.  Every hit is verified: the item-sized stretch of the document around it
+bits: two fingerprints within RADIUS bits agree in some block within RADIUS // 4 bits.  An item's window stands in a block's table
+under all values within half of that distance, a document's window asks for all values within the other half: they meet.  Every hit is verified: the item-sized stretch of the document around it
 is compared with the item by weighted 5-word shingles (a shingle's weight is its count): sum of minima over sum of maxima.
 
 Documents are read once, without a shuffle.  The benchmark goes to the workers in blocks of checked size.
@@ -16,21 +16,35 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from treeloom.llm.resident import resident
 from treeloom.llm.storage import table
 from treeloom.llm.words import chunks, hash_words, mix64, shingle_keys
 
 SHINGLE, RADIUS, CLASS_RATIO = 5, 11, 1.3
 #: Items and characters of a block of the benchmark.
-BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4 << 20
+BLOCK_ITEMS, BLOCK_CHARS = 50_000, 8 << 20
+#: Items whose shingles a worker keeps for verification.
+KEPT_ITEMS = 2_000
 _BITS = 64
 
 
+def _within(bits: int) -> np.ndarray:
+    """All 16-bit values with at most ``bits`` bits set."""
+    return np.array([sum(1 << b for b in c) for n in range(bits + 1) for c in combinations(range(16), n)], dtype=np.int64)
+
+
+#: Bits that a block may differ by, shared out between the table and the questions.
+_TABLE_SIDE, _ASKING_SIDE = _within(RADIUS // 4 - RADIUS // 8), _within(RADIUS // 8)
+
+
 def _bit_sums(keys: np.ndarray) -> np.ndarray:
     """Prefix sums, by bit, of the features at each word: the word itself and the pair that it begins."""
     pairs = keys.copy()
@@ -62,8 +76,10 @@ class _Class:
         rows, hits = [], []
         for block, (first, windows) in enumerate(self.table):
             value = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            low, count = first[value], first[value + 1] - first[value]
-            row = np.repeat(np.arange(len(prints)), count)
+            value = (value[:, None] ^ _ASKING_SIDE[None, :]).ravel()
+            low = first[value].astype(np.int64)
+            count = first[value + 1] - low
+            row = np.repeat(np.repeat(np.arange(len(prints)), len(_ASKING_SIDE)), count)
             if not len(row):
                 continue
             ends = np.cumsum(count)
@@ -92,12 +108,7 @@ class Index:
         words = hash_words([t.encode("utf-8", "surrogatepass") for _, t in items], lower=True)
         self.ids = [i for i, _ in items]
         self.words = [words.keys[words.first[i] : words.first[i + 1]] for i in range(len(items))]
-        self.shingles = [Counter(_shingles(w)) for w in self.words]
-        self.places: list[dict[int, list[int]]] = []
-        for w in self.words:
-            self.places.append({})
-            for q, shingle in enumerate(_shingles(w)):
-                self.places[-1].setdefault(shingle, []).append(q)
+        self.known: dict[int, tuple[Counter, dict[int, list[int]]]] = {}
         self.classes: list[_Class] = []
         grid = class_sizes(max([0, *map(len, self.words)]))
         members: dict[int, list[int]] = {}
@@ -105,7 +116,6 @@ class Index:
             fits = [k for k, (size, stride) in enumerate(grid) if size + stride - 1 <= len(w)]
             if fits:
                 members.setdefault(fits[-1], []).append(i)
-        masks = np.array([sum(1 << b for b in c) for n in range(RADIUS // 4 + 1) for c in combinations(range(16), n)], dtype=np.int64)
         for k, owned in sorted(members.items()):
             size, stride = grid[k]
             prints, item, offset = [], [], []
@@ -118,12 +128,24 @@ class Index:
             tables = []
             for block in range(4):
                 value = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-                values = (value[:, None] ^ masks[None, :]).ravel()
+                values = (value[:, None] ^ _TABLE_SIDE[None, :]).astype(np.uint16).ravel()
                 order = np.argsort(values, kind="stable")
-                first = np.searchsorted(values[order], np.arange(65537))
-                tables.append((first, np.repeat(np.arange(len(prints)), len(masks))[order]))
+                first = np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << 16))]).astype(np.int32)
+                tables.append((first, (order // len(_TABLE_SIDE)).astype(np.int32)))
             self.classes.append(_Class(size, stride, prints, np.concatenate(item), np.concatenate(offset), tables))
 
+    def item(self, i: int) -> tuple[Counter, dict[int, list[int]]]:
+        """Shingles of an item with their counts, and the places of each."""
+        found = self.known.get(i)
+        if found is None:
+            places: dict[int, list[int]] = {}
+            for q, shingle in enumerate(_shingles(self.words[i])):
+                places.setdefault(shingle, []).append(q)
+            if len(self.known) >= KEPT_ITEMS:
+                self.known.clear()
+            found = self.known[i] = Counter({s: len(q) for s, q in places.items()}), places
+        return found
+
     def search(self, keys: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
         """(document, item, start word, similarity): the best stretch of each document for each item that it holds."""
         if len(keys) < 2:
@@ -142,20 +164,19 @@ class Index:
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for doc, i, begin in self._alignments(keys, first, tries):
             low, high, size = int(first[doc]), int(first[doc + 1]), len(self.words[i])
-            value = _weighted_jaccard(Counter(_shingles(keys[begin : min(begin + size, high)])), self.shingles[i])
+            value = _weighted_jaccard(Counter(_shingles(keys[begin : min(begin + size, high)])), self.item(i)[0])
             if value >= threshold and (doc, i) not in best or (doc, i) in best and (value, -(begin - low)) > (best[doc, i][0], -best[doc, i][1]):
                 best[doc, i] = (value, begin - low)
         return [(doc, self.ids[i], at, value) for (doc, i), (value, at) in sorted(best.items())]
 
-
     def _alignments(self, keys: np.ndarray, first: np.ndarray, tries: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
         """(document, item, first word) of every item-sized stretch around ``tries`` in which a shingle stands as in the item."""
         out = set()
         for doc, i, start in tries:
             low, high, size = int(first[doc]), int(first[doc + 1]), len(self.words[i])
-            begin = max(low, start - size)
+            begin, places = max(low, start - size), self.item(i)[1]
             for p, shingle in enumerate(_shingles(keys[begin : min(high, start + 2 * size)])):
-                for q in self.places[i].get(shingle, ()):
+                for q in places.get(shingle, ()):
                     out.add((doc, i, min(max(begin + p - q, low), max(low, high - size))))
         return out
 
@@ -190,13 +211,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     """
     spark = docs.sparkSession
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-    row_type, item_type = packed.schema["row"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    found_type = StructType([packed.schema["row"], benchmark.schema["item_id"], StructField("start_word", LongType()), StructField("similarity", DoubleType())])
     found = None
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])  # of checked size
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = resident(("benchmark", key), lambda: Index(shared.value))
             for batch in batches:
                 for at, texts in chunks((s.as_py() for s in batch.column(1)), 1 << 18):
                     words = hash_words(texts, lower=True)
@@ -205,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
                         rows = batch.column(0).take(pa.array([at + h[0] for h in hits]))
                         yield pa.RecordBatch.from_arrays([rows, pa.array([h[1] for h in hits]), pa.array([h[2] for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.float64())], ["row", "item_id", "start_word", "similarity"])
 
-        part = packed.mapInArrow(run, f"row {row_type}, item_id {item_type}, start_word long, similarity double")
+        part = packed.mapInArrow(run, found_type)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -217,8 +238,8 @@ def keep_free(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
         shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])  # of checked size
         packed = kept.select(F.struct(*[kept[f"`{c}`"] for c in kept.columns]).alias("row"), kept["text"].alias("text"))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = resident(("benchmark", key), lambda: Index(shared.value))
             for batch in batches:
                 leaking: set[int] = set()
                 for at, texts in chunks((s.as_py() for s in batch.column(1)), 1 << 18):
@@ -228,7 +249,7 @@ def keep_free(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
                 keep[list(leaking)] = False
                 yield batch.select([0]).filter(pa.array(keep))
 
-        kept = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}").select("row.*")
+        kept = packed.mapInArrow(run, StructType([packed.schema["row"]])).select("row.*")
     return kept
 
 

@@ -3,13 +3,14 @@
 Every word gets S(w | history) from the counts of all *other* documents: the relative frequency of the longest n-gram, up to three words, that
 they contain, times ALPHA for each word of history given up.  Log scores are summed per document.
 
-Rows are packed, since a corpus has about as many different n-grams as words:
+A corpus has about as many different n-grams as words, so the rows of the count tables and of the exploded n-grams travel in
+blocks: sorted keys as steps, compressed by byte plane.
 
 1. A part (some megabytes of one scan split) explodes its texts and sends its distinct n-gram keys with counts, one block for each
    hash bucket: pre-aggregated before the shuffle.
 2. Each bucket adds its blocks up to its piece of the count table, and joins the table back to the keys of each block.
-3. Each part explodes its texts again, joins the n-grams to the totals that came back, takes the document's own counts off,
-   and sums up.
+3. Each part explodes its texts again (they come as compressed pieces), joins the n-grams to the totals that came back, takes the
+   document's own counts off, and sums up.
 
 Keys have all 64 bits, zero included, whatever the size of the corpus.
 """
@@ -22,16 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from treeloom.llm.storage import table
 from treeloom.llm.words import chunks, hash_words, shingle_keys
 
 ORDER, ALPHA = 3, 0.4
-#: Bytes of text in a part, and of keys in a bucket, about.
-PART_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+#: Bytes of text in a part, of text in a piece of it, and of keys in a bucket, about.
+PART_BYTES, PIECE_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 64 << 20
+_TEXT, _KEYS = pa.Codec("zstd", 6), pa.Codec("zstd", 1)
 
 
-def _explode(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def _explode(texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """For each n, keys of the n-grams and the words that they end at (none where a document's start is nearer), and words before each document."""
     runs, counts, before = [[] for _ in range(ORDER)], [np.zeros(1, dtype=np.int64)], 0
     for _, run in chunks(texts):
@@ -47,43 +50,73 @@ def _explode(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray
     return [tuple(map(np.concatenate, zip(none, *r, strict=True))) for r in runs], np.cumsum(np.concatenate(counts))
 
 
-def _pack(keys: np.ndarray) -> tuple[int, bytes]:
-    """(bytes a step, data): sorted distinct keys as steps of the fewest whole bytes."""
+def _pack(keys: np.ndarray) -> tuple[int, int, bytes]:
+    """(keys, bytes a step, data): sorted distinct keys as steps of the fewest whole bytes, compressed byte by byte."""
     steps = np.diff(keys, prepend=np.uint64(0))
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return width, np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return len(keys), width, _KEYS.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T), asbytes=True)
 
 
-def _unpack(width: int, data: bytes) -> np.ndarray:
-    steps = np.zeros((len(data) // width, 8), dtype=np.uint8)
-    steps[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+def _unpack(n: int, width: int, data: bytes) -> np.ndarray:
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(_KEYS.decompress(data, n * width), dtype=np.uint8).reshape(width, -1).T
     return np.cumsum(steps.view(np.uint64).reshape(-1))
 
 
 def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
     """One byte each, and the counts from 255 on as they are."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
+    return _KEYS.compress(np.minimum(counts, 255).astype(np.uint8), asbytes=True), counts[counts >= 255].astype(np.int64).tobytes()
 
 
-def _unpack_counts(small: bytes, large: bytes) -> np.ndarray:
-    out = np.frombuffer(small, dtype=np.uint8).astype(np.int64)
+def _unpack_counts(n: int, small: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(_KEYS.decompress(small, n), dtype=np.uint8).astype(np.int64)
     out[out == 255] = np.frombuffer(large, dtype=np.int64)
     return out
 
 
-_BLOCK = "part long, n int, bucket long, width int, keys binary, small binary, large binary"
-_BLOCK_NAMES = ["part", "n", "bucket", "width", "keys", "small", "large"]
+_BLOCK = "part long, n int, bucket long, size int, width int, keys binary, small binary, large binary"
+_BLOCK_NAMES = ["part", "n", "bucket", "size", "width", "keys", "small", "large"]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], _BLOCK_NAMES)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], ids: bool) -> Iterator[tuple[int, list, bytes, bytes]]:
+    """(part, ids, text sizes, compressed texts) of about PIECE_BYTES each from rows (part, text) or, with ``ids``, (part, text, doc_id)."""
+    open_: dict[int, tuple[list, list[bytes]]] = {}
+    held: dict[int, int] = {}
+
+    def close(part: int) -> tuple[int, list, bytes, bytes]:
+        own, texts = open_.pop(part)
+        del held[part]
+        return part, own, np.array([len(t) for t in texts], dtype=np.int64).tobytes(), _TEXT.compress(b"".join(texts), asbytes=True)
+
+    for batch in batches:
+        names = batch.column(2).to_pylist() if ids else [None] * batch.num_rows
+        for part, name, text in zip(batch.column(0).to_pylist(), names, batch.column(1), strict=True):
+            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            own, texts = open_.setdefault(part, ([], []))
+            own.append(name)
+            texts.append(data)
+            held[part] = held.get(part, 0) + len(data)
+            if held[part] >= PIECE_BYTES:
+                yield close(part)
+    for part in list(open_):
+        yield close(part)
+
+
+def _texts(sizes: bytes, data: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, dtype=np.int64)).tolist()
+    whole = _TEXT.decompress(data, ends[-1], asbytes=True)
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905  the last start has no end
+
+
 def _requests(buckets: int):
     """mapInArrow function (part, text) -> blocks of distinct keys."""
 
-    def blocks(part: int, texts: list[str | None]) -> Iterator[tuple]:
+    def blocks(part: int, texts: list[bytes]) -> Iterator[tuple]:
         for n, (keys, _) in enumerate(_explode(texts)[0], 1):
             keys, counts = np.unique(keys, return_counts=True)
             lows = [np.uint64((b << 64) // buckets) for b in range(buckets)]
@@ -93,23 +126,32 @@ def _requests(buckets: int):
                     yield (part, n, b, *_pack(keys[lo:hi] - lows[b]), *_pack_counts(counts[lo:hi]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[str | None]] = {}
-        for batch in batches:
-            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(part, []).append(text)
+        held: dict[int, list[tuple[bytes, bytes]]] = {}  # compressed until their part's turn comes
+        for part, _, sizes, data in _pieces(batches, ids=False):
+            held.setdefault(part, []).append((sizes, data))
         for part in list(held):
-            rows = list(blocks(part, held.pop(part)))
+            rows = list(blocks(part, [t for piece in held.pop(part) for t in _texts(*piece)]))
             if rows:
                 yield from _table(rows).to_batches()
 
     return run
 
 
+def _senders(id_type: pa.DataType):
+    """mapInArrow function (part, text, doc_id) -> pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own, sizes, data in _pieces(batches, ids=True):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([own], pa.list_(id_type)), pa.array([sizes], pa.binary()), pa.array([data], pa.binary())], ["part", "ids", "sizes", "texts"])
+
+    return run
+
+
 def _totals(table: pa.Table) -> pa.Table:
     """Blocks of one bucket -> the same blocks with the counts of all; only keys that more than one block or count has are kept as such."""
     rows = table.to_pylist()
-    keys = [_unpack(r["width"], r["keys"]) for r in rows]
-    counts = np.concatenate([_unpack_counts(r["small"], r["large"]) for r in rows])
+    keys = [_unpack(r["size"], r["width"], r["keys"]) for r in rows]
+    counts = np.concatenate([_unpack_counts(r["size"], r["small"], r["large"]) for r in rows])
     order = np.argsort(np.concatenate(keys), kind="stable")
     line = np.concatenate(keys)[order]
     starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
@@ -117,10 +159,10 @@ def _totals(table: pa.Table) -> pa.Table:
     total = np.empty_like(sums)
     total[order] = sums
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return _table([(r["part"], r["n"], r["bucket"], 0, b"", *_pack_counts(t)) for r, t in zip(rows, np.split(total, cuts), strict=True)])
+    return _table([(r["part"], r["n"], r["bucket"], r["size"], 0, b"", *_pack_counts(t)) for r, t in zip(rows, np.split(total, cuts), strict=True)])
 
 
-def _scores(texts: list[str | None], totals: list[np.ndarray], corpus_words: int) -> list[np.ndarray]:
+def _scores(texts: list[bytes], totals: list[np.ndarray], corpus_words: int) -> list[np.ndarray]:
     """For each text: words, sum of log scores, and words scored at each level (3 words, 2, 1, unseen)."""
     grams, first = _explode(texts)
     size = int(first[-1])
@@ -177,15 +219,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.xxhash64(*split, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).alias("part"), "doc_id", "text")
     asked = (rows if split else rows.repartition("part")).select("part", "text").mapInArrow(_requests(buckets), _BLOCK)
     answered = asked.groupBy("n", "bucket").applyInArrow(_totals, _BLOCK)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema["doc_id"].dataType
+    arrow_type = to_arrow_type(id_type)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = sorted(right.to_pylist(), key=lambda r: (r["n"], r["bucket"]))
-        totals = [np.concatenate([np.zeros(0, dtype=np.int64), *[_unpack_counts(r["small"], r["large"]) for r in answers if r["n"] == n]]) for n in range(1, ORDER + 1)]
-        count, logs, *levels = _scores(left.column("text").to_pylist(), totals, corpus_words)
-        return pa.table([left.column("doc_id"), pa.array(count), pa.array(logs), *[pa.array(x.astype(np.int64)) for x in levels]], ["doc_id", "n_words", "log_score", "n_trigrams", "n_bigrams", "n_unigrams", "n_unseen"])
-
-    out = rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(score, f"doc_id {id_type}, n_words long, log_score double, n_trigrams long, n_bigrams long, n_unigrams long, n_unseen long")
+        totals = [np.concatenate([np.zeros(0, dtype=np.int64), *[_unpack_counts(r["size"], r["small"], r["large"]) for r in answers if r["n"] == n]]) for n in range(1, ORDER + 1)]
+        pieces = left.to_pylist()
+        ids = pa.array([i for p in pieces for i in p["ids"]], arrow_type)
+        count, logs, *levels = _scores([t for p in pieces for t in _texts(p["sizes"], p["texts"])], totals, corpus_words)
+        return pa.table([ids, pa.array(count), pa.array(logs), *[pa.array(x.astype(np.int64)) for x in levels]], ["doc_id", "n_words", "log_score", "n_trigrams", "n_bigrams", "n_unigrams", "n_unseen"])
+
+    sent = rows.select("part", "text", "doc_id").mapInArrow(_senders(arrow_type), f"part long, ids array<{id_type.simpleString()}>, sizes binary, texts binary")
+    out = sent.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(score, f"doc_id {id_type.simpleString()}, n_words long, log_score double, n_trigrams long, n_bigrams long, n_unigrams long, n_unseen long")
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), mean.alias("mean_log_score"), "n_trigrams", "n_bigrams", "n_unigrams", "n_unseen")
 

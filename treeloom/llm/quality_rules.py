@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from treeloom.llm.resident import vacate
 from treeloom.llm.storage import saved, table
 from treeloom.llm.words import chunks, hash_words, shingle_keys
 
@@ -73,12 +75,13 @@ def measured(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             for at, texts in chunks(s.as_py() for s in batch.column(1)):
                 counts = [pa.array(np.asarray(x, dtype=np.int64)) for x in measure_texts(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *counts], ["row", *_COUNTS])
 
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return packed.mapInArrow(run, StructType([packed.schema["row"], *(StructField(c, LongType()) for c in _COUNTS)]))
 
 
 def rates(frame: DataFrame) -> DataFrame:

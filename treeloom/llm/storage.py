@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one of ours where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary folder; on a cluster that is an error, since each machine would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        found = tempfile.mkdtemp(prefix="treeloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="treeloom-checkpoint-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +30,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/treeloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._treeloom_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that saved() returned, once all that reads them is written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._treeloom_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

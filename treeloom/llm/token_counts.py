@@ -7,10 +7,10 @@ ones, each task keeps a bounded count of its own and sends its leaders only.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm.pretokens import BYTE_PATTERN, splitter, vocabulary_text
+from treeloom.llm.resident import resident
 from treeloom.llm.storage import table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pre-tokens in the broadcast table, sent by a task, and counted by a task at once; entries of a worker's cache.
-FREQUENT, LEADERS, COUNTED, CACHED = 32_768, 4_096, 200_000, 400_000
+#: Pre-tokens in the broadcast table, sent by a task, and counted by a task at once; entries of a worker's cache, and letters of those in it.
+FREQUENT, LEADERS, COUNTED, CACHED, CACHED_LETTERS = 32_768, 4_096, 200_000, 400_000, 64
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(vocabulary: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -33,9 +33,9 @@ def _tokenizer(vocabulary: str):
     return Tokenizer.from_str(vocabulary)
 
 
-@lru_cache(maxsize=2)
-def _cache(vocabulary: str) -> dict[str, int]:
-    return {}
+def _worker(vocabulary: str) -> tuple:
+    """The library's tokenizer and the cache of lengths, kept by the worker until another operator runs there."""
+    return resident(("token-counts", hashlib.sha256(vocabulary.encode()).hexdigest()), lambda: (_tokenizer(vocabulary), {}))
 
 
 def _lengths(tokenizer, pretokens: list[str]) -> list[int]:
@@ -81,8 +81,8 @@ def _counter(vocabulary: Broadcast, frequent: Broadcast):
     """mapInArrow function (doc_id, text) -> counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known, split, special = _tokenizer(vocabulary.value), frequent.value, splitter(BYTE_PATTERN), _specials(vocabulary.value)
-        cache, get = _cache(vocabulary.value), known.get
+        known, split, special = frequent.value, splitter(BYTE_PATTERN), _specials(vocabulary.value)
+        (tokenizer, cache), get = _worker(vocabulary.value), known.get
         for batch in batches:
             sizes, counts = [], []
             for value in batch.column(1):
@@ -97,9 +97,9 @@ def _counter(vocabulary: Broadcast, frequent: Broadcast):
                         if len(cache) + len(new) > CACHED:
                             cache.clear()
                             new = list(set(missed))
-                        if new:
-                            cache.update(zip(new, _lengths(tokenizer, new), strict=True))
-                        total += sum(map(cache.__getitem__, missed)) + sum(n for n in lengths if n)
+                        sizes_of = dict(zip(new, _lengths(tokenizer, new), strict=True)) if new else {}
+                        cache.update((t, n) for t, n in sizes_of.items() if len(t) <= CACHED_LETTERS)
+                        total += sum(sizes_of[t] if t in sizes_of else cache[t] for t in missed) + sum(n for n in lengths if n)
                     else:
                         total += sum(lengths)
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))

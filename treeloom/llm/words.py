@@ -111,11 +111,11 @@ def sequence_key(keys: np.ndarray) -> int:
     return int(mix64(np.array([(acc + len(keys)) & _MASK], dtype=np.uint64))[0])
 
 
-def chunks(texts: Iterable[str | None], size: int = _CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | bytes | None], size: int = _CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, encoded texts) in runs of about ``size`` bytes, to bound the arrays' memory."""
     at, held, run = 0, 0, []
     for i, text in enumerate(texts):
-        data = b"" if text is None else text.encode("utf-8", "surrogatepass")
+        data = b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
         if run and held + len(data) > size:
             yield at, run
             at, held, run = i, 0, []
