@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from treeloom.llm.resident import vacate
-from treeloom.llm.storage import saved, table
+from treeloom.llm.storage import columns, saved, table
 
 #: Labelled rows that the lexicon and its weights are fitted on, at most about this many (chosen by a hash of doc_id).
 TRAIN_ROWS = 30_000
@@ -436,7 +436,7 @@ def _scorer(model: Broadcast, width: int):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``) and its score; null texts count as empty."""
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    packed = docs.select(F.struct(*columns(docs)).alias("row"), docs["text"].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return packed.mapInArrow(_scorer(shared, 1), StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
@@ -452,7 +452,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, with their columns."""
+    """The rows of ``docs`` that score under 0.5, with their columns (names of any kind); odd rows as in toxicity()."""
     return scored(docs, fit(docs, labels)).where("score < 0.5").select("row.*")
 
 
