@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from treeloom.llm.resident import resident
-from treeloom.llm.storage import table
+from treeloom.llm.storage import columns, table
 from treeloom.llm.words import chunks, hash_words, mix64, shingle_keys
 
 SHINGLE, RADIUS, CLASS_RATIO = 5, 11, 1.3
@@ -210,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     blank items and texts match nothing.  Repeated rows and items are reported each; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    packed = docs.select(F.struct(*columns(docs)).alias("row"), docs["text"].alias("text"))
     found_type = StructType([packed.schema["row"], benchmark.schema["item_id"], StructField("start_word", LongType()), StructField("similarity", DoubleType())])
     found = None
     for block in _blocks(benchmark):
@@ -232,11 +232,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
 
 
 def keep_free(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their columns; the same single pass over the texts."""
+    """The rows of ``docs`` that hold no item, with their columns (names of any kind); the same single pass over the texts.
+
+    Null and blank texts and null ids stay, repeated rows stay or go together; an empty benchmark leaves all rows.
+    """
     spark, kept = docs.sparkSession, docs
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])  # of checked size
-        packed = kept.select(F.struct(*[kept[f"`{c}`"] for c in kept.columns]).alias("row"), kept["text"].alias("text"))
+        packed = kept.select(F.struct(*columns(kept)).alias("row"), kept["text"].alias("text"))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid4().hex) -> Iterator[pa.RecordBatch]:
             index = resident(("benchmark", key), lambda: Index(shared.value))
