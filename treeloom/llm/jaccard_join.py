@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.llm.graph import connected_components
-from treeloom.llm.storage import saved, table
+from treeloom.llm.storage import columns, saved, table
 from treeloom.llm.words import chunks, hash_words, mix64, sequence_key, shingle_keys
 
 SIZE_RATIO = 1.6
@@ -392,17 +392,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 def keep_one(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """The rows of ``docs`` less all but the smallest doc_id of each group of linked documents.
 
-    Of rows that share a doc_id one stays; documents without words and rows with a null doc_id stay.
+    Of rows that share a doc_id one stays; documents without words and rows with a null doc_id stay.  All columns stay, whatever their names.
     """
     found = saved(jaccard_components(docs, n, num, den).select("doc_id", "component_id"), "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if _is_small(gone) else gone, "doc_id", "left_anti").select(docs.columns)
+    whole = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = whole.join(F.broadcast(gone) if _is_small(gone) else gone, "doc_id", "left_anti")
     twice = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if not twice.limit(1).count():
-        return kept
+        return kept.select("row.*")
     shared = F.broadcast(twice) if _is_small(twice) else twice
-    one = kept.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(shared, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    one = kept.join(shared, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row"))
+    return kept.join(shared, "doc_id", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
