@@ -1,4 +1,4 @@
-"""The queries over whole texts and at the reference's limits, where their namesakes stay with cut texts or small limits."""
+"""Queries over whole texts, and limits where they bite."""
 
 import re
 
@@ -7,7 +7,7 @@ import pytest
 from tests.oracle import assert_same, connect
 from treeloom.functions import names as N
 from treeloom.jobs import extras, mapping, review, selection
-from treeloom.jobs.catalog import ORACLE_SQL, QUERIES
+from treeloom.jobs.catalog import ORACLE_SQL
 from treeloom.sources.corpus import files
 
 SF = "/root/testdata/sf0.001"
@@ -25,20 +25,25 @@ def cut(text, limit):
 def test_trim_takes_every_document(spark, tmp_path, limit):
     texts = ["aéßüöäñçb" * 2, "日本語テキスト長い", "🙂" * 9, "plain text of one-byte characters", "short", "", None, "é" * 40_000, "x" + "日" * 20_000]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.content for r in selection.trim_content_full(spark, str(tmp_path), limit).collect()}
+    got = {r.doc_id: r.content for r in selection.trim_content(spark, str(tmp_path), limit).collect()}
     assert got == {i: None if t is None else cut(t, limit) for i, t in enumerate(texts)}
 
 
 def test_trim_of_the_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r.doc_id: r.content for r in selection.trim_content_full(spark, SF, 1000).collect()}
-    assert got == {i: cut(t, 1000) for i, t in docs.items()} and len(got) > selection.trim_content(spark, SF).count()
+    got = {r.doc_id: r.content for r in selection.trim_content(spark, SF, 1000).collect()}
+    assert got == {i: cut(t, 1000) for i, t in docs.items()}
+
+
+@pytest.mark.parametrize("limit", [40, 1000])
+def test_trim_same_as_sql(spark, limit):
+    assert_same(selection.trim_content(spark, SF, limit), connect(SF), selection._trim_sql(limit))
 
 
 def test_redact_goes_through_whole_texts(spark, tmp_path):
     texts = ["The a THE " * 500, "é" * 300 + " the end", "x" * 199 + "the", "none", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.text for r in extras.redact_root_full(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text for r in extras.redact_root(spark, str(tmp_path)).collect()}
     assert got == {i: t and re.sub("(?i)the", "<repository>", t) for i, t in enumerate(texts)}
 
 
@@ -54,33 +59,22 @@ LONG = ["first line, and FILE: deep/x.go, then\nmore " + "wörds " * 40 + "(FILE
 
 def test_whole_turns_in_prompts_and_handoffs(spark, tmp_path):
     con, sf = tables(spark, tmp_path, LONG), str(tmp_path)
-    prompts = {r.conv_id: r.prompt for r in review.assemble_prompts_full(spark, sf).collect()}
+    prompts = {r.conv_id: r.prompt for r in review.assemble_prompts(spark, sf).collect()}
     assert prompts == {0: f"user: {LONG[0]}\nuser: {LONG[1]}", 1: f"user: {LONG[2]}\nuser: ", 2: f"user: {LONG[4]}"}
-    bodies = {(r.conv_id, r.turn): r.body for r in extras.handoff_parse_full(spark, sf).collect()}
+    bodies = {(r.conv_id, r.turn): r.body for r in extras.handoff_parse(spark, sf).collect()}
     assert bodies == {(i // 2, i % 2): t for i, t in enumerate(LONG)}
-    assert_same(review.assemble_prompts_full(spark, sf), con, ORACLE_SQL["assemble_prompts_full"])
-    assert_same(extras.handoff_parse_full(spark, sf), con, ORACLE_SQL["handoff_parse_full"])
+    assert_same(review.assemble_prompts(spark, sf), con, ORACLE_SQL["assemble_prompts"])
+    assert_same(extras.handoff_parse(spark, sf), con, ORACLE_SQL["handoff_parse"])
 
 
 def test_whole_texts_in_write_plans_and_selectors(spark, tmp_path):
     con, sf = tables(spark, tmp_path, LONG), str(tmp_path)
-    written = {r.doc_id: r.content for r in review.write_plan_full(spark, sf).where("block = 1").collect()}
+    written = {r.doc_id: r.content for r in review.write_plan(spark, sf).where("block = 1").collect()}
     assert written == dict(enumerate(LONG))
-    paths = [r.sel_path for r in selection.embedded_selectors_full(spark, sf).where("doc_id = 0").orderBy("pos").collect()]
+    paths = [r.sel_path for r in selection.embedded_selectors(spark, sf).where("doc_id = 0").orderBy("pos").collect()]
     assert paths == ["deep/x.go, then\nmore " + "wörds " * 40 + "(", "y.py).\nlast line", "src1/a.go, and", "en/b.py); xFILE:no (", "c.ts"]
-    assert_same(review.write_plan_full(spark, sf), con, ORACLE_SQL["write_plan_full"])
-    assert_same(selection.embedded_selectors_full(spark, sf), con, ORACLE_SQL["embedded_selectors_full"])
-
-
-def test_reference_limits_keep_what_small_ones_cut(spark):
-    n = {q: QUERIES[q](spark, SF).count() for q in ("scan_cap", "scan_cap_full", "dir_scan_cap", "dir_scan_cap_full", "prompt_budget", "prompt_budget_full")}
-    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert n["scan_cap_full"] == n["dir_scan_cap_full"] == docs > max(n["scan_cap"], n["dir_scan_cap"]) and n["prompt_budget_full"] > n["prompt_budget"]
-    over = {q: QUERIES[q](spark, SF).where("verdict = 'budget'").count() for q in ("review_budget", "review_budget_full")}
-    assert over["review_budget_full"] <= over["review_budget"]
-    maps = {q: QUERIES[q](spark, SF).first()["map"] for q in ("topology_text", "topology_text_full")}
-    assert len(maps["topology_text"]) <= len(maps["topology_text_full"])
-    assert QUERIES["topology_budget_full"](spark, SF).count() >= QUERIES["topology_budget"](spark, SF).count()
+    assert_same(review.write_plan(spark, sf), con, ORACLE_SQL["write_plan"])
+    assert_same(selection.embedded_selectors(spark, sf), con, ORACLE_SQL["embedded_selectors"])
 
 
 def test_limits_bite(spark):

@@ -76,16 +76,10 @@ def _scan_sql(limit: int) -> str:
     return f"WITH {M.FILES} SELECT path, doc_id FROM files ORDER BY string_split(path, '/'), doc_id LIMIT {limit}"
 
 
-@query(_scan_sql(100))
-def scan_cap(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
-    """The first 100 files in walk order, which compares segment by segment (the limit is the feature)."""
-    return files(spark, sf_dir).orderBy(F.split("path", "/"), "doc_id").limit(limit).select("path", "doc_id")
-
-
 @query(_scan_sql(N.SCAN_FILES))
-def scan_cap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same at the reference's limit."""
-    return scan_cap(spark, sf_dir, N.SCAN_FILES)
+def scan_cap(spark: SparkSession, sf_dir: str, limit: int = N.SCAN_FILES) -> DataFrame:
+    """The first files in walk order, which compares segment by segment (the limit is the feature)."""
+    return files(spark, sf_dir).orderBy(F.split("path", "/"), "doc_id").limit(limit).select("path", "doc_id")
 
 
 _ROLE_DIR = "concat(CASE doc_id % 6 WHEN 0 THEN 'cmd' WHEN 1 THEN 'internal' WHEN 2 THEN 'pkg' WHEN 3 THEN 'Tests' WHEN 4 THEN 'docs' ELSE 'lib' END, '/', source)"
@@ -118,14 +112,8 @@ def name_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", change.alias("change"), F.when(renamed, F.get("f", F.lit(2))).otherwise(F.col("f")[1]).alias("path"), F.when(renamed, F.col("f")[1]).otherwise("").alias("previous_path"))
 
 
-@query("SELECT doc_id, regexp_replace(substring(text, 1, 200), '(?i)the', '<repository>', 'g') AS text FROM documents")
-def redact_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), "(?i)\\Qthe\\E", "<repository>").alias("text"))
-
-
 @query("SELECT doc_id, regexp_replace(text, '(?i)the', '<repository>', 'g') AS text FROM documents")
-def redact_root_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole of every text, where redact_root and its SQL take the first 200 characters."""
+def redact_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "(?i)\\Qthe\\E", "<repository>").alias("text"))
 
 
@@ -182,13 +170,7 @@ _HANDOFF = """WITH t AS (SELECT conv_id, turn, '--- Handoff: ' || CASE turn % 3
 SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'review' WHEN 1 THEN 'design' END AS mode, CASE WHEN turn % 3 < 2 THEN substring(h, strpos(h, chr(10)) + 1) END AS body FROM t"""
 
 
-@query(_HANDOFF.format("substring(text, 1, 40)"))
+@query(_HANDOFF.format("text"))
 def handoff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode and body of framed hand-overs; unknown modes give nulls."""
-    return _handoffs(spark, sf_dir, F.substring("text", 1, 40))
-
-
-@query(_HANDOFF.format("text"))
-def handoff_parse_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with whole bodies."""
     return _handoffs(spark, sf_dir, F.col("text"))

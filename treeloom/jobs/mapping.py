@@ -11,8 +11,6 @@ from treeloom.operators import topology as T
 from treeloom.operators.ranking import joined, top_k, within_budget
 from treeloom.sources.corpus import DIR_SQL, NAME_SQL, files
 
-MAP_BYTES = 4096  # the map's limit in these queries, so that it bites on small tables
-
 
 def _list(values: list[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
@@ -219,54 +217,36 @@ def _budget(limit: int) -> str:
 
 
 def _kept_lines(f: DataFrame, limit: int) -> DataFrame:
-    # Package lines are the rolled-up end of the map: one for each directory.
-    lines = within_budget(T.package_lines(T.candidates(f)), [], ["dir"], F.octet_length("line") + 1, limit)
-    return lines.withColumn("ord", F.row_number().over(Window.orderBy("dir")).cast("long")).where(F.col("ord") <= N.MAX_PACKAGES)
+    # No more than MAX_PACKAGES lines can stay, so that the windows below see no others.
+    first = T.package_lines(T.candidates(f)).orderBy("dir").limit(N.MAX_PACKAGES)
+    return within_budget(first, [], ["dir"], F.octet_length("line") + 1, limit).withColumn("ord", F.row_number().over(Window.orderBy("dir")).cast("long"))
 
 
 def _budget_sql(limit: int) -> str:
     return f"WITH {_budget(limit)} SELECT dir, line, used::BIGINT AS used, ord::BIGINT AS ord FROM kept"
 
 
-@query(_budget_sql(MAP_BYTES))
-def topology_budget(f: DataFrame, limit: int = MAP_BYTES) -> DataFrame:
-    return _kept_lines(f, limit).select("dir", "line", "used", "ord")
-
-
 @query(_budget_sql(N.MAP_BYTES))
-def topology_budget_full(f: DataFrame) -> DataFrame:
-    """The same at the reference's limit."""
-    return topology_budget(f, N.MAP_BYTES)
+def topology_budget(f: DataFrame, limit: int = N.MAP_BYTES) -> DataFrame:
+    return _kept_lines(f, limit).select("dir", "line", "used", "ord")
 
 
 def _text_sql(limit: int) -> str:
     return f"WITH {_budget(limit)} SELECT '[SOURCE TREE]' || chr(10) || string_agg(line, chr(10) ORDER BY ord) || CASE WHEN (SELECT count(*) FROM lines) > count(*) THEN chr(10) || '... [shortened to fit] ...' ELSE '' END AS map FROM kept"
 
 
-@query(_text_sql(MAP_BYTES))
-def topology_text(f: DataFrame, limit: int = MAP_BYTES) -> DataFrame:
+@query(_text_sql(N.MAP_BYTES))
+def topology_text(f: DataFrame, limit: int = N.MAP_BYTES) -> DataFrame:
     kept = _kept_lines(f, limit).agg(joined("line", "ord", "\n").alias("body"), F.count("*").alias("shown"))
     total = T.package_lines(T.candidates(f)).agg(F.count("*").alias("total"))
     more = F.when(F.col("total") > F.col("shown"), "\n... [shortened to fit] ...").otherwise("")
     return kept.join(F.broadcast(total), how="cross").select(F.concat(F.lit("[SOURCE TREE]\n"), F.col("body"), more).alias("map"))  # one row each
 
 
-@query(_text_sql(N.MAP_BYTES))
-def topology_text_full(f: DataFrame) -> DataFrame:
-    """The same at the reference's limit."""
-    return topology_text(f, N.MAP_BYTES)
-
-
 def _dir_sql(limit: int) -> str:
     return f"WITH {FILES} SELECT dir, path, doc_id, r::BIGINT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY name, doc_id) AS r FROM files) WHERE r <= {limit}"
 
 
-@query(_dir_sql(3))
-def dir_scan_cap(f: DataFrame, limit: int = 3) -> DataFrame:
-    return top_k(f, ["dir"], [F.asc("name"), F.asc("doc_id")], limit, "nth").select("dir", "path", "doc_id", "nth")
-
-
 @query(_dir_sql(N.DIR_FILES))
-def dir_scan_cap_full(f: DataFrame) -> DataFrame:
-    """The same at the reference's limit."""
-    return dir_scan_cap(f, N.DIR_FILES)
+def dir_scan_cap(f: DataFrame, limit: int = N.DIR_FILES) -> DataFrame:
+    return top_k(f, ["dir"], [F.asc("name"), F.asc("doc_id")], limit, "nth").select("dir", "path", "doc_id", "nth")

@@ -12,8 +12,6 @@ from treeloom.operators import review as R
 from treeloom.operators.ranking import joined, top_k
 from treeloom.sources.corpus import files, lines, table
 
-REVIEW_BYTES = 20_000  # the review's limit in these queries, so that it bites on small tables
-
 QUERIES, ORACLE = {}, {}
 
 
@@ -60,19 +58,13 @@ v AS (SELECT *, bool_or(status = 'pending' AND used > {limit}) OVER (PARTITION B
 SELECT dir, path, doc_id, status, used::BIGINT AS used, CASE WHEN status <> 'pending' THEN status WHEN over THEN 'budget' ELSE 'included' END AS verdict FROM v"""
 
 
-@query(_review_sql(REVIEW_BYTES))
-def review_budget(spark: SparkSession, sf_dir: str, limit: int = REVIEW_BYTES) -> DataFrame:
+@query(_review_sql(N.REVIEW_BYTES))
+def review_budget(spark: SparkSession, sf_dir: str, limit: int = N.REVIEW_BYTES) -> DataFrame:
     change = F.expr("case doc_id % 4 when 0 then 'added' when 1 then 'deleted' else 'modified' end")
     rows = files(spark, sf_dir).withColumn("kind", C.kind()).withColumn("change", change).withColumn("status", R.context_status())
     return R.greedy(rows, ["dir"], ["path", "doc_id"], limit).select("dir", "path", "doc_id", "status", "used", "verdict")
 
 
-@query(_review_sql(N.REVIEW_BYTES))
-def review_budget_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same at the reference's limit."""
-    return review_budget(spark, sf_dir, N.REVIEW_BYTES)
-
-
 _PATCH = "CASE (doc_id + ln) % 5 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '+++' WHEN 3 THEN '---' ELSE ' ' END"
 _DOC_LINES = "lines AS (SELECT doc_id, i - 1 AS ln, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
 
@@ -144,8 +136,7 @@ def completion_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A response for each document: one file written, one deleted, one bad path, for some a block without an end.
-_RESPONSE = "concat('Note', chr(10), '--- File: src/', source, '.md ---', chr(10), {0}, chr(10), '--- End File ---', chr(10), '--- Delete File: old/', lang, ' ---', chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('--- File: ../up ---', chr(10), 'x', chr(10), '--- End File ---') ELSE '--- File: tail.txt ---' END)"
-_RESPONSE_CUT, _RESPONSE_FULL = _RESPONSE.format("substring(text, 1, 60)"), _RESPONSE.format("text")
+_RESPONSE = "concat('Note', chr(10), '--- File: src/', source, '.md ---', chr(10), text, chr(10), '--- End File ---', chr(10), '--- Delete File: old/', lang, ' ---', chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('--- File: ../up ---', chr(10), 'x', chr(10), '--- End File ---') ELSE '--- File: tail.txt ---' END)"
 
 
 def _plan_sql(response: str) -> str:
@@ -161,15 +152,9 @@ def _plans(spark: SparkSession, sf_dir: str, response: str) -> DataFrame:
     return R.write_plan(rows, ["doc_id"]).select("doc_id", "block", "op", "target", "content", "error")
 
 
-@query(_plan_sql(_RESPONSE_CUT))
+@query(_plan_sql(_RESPONSE))
 def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plans(spark, sf_dir, _RESPONSE_CUT)
-
-
-@query(_plan_sql(_RESPONSE_FULL))
-def write_plan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with whole texts in the blocks."""
-    return _plans(spark, sf_dir, _RESPONSE_FULL)
+    return _plans(spark, sf_dir, _RESPONSE)
 
 
 _INDENTED = "CASE WHEN (doc_id + ln) % 4 = 0 THEN concat(chr(9), line) WHEN (doc_id + ln) % 4 = 1 THEN concat(repeat(' ', CAST(2 + doc_id % 2 * 2 AS int)), line) WHEN (doc_id + ln) % 4 = 2 THEN concat('    ', line) ELSE line END"
@@ -278,13 +263,7 @@ def _prompts(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), joined("part", "turn", "\n").alias("prompt"), F.sum(F.octet_length("text")).alias("size"))
 
 
-@query(_PROMPT_SQL.format("substring(text, 1, 30)"))
-def assemble_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 30 characters of a conversation's turns joined in order."""
-    return _prompts(spark, sf_dir, F.substring("text", 1, 30))
-
-
 @query(_PROMPT_SQL.format("text"))
-def assemble_prompts_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assemble_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's whole turns joined in order."""
     return _prompts(spark, sf_dir, F.col("text"))

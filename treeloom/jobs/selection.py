@@ -11,8 +11,6 @@ from treeloom.operators import selectors as S
 from treeloom.operators.review import trimmed
 from treeloom.sources.corpus import DIR_SQL, NAME_SQL, files, lines, table
 
-PROMPT_BYTES, TRIM_BYTES = 6000, 1000  # limits in these queries, so that they bite on small tables
-
 QUERIES, ORACLE = {}, {}
 
 _PATH_SQL = f"(CASE WHEN {DIR_SQL} = '' THEN {NAME_SQL} ELSE concat({DIR_SQL}, '/', {NAME_SQL}) END)".replace("doc_id", "(conv_id * 3 + turn)").replace("source", "'src1'").replace("lang", "'en'")
@@ -60,8 +58,7 @@ def strict_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy("req_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("code") == "ok").alias("n_ok"), F.bool_and(F.col("code").isin("ok", "blank")).alias("accepted"))
 
 
-_EMBEDDED_LINE = "concat({0}, ' FILE: ', source, '/a.go, and file:', lang, '/b.py); xFILE:no', CASE WHEN doc_id % 2 = 0 THEN ' (FILE:c.ts]' ELSE '' END)"
-_EMBEDDED_CUT, _EMBEDDED_FULL = _EMBEDDED_LINE.format("substring(text, 1, 15)"), _EMBEDDED_LINE.format("text")
+_EMBEDDED_LINE = "concat(text, ' FILE: ', source, '/a.go, and file:', lang, '/b.py); xFILE:no', CASE WHEN doc_id % 2 = 0 THEN ' (FILE:c.ts]' ELSE '' END)"
 
 
 def _embedded_sql(line: str) -> str:
@@ -74,15 +71,9 @@ def _embedded(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
     return S.embedded(table(spark, sf_dir, "documents").select("doc_id", F.expr(line).alias("line"))).select("doc_id", "pos", "sel_path")
 
 
-@query(_embedded_sql(_EMBEDDED_CUT))
+@query(_embedded_sql(_EMBEDDED_LINE))
 def embedded_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _embedded(spark, sf_dir, _EMBEDDED_CUT)
-
-
-@query(_embedded_sql(_EMBEDDED_FULL))
-def embedded_selectors_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the whole text before the selectors."""
-    return _embedded(spark, sf_dir, _EMBEDDED_FULL)
+    return _embedded(spark, sf_dir, _EMBEDDED_LINE)
 
 
 @query(f"WITH {FILES}, {_PARSED} SELECT req_id, seq, sel_path, sel_path IN (SELECT path FROM files) AS found FROM parsed WHERE code = 'ok'")
@@ -218,16 +209,16 @@ def span_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", method.alias("method"), F.col("anchor").alias("first_line"), last.alias("last_line"))
 
 
-@query(f"SELECT doc_id, CASE WHEN strlen(text) <= {TRIM_BYTES} THEN text ELSE substr(text, 1, {TRIM_BYTES // 2}) || chr(10) || '... [cut ' || (strlen(text) - {TRIM_BYTES}) || ' bytes] ...' || chr(10) || substr(text, length(text) - {TRIM_BYTES // 2} + 1) END AS content FROM documents WHERE strlen(text) = length(text)")
-def trim_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one-byte characters only, which the SQL can cut by bytes; trim_content_full takes all rows."""
-    docs = table(spark, sf_dir, "documents").where("octet_length(text) = length(text)")
-    return docs.select("doc_id", trimmed("text", TRIM_BYTES).alias("content"))
+def _trim_sql(limit: int) -> str:
+    half = limit // 2
+    head = ", ".join(f"try(decode(data[1:{half - i}]))" for i in range(4))
+    tail = ", ".join(f"try(decode(data[size - {half} + {1 + i}:size]))" for i in range(4))
+    return f"""WITH d AS (SELECT doc_id, text, encode(text) AS data, strlen(text) AS size FROM documents), h AS (SELECT *, coalesce({head}) AS head, coalesce({tail}) AS tail FROM d)
+SELECT doc_id, CASE WHEN size <= {limit} THEN text ELSE head || chr(10) || '... [cut ' || (size - strlen(head) - strlen(tail)) || ' bytes] ...' || chr(10) || tail END AS content FROM h"""
 
 
-@query(None)
-def trim_content_full(spark: SparkSession, sf_dir: str, limit: int = N.FILE_BYTES) -> DataFrame:
-    """Every document at the reference's limit; no SQL, since DuckDB doesn't cut text by bytes."""
+@query(_trim_sql(N.FILE_BYTES))
+def trim_content(spark: SparkSession, sf_dir: str, limit: int = N.FILE_BYTES) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", trimmed("text", limit).alias("content"))
 
 
@@ -237,17 +228,13 @@ u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY doc_id) + 100 + len
 SELECT source, doc_id, k::BIGINT AS k, total::BIGINT AS total FROM u JOIN m USING (source) WHERE k <= keep"""
 
 
-@query(_prompt_sql(PROMPT_BYTES, TRIM_BYTES))
-def prompt_budget(spark: SparkSession, sf_dir: str, limit: int = PROMPT_BYTES, trim: int = TRIM_BYTES) -> DataFrame:
+@query(_prompt_sql(N.PROMPT_BYTES, N.FILE_BYTES))
+def prompt_budget(spark: SparkSession, sf_dir: str, limit: int = N.PROMPT_BYTES, trim: int = N.FILE_BYTES) -> DataFrame:
     """As many documents of a source as fit, the header holding their number; size(k) is explicit, so no re-rendering."""
     docs = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", (F.least(F.octet_length("text"), F.lit(trim)) + 40).alias("size"))
+    # A document takes 40 bytes at least: what stands later can't fit, and is dropped before the shuffle.
+    docs = docs.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where(F.col("nth") <= limit // 40 + 1)
     order = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = docs.withColumn("k", F.count("*").over(order)).withColumn("total", F.sum("size").over(order) + 100 + F.length(F.col("k").cast("string")))
     keep = F.max(F.when(F.col("total") <= limit, F.col("k"))).over(Window.partitionBy("source"))
     return ranked.withColumn("keep", keep).where("k <= keep").select("source", "doc_id", "k", F.col("total").cast("long").alias("total"))
-
-
-@query(_prompt_sql(N.PROMPT_BYTES, N.FILE_BYTES))
-def prompt_budget_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same at the reference's limits."""
-    return prompt_budget(spark, sf_dir, N.PROMPT_BYTES, N.FILE_BYTES)
