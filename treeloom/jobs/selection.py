@@ -9,7 +9,7 @@ from treeloom.functions import names as N
 from treeloom.jobs.mapping import FILES
 from treeloom.operators import selectors as S
 from treeloom.operators.review import trimmed
-from treeloom.sources.corpus import DIR_SQL, NAME_SQL, files, lines, table
+from treeloom.sources.corpus import DIR_SQL, NAME_SQL, files, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -32,7 +32,6 @@ _TRIM = r"regexp_replace(regexp_replace({0}, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+
 _RE = "(?i)^(FILE|PREFIX|NEAR):([^#]*)(?:#(.*))?$"
 _PARSED = rf"""{_LINES}, raw AS (SELECT *, upper(regexp_extract(line, '{_RE}', 1)) AS type, {_TRIM.format(f"regexp_extract(line, '{_RE}', 2)")} AS sel_path, {_TRIM.format(f"regexp_extract(line, '{_RE}', 3)")} AS pattern FROM sel),
 parsed AS (SELECT *, CASE WHEN {_TRIM.format("line")} = '' THEN 'blank' WHEN type = '' THEN 'not_a_selector' WHEN sel_path = '' THEN 'no_path' WHEN type <> 'FILE' AND pattern = '' THEN 'no_pattern' ELSE 'ok' END AS code FROM raw)"""
-_DOC_LINES = "lines AS (SELECT doc_id, i - 1 AS ln, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
 
 
 def query(sql: str | None):
@@ -106,109 +105,6 @@ def supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.supersede(grouped).select("req_id", "seq", "type", "sel_path", "pattern")
 
 
-#: A pattern of each document: eight characters from its middle.
-_PATTERN = "substring(text, CAST(length(text) / 2 AS int), 8)"
-
-
-def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr("substring(text, length(text) div 2, 8)").alias("pattern")).where("pattern is not null and instr(pattern, '\n') = 0 and trim(pattern) <> ''")
-
-
-_WANTED = "wanted AS (SELECT doc_id, pattern FROM (SELECT doc_id, substring(text, greatest(length(text) // 2, 1), CASE WHEN length(text) // 2 = 0 THEN 8 ELSE 8 END) AS pattern FROM documents) WHERE NOT contains(pattern, chr(10)) AND trim(pattern) <> '')"
-
-
-@query(f"WITH {_DOC_LINES}, {_WANTED} SELECT doc_id, min(ln)::BIGINT AS anchor FROM lines JOIN wanted USING (doc_id) WHERE contains({_TRIM.format('line')}, pattern) GROUP BY doc_id")
-def near_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.first_match(lines(spark, sf_dir), _wanted(spark, sf_dir), near=True)
-
-
-@query(f"WITH {_DOC_LINES}, w AS (SELECT doc_id, substring(line, 1, 4) AS pattern FROM lines WHERE ln = 1 AND trim(line) <> '') SELECT doc_id, min(ln)::BIGINT AS anchor FROM lines JOIN w USING (doc_id) WHERE starts_with({_TRIM.format('line')}, pattern) GROUP BY doc_id")
-def prefix_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir)
-    wanted = rows.where("ln = 1 and trim(line) <> ''").select("doc_id", F.substring("line", 1, 4).alias("pattern"))
-    return S.first_match(rows, wanted, near=False)
-
-
-_MARKED = "marked AS (SELECT doc_id, ln, CASE WHEN (doc_id + ln) % 3 <> 0 THEN '# ' || line ELSE line END AS line FROM lines)"
-
-
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).withColumn("line", F.when((F.col("doc_id") + F.col("ln")) % 3 != 0, F.concat(F.lit("# "), F.col("line"))).otherwise(F.col("line")))
-
-
-@query(rf"""WITH {_DOC_LINES}, {_MARKED}, a AS (SELECT doc_id, max(ln) // 2 AS anchor FROM marked GROUP BY doc_id), c AS (SELECT m.doc_id, anchor, ln, regexp_matches(line, '^\s*(#|//|/\*|\*|@)') AS comment FROM marked m JOIN a USING (doc_id) WHERE ln <= anchor)
-SELECT doc_id, anchor::BIGINT AS anchor, (CASE WHEN arg_max(comment, ln) THEN coalesce(max(ln) FILTER (WHERE NOT comment), -1) + 1 ELSE anchor END)::BIGINT AS start FROM c GROUP BY doc_id, anchor""")
-def anchor_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _marked(spark, sf_dir)
-    return S.extend_anchor(rows, rows.groupBy("doc_id").agg(F.expr("max(ln) div 2").alias("anchor")))
-
-
-_SIZES = "sizes AS (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, strlen(text) AS size FROM documents WHERE text IS NOT NULL)"
-
-
-def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.octet_length("text").cast("long").alias("size"))
-
-
-@query(f"""WITH {_DOC_LINES}, {_WANTED}, {_SIZES}, a AS (SELECT doc_id, min(ln) AS anchor FROM lines JOIN wanted USING (doc_id) WHERE contains({_TRIM.format("line")}, pattern) GROUP BY doc_id),
-p AS (SELECT doc_id, n_lines <= {N.SMALL_LINES} AND size <= {N.SMALL_BYTES} AS full_file, n_lines, coalesce(anchor, 0) AS anchor FROM sizes LEFT JOIN a USING (doc_id)),
-q AS (SELECT doc_id, full_file, CASE WHEN full_file THEN 0 ELSE greatest(anchor - 3, 0) END AS first_line, CASE WHEN full_file THEN n_lines - 1 ELSE least(anchor + 6, n_lines - 1) END AS last_line FROM p)
-SELECT doc_id, full_file, first_line::BIGINT AS first_line, last_line::BIGINT AS last_line, string_agg(line, chr(10) ORDER BY ln) AS content FROM q JOIN lines USING (doc_id) WHERE ln BETWEEN first_line AND last_line GROUP BY ALL""")
-def fallback_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir)
-    return S.fallback(rows, S.first_match(rows, _wanted(spark, sf_dir), near=True), _sizes(spark, sf_dir))
-
-
-_CODE = "code AS (SELECT page_id AS doc_id, i - 1 AS ln, l[i] AS line FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, string_split(regexp_replace(html, '[;>]', chr(10), 'g'), chr(10)) AS l FROM pages)))"
-
-
-def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of code-like text: pages cut at semicolons and tag ends."""
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.split("html", "[;>\n]")).alias("ln", "line")).withColumn("ln", F.col("ln").cast("long"))
-
-
-@query(f"""WITH {_CODE}, a AS (SELECT doc_id, min(ln) AS anchor FROM code WHERE contains(line, '{{') GROUP BY doc_id),
-d AS (SELECT doc_id, anchor, ln, sum(length(line) - length(replace(line, '{{', ''))) OVER w AS opens, sum(length(replace(line, '}}', '')) - length(replace(line, '{{', ''))) OVER w AS depth FROM code JOIN a USING (doc_id) WHERE ln >= anchor AND ln < anchor + {N.BRACE_LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY ln))
-SELECT doc_id, anchor::BIGINT AS anchor, (min(ln) FILTER (WHERE opens > 0 AND depth <= 0))::BIGINT AS end_ln FROM d GROUP BY doc_id, anchor""")
-def brace_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _code(spark, sf_dir)
-    return S.brace_span(rows, rows.where(F.col("line").contains("{")).groupBy("doc_id").agg(F.min("ln").alias("anchor")))
-
-
-_NESTED = "nested AS (SELECT doc_id, ln, repeat(' ', ((doc_id + ln * 3) % 4 * 2)::INT) || line AS line FROM lines)"
-
-
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).withColumn("line", F.concat(F.repeat(F.lit(" "), ((F.col("doc_id") + F.col("ln") * 3) % 4 * 2).cast("int")), F.col("line")))
-
-
-@query(f"""WITH {_DOC_LINES}, {_NESTED}, a AS (SELECT doc_id, max(ln) // 3 AS anchor FROM nested GROUP BY doc_id), i AS (SELECT *, length(regexp_extract(line, '^[ \t]*')) AS depth, {_TRIM.format("line")} <> '' AS solid FROM nested),
-b AS (SELECT a.doc_id, anchor, depth AS base FROM a JOIN i ON i.doc_id = a.doc_id AND i.ln = a.anchor), s AS (SELECT b.doc_id, anchor, min(ln) FILTER (WHERE solid AND ln > anchor AND depth <= base) AS stop FROM b JOIN i USING (doc_id) WHERE ln >= anchor GROUP BY ALL)
-SELECT s.doc_id, anchor::BIGINT AS anchor, (max(ln) FILTER (WHERE solid))::BIGINT AS end_ln FROM s JOIN i USING (doc_id) WHERE ln >= anchor AND (stop IS NULL OR ln < stop) GROUP BY ALL""")
-def indent_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _nested(spark, sf_dir)
-    return S.indent_span(rows, rows.groupBy("doc_id").agg(F.expr("max(ln) div 3").alias("anchor")))
-
-
-@query(rf"""WITH {_CODE}, a AS (SELECT doc_id, max(ln) // 4 AS anchor FROM code GROUP BY doc_id), n AS (SELECT doc_id, anchor, ln, NOT regexp_matches(line, '[,.+\-*/=(\[{{\\:]\s*$') AS stops FROM code JOIN a USING (doc_id) WHERE ln >= anchor AND ln < anchor + {N.DECLARATION_LINES})
-SELECT doc_id, anchor::BIGINT AS anchor, coalesce(min(ln) FILTER (WHERE stops), max(ln))::BIGINT AS end_ln FROM n GROUP BY ALL""")
-def declaration_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _code(spark, sf_dir)
-    return S.declaration_span(rows, rows.groupBy("doc_id").agg(F.expr("max(ln) div 4").alias("anchor")))
-
-
-@query(None)
-def span_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, method, first_line, last_line): brace, else indent, else declaration, else the lines around."""
-    rows = _code(spark, sf_dir)
-    anchors = rows.groupBy("doc_id").agg(F.expr("max(ln) div 4").alias("anchor"))
-    side = lambda found, name: found.select("doc_id", F.col("end_ln").alias(name))
-    joined = anchors.join(side(S.brace_span(rows, anchors), "brace"), "doc_id", "left").join(side(S.indent_span(rows, anchors), "indent"), "doc_id", "left").join(side(S.declaration_span(rows, anchors), "declaration"), "doc_id", "left")
-    method = F.when(F.col("brace").isNotNull(), "brace").when(F.col("indent") > F.col("anchor"), "indent").when(F.col("declaration").isNotNull(), "declaration").otherwise("window")
-    last = F.when(method == "brace", F.col("brace")).when(method == "indent", F.col("indent")).when(method == "declaration", F.col("declaration")).otherwise(F.col("anchor") + N.LINES_AFTER)
-    return joined.select("doc_id", method.alias("method"), F.col("anchor").alias("first_line"), last.alias("last_line"))
-
-
 def _trim_sql(limit: int) -> str:
     half = limit // 2
     head = ", ".join(f"try(decode(data[1:{half - i}]))" for i in range(4))

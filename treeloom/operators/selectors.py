@@ -1,21 +1,16 @@
-"""The selector language: parsing, resolution against files, precedence, anchors and spans."""
+"""The selector language: parsing, resolution against files, precedence."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.functions import names as N
+from treeloom.operators.spans import trim
 
 _LINE = r"(?i)^(FILE|PREFIX|NEAR):([^#]*)(?:#(.*))?$"
 _EMBEDDED = r"(?is)(?<![\p{L}\p{Nd}_])FILE:(.*?)(?=(?<![\p{L}\p{Nd}_])FILE:|$)"
 
 
-def trim(text: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def parse(lines: DataFrame, column: str = "line") -> DataFrame:
     """Adds type, sel_path, pattern and code: ok, blank, no_path, no_pattern or not_a_selector."""
     kind = F.upper(F.regexp_extract(column, _LINE, 1))
@@ -71,67 +66,3 @@ def supersede(selectors: DataFrame) -> DataFrame:
     marked = selectors.withColumn("whole", F.max(F.col("type") == "FILE").over(group)).where((F.col("type") == "FILE") | ~F.col("whole"))
     first = Window.partitionBy("req_id", "sel_path", "type", F.when(F.col("type") == "FILE", "").otherwise(F.col("pattern"))).orderBy("seq")
     return marked.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "whole")
-
-
-def first_match(lines: DataFrame, wanted: DataFrame, near: bool) -> DataFrame:
-    """(doc_id, anchor): the first line whose trimmed text contains, or starts with, the document's pattern."""
-    text = trim(F.col("line"))
-    test = F.contains(text, F.col("pattern")) if near else F.startswith(text, F.col("pattern"))
-    return lines.join(wanted, "doc_id").where(test).groupBy("doc_id").agg(F.min("ln").alias("anchor"))
-
-
-def is_comment(line: Column) -> Column:
-    return line.rlike(r"^\s*(#|//|/\*|\*|@)")
-
-
-def extend_anchor(lines: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, anchor, start): a comment anchor moves up over the comments directly above it."""
-    above = lines.join(anchors, "doc_id").where("ln <= anchor").withColumn("comment", is_comment(F.col("line")))
-    last_code = above.groupBy("doc_id", "anchor").agg(F.max(F.when(~F.col("comment"), F.col("ln"))).alias("code"), F.max_by("comment", "ln").alias("on_comment"))
-    return last_code.select("doc_id", "anchor", F.when(F.col("on_comment"), F.coalesce("code", F.lit(-1)) + 1).otherwise(F.col("anchor")).alias("start"))
-
-
-def fallback(lines: DataFrame, anchors: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, full_file, first_line, last_line, content): the whole of a small file, else the lines around the anchor (0 where there is none)."""
-    plan = sizes.join(anchors, "doc_id", "left").withColumn("anchor", F.coalesce("anchor", F.lit(0)))
-    small = (F.col("n_lines") <= N.SMALL_LINES) & (F.col("size") <= N.SMALL_BYTES)
-    low, high = F.greatest(F.col("anchor") - N.LINES_BEFORE, F.lit(0)), F.least(F.col("anchor") + N.LINES_AFTER, F.col("n_lines") - 1)
-    plan = plan.select("doc_id", small.alias("full_file"), F.when(small, 0).otherwise(low).cast("long").alias("first_line"), F.when(small, F.col("n_lines") - 1).otherwise(high).cast("long").alias("last_line"))
-    picked = lines.join(plan, "doc_id").where("ln between first_line and last_line")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n")  # at most 24 or 10 lines
-    return picked.groupBy("doc_id", "full_file", "first_line", "last_line").agg(text.alias("content"))
-
-
-def brace_span(lines: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, anchor, end_ln): from the anchor to where its braces close, within BRACE_LINES lines; null where they don't.
-
-    Braces are counted as they stand; quoting is not looked at.
-    """
-    near = lines.join(anchors, "doc_id").where(f"ln >= anchor and ln < anchor + {N.BRACE_LINES}")
-    opened, closed = (F.length("line") - F.length(F.translate("line", c, "")) for c in "{}")
-    running = Window.partitionBy("doc_id", "anchor").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    depth = near.withColumn("opens", F.sum(opened).over(running)).withColumn("depth", F.sum(opened - closed).over(running))
-    end = F.min(F.when((F.col("opens") > 0) & (F.col("depth") <= 0), F.col("ln")))
-    return depth.groupBy("doc_id", "anchor").agg(end.alias("end_ln"))
-
-
-def indent(line: Column) -> Column:
-    """Width of leading blanks, a tab being four."""
-    return F.length(F.replace(F.regexp_extract(line, r"^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
-
-
-def indent_span(lines: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, anchor, end_ln): the anchor's block by indentation: up to the line before the next non-blank line that isn't deeper."""
-    base = lines.join(anchors.select("doc_id", F.col("anchor").alias("ln")), ["doc_id", "ln"]).select("doc_id", F.col("ln").alias("anchor"), indent(F.col("line")).alias("base"))
-    after = lines.join(base, "doc_id").where("ln >= anchor").withColumn("solid", trim(F.col("line")) != "")
-    stop = F.min(F.when(F.col("solid") & (F.col("ln") > F.col("anchor")) & (indent(F.col("line")) <= F.col("base")), F.col("ln")))
-    ends = after.groupBy("doc_id", "anchor", "base").agg(stop.alias("stop"), F.max("ln").alias("last"))
-    limited = lines.join(ends, "doc_id").where("ln >= anchor and ln < coalesce(stop, last + 1)")
-    return limited.groupBy("doc_id", "anchor").agg(F.max(F.when(trim(F.col("line")) != "", F.col("ln"))).alias("end_ln"))
-
-
-def declaration_span(lines: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, anchor, end_ln): lines from the anchor on that end in a continuation sign, and the one after; at most DECLARATION_LINES."""
-    near = lines.join(anchors, "doc_id").where(f"ln >= anchor and ln < anchor + {N.DECLARATION_LINES}")
-    stops = ~F.col("line").rlike(r"[,.+\-*/=(\[{\\:]\s*$")
-    return near.groupBy("doc_id", "anchor").agg(F.coalesce(F.min(F.when(stops, F.col("ln"))), F.max("ln")).alias("end_ln"))
