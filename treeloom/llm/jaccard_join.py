@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.llm.graph import connected_components
-from treeloom.llm.storage import columns, saved, table
+from treeloom.llm.storage import columns, discard, saved, table
 from treeloom.llm.words import chunks, hash_words, mix64, sequence_key, shingle_keys
 
 SIZE_RATIO = 1.6
@@ -195,25 +195,27 @@ def _may_link(left: np.ndarray, right: np.ndarray, a_size: np.ndarray, b_size: n
 
 
 def coarse_segments(docs: DataFrame, n: int) -> DataFrame:
-    """(hi, lo, fragment, shingles) of each row's set."""
+    """(hi, lo, fragments) of each row's set: its shingles cut into COARSE_FRAGMENTS runs of the global order."""
 
     def emit(ids, texts):
         owner, keys, sizes = sets_of(texts, n)
         hi, lo = _set_ids(owner, keys, sizes)
-        if not len(keys):
+        own = np.flatnonzero(sizes)
+        if not len(own):
             return None
         part = (keys >> np.uint64(64 - COARSE_FRAGMENTS.bit_length() + 1)).astype(np.int64)
-        at = np.flatnonzero(np.diff(owner * COARSE_FRAGMENTS + part, prepend=-1))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(keys)).astype(np.int32)), pa.array(keys.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(hi[owner[at]]), pa.array(lo[owner[at]]), pa.array(part[at].astype(np.int32)), lists], ["hi", "lo", "fragment", "shingles"])
+        cuts = np.searchsorted(owner * COARSE_FRAGMENTS + part, (own[:, None] * COARSE_FRAGMENTS + np.arange(COARSE_FRAGMENTS)[None, :]).ravel())
+        runs = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(keys)).astype(np.int32)), pa.array(keys.view(np.int64)))
+        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(own) + 1) * COARSE_FRAGMENTS).astype(np.int32)), runs)
+        return pa.RecordBatch.from_arrays([pa.array(hi[own]), pa.array(lo[own]), lists], ["hi", "lo", "fragments"])
 
-    return docs.mapInArrow(_over_texts(emit), "hi long, lo long, fragment int, shingles array<long>")
+    return docs.mapInArrow(_over_texts(emit), "hi long, lo long, fragments array<array<long>>")
 
 
 def _pieces(docs: DataFrame, ids: DataFrame, n: int, unique: bool) -> DataFrame:
     """coarse_segments() of the texts of ``ids``, each set once."""
     found = coarse_segments(_only(docs, ids), n)
-    return saved(found if unique else found.dropDuplicates(["hi", "lo", "fragment"]), "pieces")
+    return saved(found if unique else found.dropDuplicates(["hi", "lo"]), "pieces")
 
 
 def _promising(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -234,10 +236,12 @@ def _promising(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 def _similar(pairs: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) of ``pairs`` (of _promising) whose sets are similar: overlaps by fragment, summed by pair."""
-    left = pieces.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), "fragment", F.col("shingles").alias("left"))
-    right = pieces.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), "fragment", F.col("shingles").alias("right"))
-    partial = pairs.join(left, ["a_hi", "a_lo"]).join(right, ["b_hi", "b_lo", "fragment"]).withColumn("shared", F.size(F.array_intersect("left", "right")))
-    total = partial.groupBy("a", "b", "a_hi", "a_lo", "b_hi", "b_lo", "a_size", "b_size").agg(F.sum("shared").alias("shared"))
+    # Both sides take the sets dealt out by the same key, so that they are shuffled once.
+    left = pieces.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("fragments").alias("left"))
+    right = pieces.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("fragments").alias("right"))
+    both = pairs.join(left, ["a_hi", "a_lo"]).join(right, ["b_hi", "b_lo"])
+    partial = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
+    total = both.withColumn("shared", F.aggregate(partial, F.lit(0).cast("long"), lambda a, x: a + x))
     return total.where(f"{den} * shared >= {num} * (a_size + b_size - shared)").select("a", "b").distinct()
 
 
@@ -309,19 +313,18 @@ def _likely(blocks: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
 def _block_links(likely: DataFrame, blocks: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of similar sets in different components, one for each two components of a pair of blocks."""
     loaded = likely.join(blocks.select("block", "doc_id", "component", "size", "hi", "lo"), "doc_id").where("block = x or block = y")
-    loaded = loaded.join(pieces, ["hi", "lo"]).select("x", "y", "block", "doc_id", "component", "size", "hi", "fragment", "shingles")
+    loaded = loaded.join(pieces, ["hi", "lo"]).select("x", "y", "block", "doc_id", "component", "size", "hi", "fragments")
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
         x, y = (k.as_py() for k in key)
-        held: dict[int, dict[tuple, dict[int, np.ndarray]]] = {x: {}, y: {}}
-        columns = (table.column(c).to_pylist() for c in ("block", "doc_id", "component", "size", "hi", "fragment"))
-        for block, *doc, fragment, shingles in zip(*columns, table.column("shingles"), strict=True):
-            held[block].setdefault(tuple(doc), {})[fragment] = shingles.values.to_numpy()
-        none = np.zeros(0, dtype=np.int64)
+        held: dict[int, dict[tuple, list[np.ndarray]]] = {x: {}, y: {}}
+        columns = (table.column(c).to_pylist() for c in ("block", "doc_id", "component", "size", "hi"))
+        for block, *doc, fragments in zip(*columns, table.column("fragments"), strict=True):
+            held[block][tuple(doc)] = [f.values.to_numpy() for f in fragments]
         left, right = list(held[x]), list(held[y])
         shared = np.zeros((len(left), len(right)), dtype=np.int64)
         for f in range(COARSE_FRAGMENTS):  # each fragment by itself, summed for each pair
-            shared += _overlaps([held[x][d].get(f, none) for d in left], [held[y][d].get(f, none) for d in right]).astype(np.int64)
+            shared += _overlaps([held[x][d][f] for d in left], [held[y][d][f] for d in right]).astype(np.int64)
         size = lambda docs: np.array([d[2] for d in docs], dtype=np.int64)
         component = lambda docs: np.array([d[1] for d in docs], dtype=np.int64)
         near = den * shared >= num * (size(left)[:, None] + size(right)[None, :] - shared)
@@ -357,8 +360,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     copies = real.join(reps.select("hi", "lo", F.col("doc_id").alias("b")), ["hi", "lo"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     reps = saved(reps, "representatives")
     spare = saved(copies.select(F.col("a").alias("doc_id")).join(reps.select("doc_id"), "doc_id", "left_anti").distinct(), "copies")
-    # Copies stand in all buckets of their representative: to leave them out early saves rows, to leave them in costs none.
-    once = docs.join(F.broadcast(spare), "doc_id", "left_anti") if _is_small(spare) else docs
+    # Copies would stand in all buckets of their representative.
+    once = docs.join(F.broadcast(spare) if _is_small(spare) else spare, "doc_id", "left_anti")
 
     bucket = Window.partitionBy("segment").orderBy("doc_id")
     hubs = segments(once, n, num, den).withColumn("hub", F.first("doc_id").over(bucket)).where("hub <> doc_id")
@@ -372,7 +375,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     # Sets are in one row each unless ids repeat.
     unique = not sets.groupBy("doc_id").count().where("count > 1").limit(1).count()
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    near = saved(_similar(pairs, _pieces(docs, saved(wanted, "wanted"), n, unique), num, den), "near")
+    wanted = saved(wanted, "wanted")
+    pieces = _pieces(docs, wanted, n, unique)
+    near = saved(_similar(pairs, pieces, num, den), "near")
+    discard(pieces, wanted, pairs, ids, spare)
     first = connected_components(copies.unionByName(near))
 
     # Members of one bucket that are still in different components: compared block by block.
@@ -380,10 +386,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     rows = rows.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("segment").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("segment")
     rows = saved(rows.join(split, "segment", "left_semi"), "split")
+    discard(members)
     blocks = saved(_blocks(rows, drawn, num, den), "blocks")
-    likely = _likely(blocks, _block_pairs(rows, blocks, num, den), num, den)
-    more = _block_links(likely, blocks, _pieces(docs, saved(likely.select("doc_id").distinct(), "wanted"), n, unique), num, den)
+    block_pairs = _block_pairs(rows, blocks, num, den)
+    discard(rows, drawn)
+    likely = _likely(blocks, block_pairs, num, den)
+    wanted = saved(likely.select("doc_id").distinct(), "wanted")
+    pieces = _pieces(docs, wanted, n, unique)
+    more = _block_links(likely, blocks, pieces, num, den)
+    discard(pieces, wanted, likely, blocks, block_pairs)
     last = connected_components(more.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    discard(more, near, reps)
 
     out = sets.join(last, sets.doc_id == last.id, "left")
     return out.select(sets.doc_id, F.col("size").alias("n_shingles"), F.coalesce("component", sets.doc_id).alias("component_id"))
