@@ -67,12 +67,27 @@ def test_review_overflow_stops_all_later(spark):
 
 
 def test_references_and_write_paths(spark):
-    refs = R.references(spark.createDataFrame([("see @a/b.go, and mail x@y.z @c).",)], "text string")).collect()
-    assert [(r.pos, r.ref) for r in refs] == [(0, "a/b.go"), (1, "c")]
+    text = 'see @a/b.go, and mail x@y.z @c). @"a \\"b\\".md" @.\n```\n@in.md\n````\n@é1 @"open'
+    refs = R.references(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [(r.pos, r.ref) for r in refs] == [(0, "a/b.go"), (1, "c"), (2, 'a "b".md'), (3, "é1")]
+    open_ones = [("@\"x",), ("@\"x\"",), ("a@\"x",), ('@"x\\"',), (None,)]
+    assert [r.u for r in spark.createDataFrame(open_ones, "text string").select(R.unclosed_reference().alias("u")).collect()] == [True, False, False, True, None]
     errors = {r.p: r.e for r in spark.createDataFrame([(x,) for x in ("a/b", "/a", "a*", "<p>", "../x", ".", "")], "p string").select("p", R.path_error("p").alias("e")).collect()}
     assert errors == {"a/b": None, "/a": "absolute", "a*": "pattern", "<p>": "placeholder", "../x": "outside", ".": "root", "": "empty"}
 
 
+FENCES = [
+    (["a", "```go", "x", "```", "b"], "01110"), (["````", "```", "x", "````", "y"], "11110"), (["~~~", "```", "~~~", "z"], "1110"), (["```", "```go", "x"], "111"), (["```a`b", "x"], "00"),
+    (["    ```", "x"], "00"), (["```\r", "x", "  ```  ", "y"], "1110"), (["~~~ `x`", "x", "~~~~~", "y"], "1110"), (["``", "x"], "00"), (["```", "x", "``` no", "y"], "1111"),
+]
+
+
+def test_fences(spark):
+    rows = R.fence_mask(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(FENCES)], "id int, lines array<string>")).orderBy("id", "ln").collect()
+    for i, (_, want) in enumerate(FENCES):
+        assert "".join(str(int(r.fenced)) for r in rows if r.id == i) == want, FENCES[i]
+
+
 def test_partitioning_does_not_matter(spark):
     from treeloom.operators import topology as T
     from treeloom.sources.corpus import files

@@ -98,22 +98,45 @@ def untracked_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.untracked(rows, ["grp"]).select("grp", "path", "doc_id", "nth", "omitted")
 
 
-_REF_TEXT = "concat(text, ' see @', source, '/', lang, '.md, and mail@', lang, '.org @', source, ').')"
-
-
-@query(rf"""WITH t AS (SELECT doc_id, {_REF_TEXT} AS text FROM documents), r AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?:^|\s)@([^\s"@]+)', 1), lambda x: regexp_replace(x, '[.,;:)\]}}]+$', '')), lambda x: x <> '') AS refs FROM t)
-SELECT doc_id, pos::BIGINT - 1 AS pos, refs[pos] AS ref FROM (SELECT doc_id, refs, unnest(range(1, len(refs) + 1)) AS pos FROM r)""")
+def _blocks_sql(lines: str) -> str:
+    """blocks(doc_id, a, b) of the fenced lines of ``lines`` (doc_id, i, line), one mark after another."""
+    return rf"""fm AS (SELECT doc_id, i, regexp_extract(regexp_replace(line, '\r$', ''), '(?s)^ {{0,3}}(`{{3,}}|~{{3,}})', 1) AS run, regexp_extract(regexp_replace(line, '\r$', ''), '(?s)^ {{0,3}}(?:`{{3,}}|~{{3,}})(.*)$', 1) AS rest FROM {lines}),
+fk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM fm WHERE run <> ''),
+fr(doc_id, k, spot, mark, a, b) AS (SELECT DISTINCT doc_id, 0::BIGINT, NULL::BIGINT, '', NULL::BIGINT, NULL::BIGINT FROM fk UNION ALL
+  SELECT r.doc_id, f.k, CASE WHEN shut THEN NULL WHEN opens THEN f.i ELSE r.spot END, CASE WHEN shut THEN '' WHEN opens THEN f.run ELSE r.mark END, CASE WHEN shut THEN r.spot END, CASE WHEN shut THEN f.i END
+  FROM fr r JOIN fk f ON f.doc_id = r.doc_id AND f.k = r.k + 1, LATERAL (SELECT r.spot IS NOT NULL AND starts_with(f.run, r.mark) AND regexp_matches(f.rest, '^[ \t]*$') AS shut, r.spot IS NULL AND (starts_with(f.run, '~') OR NOT contains(f.rest, '`')) AS opens)),
+blocks AS (SELECT doc_id, a, b FROM fr WHERE a IS NOT NULL UNION ALL SELECT doc_id, arg_max(spot, k), 1000000000 FROM (SELECT doc_id, k, coalesce(spot, -1) AS spot FROM fr) GROUP BY doc_id HAVING arg_max(spot, k) >= 0)"""
+
+
+#: Texts with references of all forms, in fences of several lengths and signs, some unclosed.
+_REF_TEXT = (
+    "concat(text, ' see @', source, '/', lang, '.md, and mail@', lang, '.org @', source, ').@é/', lang, '.', chr(10), repeat(CASE CAST(doc_id % 2 AS INT) WHEN 0 THEN '`' ELSE '~' END, CAST(2 + doc_id % 4 AS INT)), CASE CAST(doc_id % 7 AS INT) WHEN 3 THEN 'go `x' WHEN 4 THEN ' md' ELSE '' END, chr(10), "
+    "'in @', lang, '.go', chr(10), repeat('`', CAST(2 + doc_id % 3 AS INT)), CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN ' no' WHEN 1 THEN chr(13) ELSE '' END, chr(10), 'out @\"a ', source, ' ', chr(92), '\"b', chr(92), chr(92), '.md\"@x/', lang, '. @', chr(10), repeat('~', CAST(3 + doc_id % 3 AS INT)), chr(10), '@\"\" @z', CASE WHEN doc_id % 6 = 0 THEN ' @\"open ' ELSE '' END)"
+)
+
+
+@query(rf"""WITH RECURSIVE t AS (SELECT doc_id, {{text}} AS text FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM t), {_blocks_sql("l")},
+u AS (SELECT doc_id, string_agg(CASE WHEN EXISTS (SELECT 1 FROM blocks WHERE blocks.doc_id = l.doc_id AND i BETWEEN a AND b) THEN '' ELSE line END, chr(10) ORDER BY i) AS text FROM l GROUP BY doc_id),
+m AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([\pL\p{{{{Nd}}}}_])@', '\1' || chr(3), 'g'), '(?s)@("(?:[^"\\]|\\.)*"|[\pL\p{{{{Nd}}}}/.\-_~+]*[\pL\p{{{{Nd}}}}/\-_~+])', 1) AS found FROM u),
+r AS (SELECT doc_id, unnest(range(0, len(found))) AS pos, replace(unnest(found), chr(3), '@') AS x FROM m)
+SELECT doc_id, pos::BIGINT AS pos, CASE WHEN starts_with(x, '"') THEN regexp_replace(x[2:-2], '\\(["\\])', '\1', 'g') ELSE x END AS ref, starts_with(x, '"') AS quoted FROM r""".replace("{{text}}", "{text}").replace("{{{{Nd}}}}", "{Nd}").replace("{{Nd}}", "{Nd}").replace("{text}", _REF_TEXT))
 def tagged_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.references(table(spark, sf_dir, "documents").select("doc_id", F.expr(_REF_TEXT).alias("text"))).select("doc_id", "pos", "ref")
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return R.references(docs.select("doc_id", F.expr(_REF_TEXT).alias("text"))).select("doc_id", "pos", "ref", "quoted")
 
 
-_FENCED = "CASE WHEN (doc_id + ln) % 6 = 2 THEN '```' WHEN (doc_id + ln) % 11 = 5 THEN '  ```go' ELSE line END"
+_FENCED = (
+    "CASE CAST((doc_id + {i}) % 17 AS INT) WHEN 1 THEN '```' WHEN 3 THEN '~~~~' WHEN 4 THEN '  ```go' WHEN 6 THEN '````' WHEN 7 THEN '~~~' WHEN 9 THEN '```a`b' WHEN 10 THEN '    ```' WHEN 11 THEN concat('```', chr(13)) "
+    "WHEN 12 THEN '~~~~~  ' WHEN 13 THEN '~~~ `x' WHEN 15 THEN '   ````` ' ELSE x END"
+)
 
 
-@query(f"WITH {_DOC_LINES}, f AS (SELECT doc_id, ln, {_FENCED} AS line FROM lines), m AS (SELECT *, regexp_matches(line, '^ {{0,3}}`{{3,}}[^`]*$') AS mark FROM f) SELECT doc_id, ln::BIGINT AS ln, coalesce(sum(mark::INT) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 OR mark AS fenced FROM m")
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: {_FENCED.format(i="(i - 1)")}) AS l FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM t), {_blocks_sql("l")}
+SELECT doc_id, i::BIGINT AS ln, EXISTS (SELECT 1 FROM blocks WHERE blocks.doc_id = l.doc_id AND i BETWEEN a AND b) AS fenced FROM l""")
 def fence_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = lines(spark, sf_dir).withColumn("line", F.expr(_FENCED))
-    return R.fence_mask(marked, ["doc_id"]).select("doc_id", "ln", "fenced")
+    made = "transform(split(text, '\n'), (x, i) -> " + _FENCED.format(i="i") + ")"
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.expr(made).alias("lines"))
+    return R.fence_mask(docs).select("doc_id", "ln", "fenced")
 
 
 _TICKS = "concat(text, repeat('`', CAST(doc_id % 7 AS int)), source, repeat('`', CAST(doc_id % 5 AS int)))"

@@ -31,19 +31,65 @@ def greedy(changes: DataFrame, keys: list[str], order: list[str], limit: int) ->
     return used.withColumn("verdict", F.when(F.col("status") != "pending", F.col("status")).when(over, "budget").otherwise("included"))
 
 
+def fences(lines: Column) -> Column:
+    """Blocks struct(first, last) of fenced lines, the fences among them, from an array of lines.
+
+    A fence is a run of three or more backticks or tildes after three blanks at most; what follows backticks may hold none.  It closes at a
+    run of the same sign that is as long and has nothing but blanks behind, or at the end.
+    """
+    shape = r"(?s)^ {0,3}(`{3,}+|~{3,}+)(.*?)\r?\z"
+
+    def fact(x: Column, i: Column) -> Column:
+        run, rest = F.regexp_extract(x, shape, 1), F.regexp_extract(x, shape, 2)
+        opens = F.startswith(run, F.lit("~")) | ~F.contains(rest, F.lit("`"))
+        return F.struct(i.alias("i"), F.left(run, F.lit(1)).alias("sign"), F.length(run).alias("run"), opens.alias("opens"), rest.rlike(r"^[ \t]*\z").alias("closes"))
+
+    marks = F.filter(F.transform(lines, fact), lambda m: m["run"] > 0)
+    kind = "struct<first:int,last:int>"
+    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit("").alias("sign"), F.lit(0).alias("run"), F.array().cast(f"array<{kind}>").alias("blocks"))
+
+    def step(s: Column, m: Column) -> Column:
+        closing = s["at"].isNotNull() & (m["sign"] == s["sign"]) & (m["run"] >= s["run"]) & m["closes"]
+        block = F.struct(s["at"].alias("first"), m["i"].alias("last"))
+        shut = F.struct(F.lit(None).cast("int").alias("at"), F.lit("").alias("sign"), F.lit(0).alias("run"), F.array_append(s["blocks"], block).alias("blocks"))
+        opened = F.struct(m["i"].alias("at"), m["sign"].alias("sign"), m["run"].alias("run"), s["blocks"].alias("blocks"))
+        return F.when(closing, shut).when(s["at"].isNull() & m["opens"], opened).otherwise(s)
+
+    last = F.struct(F.lit(None).cast("int").alias("first"), (F.size(lines) - 1).alias("last"))
+    return F.aggregate(marks, start, step, lambda s: F.when(s["at"].isNull(), s["blocks"]).otherwise(F.array_append(s["blocks"], F.struct(s["at"].alias("first"), last["last"].alias("last")))))
+
+
+def is_fenced(blocks: Column, i: Column) -> Column:
+    return F.exists(blocks, lambda b: (b["first"] <= i) & (i <= b["last"]))
+
+
+def fence_mask(texts: DataFrame, lines: str = "lines") -> DataFrame:
+    """(…, ln, fenced) for each line of an array of lines."""
+    rows = texts.withColumn("_blocks", fences(F.col(lines)))
+    rows = rows.select("*", F.posexplode(lines).alias("_i", "_line"))
+    return rows.select(*[c for c in texts.columns if c != lines], F.col("_i").cast("long").alias("ln"), is_fenced(F.col("_blocks"), F.col("_i")).alias("fenced"))
+
+
 def references(texts: DataFrame, column: str = "text") -> DataFrame:
-    """(…, pos, ref): unquoted ``@path`` tokens after a blank or at a line's start, without trailing punctuation."""
-    found = F.regexp_extract_all(column, F.lit(r"(?:^|\s)@([^\s\"@]+)"), 1)
-    refs = F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"[.,;:)\]}]+$", "")), lambda x: x != "")
-    return texts.select("*", F.posexplode(refs).alias("pos", "ref")).withColumn("pos", F.col("pos").cast("long"))
-
-
-def fence_mask(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds fenced: inside a block between lines of three backticks (the marks themselves count as inside)."""
-    mark = F.col("line").rlike("^ {0,3}`{3,}[^`]*$")
-    before = Window.partitionBy(*keys).orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.sum(mark.cast("long")).over(before), F.lit(0))
-    return lines.select("*", ((seen % 2 == 1) | mark).alias("fenced"))
+    """(…, pos, ref): ``@path`` and ``@"quoted path"`` outside fenced blocks, where no letter, digit or underscore stands before the sign.
+
+    Unquoted paths lose trailing punctuation; in quoted ones a backslash keeps a quotation mark or backslash.  An unclosed quotation is no
+    reference.
+    """
+    token = r'(?s)(?<![\p{L}\p{Nd}_])@("(?:[^"\\]++|\\.)*+"|[\p{L}\p{Nd}/.\-_~+]+)'
+    rows = texts.withColumn("_lines", F.split(column, "\n"))
+    rows = rows.withColumn("_blocks", fences(F.col("_lines")))
+    open_text = F.when(F.size("_blocks") == 0, F.col(column)).otherwise(F.array_join(F.transform("_lines", lambda x, i: F.when(is_fenced(F.col("_blocks"), i), "").otherwise(x)), "\n"))
+    quoted = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r'\\(["\\])', "$1")
+    plain = lambda x: F.regexp_replace(x, r"[.]+\z", "")
+    found = F.transform(F.regexp_extract_all(open_text, F.lit(token), 1), lambda x: F.struct(F.startswith(x, F.lit('"')).alias("quoted"), F.when(F.startswith(x, F.lit('"')), quoted(x)).otherwise(plain(x)).alias("ref")))
+    kept = F.filter(found, lambda x: x["quoted"] | (x["ref"] != ""))
+    return rows.select(*texts.columns, F.posexplode(kept).alias("pos", "_r")).select(*texts.columns, F.col("pos").cast("long").alias("pos"), F.col("_r.ref").alias("ref"), F.col("_r.quoted").alias("quoted"))
+
+
+def unclosed_reference(column: str = "text") -> Column:
+    """Whether a quoted reference lacks its end."""
+    return F.col(column).rlike(r'(?s)(?<![\p{L}\p{Nd}_])@"(?:[^"\\]++|\\.)*+\\?\z')
 
 
 def fence_length(column: str = "text") -> Column:
