@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -59,6 +60,40 @@ def test_page_operators_take_odd_columns(spark, labels):
     assert html_extraction.main_texts(pages).count() == url_rules.judge(pages, labels).count() == 4
 
 
+LONG = "Long text of the article, with commas, that goes on and on until it scores well beside the rest of the page. " * 6
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ('<article><p>A, b.</p><ul><li><a href=x>Source one</a><li><a href=y>Source two</a></ul></article>', "A, b.\nSource one\nSource two"),
+    ('<article><p class="widget-text">One.</p><p class="social-history">Two.</p><p class="reply-intro">Three.</p><p class="ad-box">Buy</p></article>', "One.\nTwo.\nThree."),
+    (f'<div class="content with-sidebar"><p>{LONG}</p></div><div class="sidebar-left"><p>{LONG}</p></div>', LONG.strip()),
+    (f"<div><div><p>{LONG}</p></div><h2>Next</h2><div>Short.</div><div><p>{LONG}</p></div></div>", f"{LONG.strip()}\nNext\nShort.\n{LONG.strip()}"),
+    ('<div class="comments">Only this, in noise.</div>', "Only this, in noise."), ('<div class="related-posts">x</div><p>y</p>', "y"),
+])
+def test_article_text_stays(html, text):
+    assert html_extraction.extract(html) == text
+
+
+@pytest.mark.parametrize("page", [lambda n: "<div><b>x" * n + "</i></span></p></table>" * n, lambda n: "<i><div>" + "<b>x</i><center>y<li>z" * n, lambda n: "<p><a>" * n + "</p>" * n, lambda n: "<table><tr><td>" * n + "t" + "<td>" * n])
+def test_extraction_is_linear(page):
+    began = time.process_time()
+    html_extraction.extract(page(2_000))
+    small = time.process_time() - began
+    html_extraction.extract(page(20_000))
+    assert time.process_time() - began - small < 40 * max(small, 0.02)
+
+
+def test_template_tokens_are_mined_as_one(spark):
+    """25 constant query keys would have 2**25 frequent sets; weak evidence makes no rule."""
+    keys = "&".join(f"k{i}=1" for i in range(25))
+    rows = [(i, f"http://a.example/{'bad' if i % 4 == 0 else 'good'}/{i}?{keys}", "") for i in range(400)] + [(1000 + i, f"http://b.example/few/{i}", "") for i in range(8)]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(400)] + [(1000 + i, int(i > 4), 0) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_rules.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all((got[i].verdict == "block") == (i % 4 == 0) for i in range(400))
+    assert all(got[1000 + i].verdict == "allow" for i in range(8))
+
+
 def test_stages_on_odd_rows(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -4,12 +4,14 @@ Every run of text between block borders is a paragraph.  It earns points for its
 share of link text, and passes them to its container in full and to further ancestors in falling shares.  The container
 with the most points, discounted by its own link density, is the article; siblings that score well beside it are kept.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role,
-class or id before scoring, and lists of links inside the article after it.
+class or id before scoring (if nothing is left then, classes and ids are not looked at), and lists of links beside the article after it.
+Every step is linear in the page, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,23 +40,42 @@ _NOISE = frozenset(
     "toolbar topbar masthead header footer foot comment comments commentlist disqus reply replies respond discussion share sharing social related recommended "
     "recommendations teaser popup modal overlay pagination pager widget widgets copyright legal search form skip hidden navigationbar contentinfo complementary dialog".split()
 )
+#: Words that may stand beside a noise word in a class or id that means noise; any other word gives it another sense.
+_LAYOUT = frozenset(
+    "top bottom left right main site page global primary secondary mobile desktop sticky fixed inner outer container wrapper wrap holder frame area box block section bar panel module row col "
+    "column unit slot list group item items link links posts inline full wide small large first last js id the".split()
+)
 _MAIN = frozenset("article content main post entry story body text".split())
 _NEVER = frozenset("html body main article".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _means_noise(value: str) -> bool:
+    """Whether a class, id or role holds a token of noise words, with none but layout words beside them."""
+    for token in value.split():
+        words = {w.lower() for w in _WORDS.findall(token)}
+        noise = words & _NOISE
+        if noise and words <= noise | _LAYOUT and not (words & _MAIN) - _LAYOUT:
+            return True
+    return False
+
+
 class _Page:
     """Elements of a page as parallel lists, and its runs of text: [element, pieces, length, link length]."""
 
-    def __init__(self, html: str):
-        self.tag, self.parent, self.out, self.bonus = ["html"], [-1], [False], [0.0]
+    def __init__(self, html: str, by_class: bool = True):
+        self.tag, self.parent, self.out, self.bonus, self.by_class = ["html"], [-1], [False], [0.0], by_class
         self.runs: list[list] = []
+        # For each element, whether it is in an article, its nearest block and its nearest holder (itself counts).
+        self.in_article, self.block, self.holder = [False], [0], [0]
+        #: Open elements by name, inline ones by block and name, and by holder and name: tells at once that there is nothing to close.
+        self.opened: Counter = Counter()
         self._read(html)
 
     def _open(self, tag: str, attrs: str, parent: int) -> int:
         out, bonus = self.out[parent] or tag in _LEFT_OUT, 12.0 if tag in ("article", "main") else 0.0
-        if tag == "header" and not self.out[parent] and "article" in self.path(parent):
+        if tag == "header" and not self.out[parent] and self.in_article[parent]:
             out = False  # an article's own header holds its heading
         if attrs and not out:
             for name, *values in _ATTR.findall(attrs):
@@ -62,23 +83,35 @@ class _Page:
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                     out = True
                 elif name != "style":
-                    words = {w.lower() for w in _WORDS.findall(value)}
-                    if words & _MAIN:
+                    if {w.lower() for w in _WORDS.findall(value)} & _MAIN:
                         bonus += 3
-                    if words & _NOISE and tag not in _NEVER:
+                    if self.by_class and tag not in _NEVER and _means_noise(value):
                         out = True
         self.tag.append(tag)
         self.parent.append(parent)
         self.out.append(out)
         self.bonus.append(bonus)
-        return len(self.tag) - 1
+        made = len(self.tag) - 1
+        self.in_article.append(tag == "article" or self.in_article[parent])
+        self.block.append(self.block[parent] if tag in _INLINE else made)
+        self.holder.append(made if tag in _HOLDS else self.holder[parent])
+        return made
+
+    def _count(self, node: int, by: int) -> None:
+        name, parent = self.tag[node], self.parent[node]
+        self.opened[name] += by
+        self.opened[self.block[parent], name] += by
+        self.opened[-1 - self.holder[parent], name] += by
 
-    def path(self, node: int) -> list[str]:
-        out = []
-        while node >= 0:
-            out.append(self.tag[node])
-            node = self.parent[node]
-        return out
+    def _close(self, node: int, last: int, links: int) -> tuple[int, int]:
+        """Closes all from ``node`` up to ``last``: (the element around, open links)."""
+        while True:
+            self._count(node, -1)
+            links -= self.tag[node] == "a"
+            up = self.parent[node]
+            if node == last:
+                return up, links
+            node = up
 
     def _read(self, html: str) -> None:
         at, node, run, links, tag = 0, 0, None, 0, self.tag
@@ -109,37 +142,30 @@ class _Page:
             if not inline:
                 run = None
             if end:
-                up = node
-                while up > 0 and tag[up] != name:
-                    if inline and tag[up] not in _INLINE:
-                        up = 0  # an inline end tag doesn't close a block
-                        break
-                    up = self.parent[up]
-                if up > 0:
-                    while node != up:
-                        links -= tag[node] == "a"
-                        node = self.parent[node]
-                    links -= tag[node] == "a"
-                    node = self.parent[node]
+                # An inline end tag doesn't close a block.
+                if self.opened[(self.block[node], name) if inline else name]:
+                    up = node
+                    while tag[up] != name:
+                        up = self.parent[up]
+                    node, links = self._close(node, up, links)
                 elif name == "p":
                     run = None
                 continue
             if not inline:
                 closes = _ENDS.get(name, ())
-                up = node
-                while up > 0 and tag[up] not in _HOLDS or up > 0 and tag[up] in closes:
-                    if tag[up] == "p" or tag[up] in closes:
-                        while node != up:
-                            links -= tag[node] == "a"
-                            node = self.parent[node]
-                        node = self.parent[up]
-                        break
-                    up = self.parent[up]
+                holder = self.holder[node]
+                if tag[holder] in closes or any(self.opened[-1 - holder, x] for x in ("p", *closes)):
+                    up = node
+                    while up > 0 and tag[up] != "p" and tag[up] not in closes:
+                        up = self.parent[up]
+                    if up > 0:
+                        node, links = self._close(node, up, links)
             made = self._open(name, m["attrs"] or m["attrs2"] or "", node)
             if name not in _VOID:
                 if name == "a":
                     links += 1
                 node = made
+                self._count(made, 1)
 
     @staticmethod
     def _tokens(html: str) -> Iterator[re.Match | None]:
@@ -155,49 +181,80 @@ class _Page:
         yield None
 
 
+#: What reaches a container of a run's points, by the containers between.
+_SHARES = (1, 2, 6, 9, 12, 15)
+
+
+def _weigh(page: _Page, runs: list[tuple[int, str, int, int]]) -> tuple[list[float], list[int], list[int]]:
+    """Score, characters and link characters of each element; from the leaves up, by level."""
+    n = len(page.tag)
+    chars, links, score = [0] * n, [0] * n, [0.0] * n
+    fresh = [0.0] * n  # points that haven't left their paragraph
+    levels: list[list[float] | None] = [None] * n  # points by the number of containers that they have passed
+    for node, text, size, linked in runs:
+        fresh[node] += (len(text) / 100 + text.count(",") + text.count("，") + text.count("、") + 0.2) * (1 - min(1.0, linked / size))
+        chars[node] += size
+        links[node] += linked
+    for node in range(n - 1, -1, -1):
+        if not chars[node]:
+            continue
+        kind, up, have = page.tag[node], page.parent[node], levels[node] or [0.0] * 6
+        score[node] = sum(x / share for x, share in zip(have, _SHARES, strict=True))
+        passed = [0.0, *have[:4], have[4] + have[5]]
+        own = fresh[node]
+        if kind in _INLINE:
+            pass
+        elif kind in _PARAGRAPH:
+            passed[0] += own
+            own = 0.0
+        else:
+            score[node] += own
+            passed[1] += own
+            own = 0.0
+        if up >= 0:
+            chars[up] += chars[node]
+            links[up] += links[node]
+            fresh[up] += own
+            above = levels[up]
+            levels[up] = passed if above is None else [x + y for x, y in zip(above, passed, strict=True)]
+        levels[node] = None
+    return score, chars, links
+
+
+def _runs(page: _Page) -> list[tuple[int, str, int, int]]:
+    texts = ((node, " ".join("".join(pieces).split()), size, linked) for node, pieces, size, linked in page.runs)
+    return [(node, text, max(size, 1), linked) for node, text, size, linked in texts if text]
+
+
 def extract(html: str | None) -> str:
     """The main text of a page: blocks in page order, each with single spaces, joined by newlines; empty if there is none."""
     if not html:
         return ""
     page = _Page(html)
-    runs = []
-    for node, pieces, size, linked in page.runs:
-        text = " ".join("".join(pieces).split())
-        if text:
-            runs.append((node, text, max(size, 1), linked))
+    runs = _runs(page)
+    if not runs:
+        page = _Page(html, by_class=False)
+        runs = _runs(page)
     if not runs:
         return ""
-    score, chars, links = dict[int, float](), dict[int, int](), dict[int, int]()
     parent, tag = page.parent, page.tag
-    for node, text, size, linked in runs:
-        points = (len(text) / 100 + text.count(",") + text.count("，") + text.count("、") + 0.2) * (1 - min(1.0, linked / size))
-        up, level = node, 0
-        inside = False
-        while up >= 0:
-            chars[up] = chars.get(up, 0) + size
-            links[up] = links.get(up, 0) + linked
-            if inside or tag[up] not in _PARAGRAPH and tag[up] not in _INLINE:
-                score[up] = score.get(up, 0.0) + points / (1, 2, 6, 9, 12, 15)[min(level, 5)]
-                level += 1
-            inside = inside or tag[up] not in _INLINE
-            up = parent[up]
+    score, chars, links = _weigh(page, runs)
     density = lambda n: links[n] / max(chars[n], 1)
-    worth = {n: (s + page.bonus[n]) * (1 - density(n)) for n, s in score.items()}
-    best = max(worth, key=lambda n: (worth[n], -n))
-    keep, floor = {best}, max(10.0, 0.2 * worth[best])
-    if tag[best] not in ("article", "main", "html", "body"):
-        for n in chars:
-            if n != best and parent[n] == parent[best] and (worth.get(n, 0) >= floor or tag[n] == "p" and chars[n] > 80 and density(n) < 0.25 or tag[n] == "h1" and n < best):
-                keep.add(n)
-    out = []
-    for node, text, _, _ in runs:
-        up, good = node, True
-        while up >= 0 and up not in keep:
-            good = good and not (tag[up] in _HOLDS and density(up) > 0.5)
-            up = parent[up]
-        if up >= 0 and good:
-            out.append(text)
-    return "\n".join(out)
+    worth = {n: (score[n] + page.bonus[n]) * (1 - density(n)) for n in range(len(tag)) if chars[n] and (tag[n] not in _PARAGRAPH and tag[n] not in _INLINE or score[n])}
+    best = max(worth, key=lambda n: (worth[n], -n)) if worth else 0
+    keep, floor = {best}, max(10.0, 0.2 * worth.get(best, 0.0))
+    article = tag[best] in ("article", "main")
+    if not article and tag[best] not in ("html", "body"):
+        beside = [n for n in range(len(tag)) if chars[n] and parent[n] == parent[best]]
+        keep |= {n for n in beside if worth.get(n, 0) >= floor or tag[n] == "p" and chars[n] > 80 and density(n) < 0.25 or tag[n] == "h1" and n < best}
+        # Headings, lists and other short blocks between those that stay.
+        low, high = min(keep), max(keep)
+        keep |= {n for n in beside if low < n < high and density(n) <= 0.5}
+    stays = [False] * len(tag)
+    for n in range(len(tag)):
+        up = parent[n]
+        stays[n] = n in keep or up >= 0 and stays[up] and (article or not (tag[n] in _HOLDS and chars[n] and density(n) > 0.5))
+    return "\n".join(text for node, text, _, _ in runs if stays[node])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
