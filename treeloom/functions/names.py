@@ -50,3 +50,16 @@ BRACE_LINES, INDENT_LINES, DECLARATION_LINES, SMALL_LINES, SMALL_BYTES, LINES_BE
 
 # Languages by extension.
 LANGUAGES = {".go": "Go", ".java": "Java", ".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".cs": "C#", ".kt": "Kotlin", ".swift": "Swift", ".cpp": "C++", ".c": "C"}
+
+# Language detectors as (language, marker names, extensions, deepest marker; None: any depth); without
+# markers a file of the language is evidence enough and the project is the module.
+DETECTORS = [
+    ("Go", ["go.mod"], [".go"], MARKER_DEPTH),
+    ("Java", ["pom.xml", "build.gradle", "build.gradle.kts"], [".java"], None),
+    ("Node", ["package.json"], ".js .jsx .ts .tsx .mjs .cjs".split(), MARKER_DEPTH),
+    ("Python", [], [".py"], None),
+]
+
+# What external directories leave out, and the limits of a goal's preview and of review budgets.
+EXTERNAL_NOISE = ".ds_store thumbs.db go.sum package-lock.json pnpm-lock.yaml yarn.lock".split()
+GOAL_LINES, GOAL_BYTES, TOPOLOGY_RESERVE = 3, 96, 40 << 10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.jobs import extras, mapping, review, selection, spans, star
+from treeloom.jobs import context, extras, mapping, review, selection, spans, star
 
-QUERIES = mapping.QUERIES | selection.QUERIES | spans.QUERIES | review.QUERIES | extras.QUERIES | star.QUERIES
-ORACLE_SQL = mapping.ORACLE | selection.ORACLE | spans.ORACLE | review.ORACLE | extras.ORACLE | star.ORACLE
+QUERIES = mapping.QUERIES | selection.QUERIES | spans.QUERIES | review.QUERIES | extras.QUERIES | context.QUERIES | star.QUERIES
+ORACLE_SQL = mapping.ORACLE | selection.ORACLE | spans.ORACLE | review.ORACLE | extras.ORACLE | context.ORACLE | star.ORACLE

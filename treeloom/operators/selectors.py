@@ -19,7 +19,8 @@ def parse(lines: DataFrame, column: str = "line") -> DataFrame:
         F.when(trim(F.col(column)) == "", "blank").when(kind == "", "not_a_selector").when(path == "", "no_path")
         .when((kind != "FILE") & (pattern == ""), "no_pattern").otherwise("ok")
     )
-    return lines.select("*", kind.alias("type"), path.alias("sel_path"), pattern.alias("pattern"), code.alias("code"))
+    # Parsed once, not again in each filter on the code.
+    return lines.select("*", F.inline(F.array(F.struct(kind.alias("type"), path.alias("sel_path"), pattern.alias("pattern"), code.alias("code")))))
 
 
 def embedded(lines: DataFrame, column: str = "line") -> DataFrame:
