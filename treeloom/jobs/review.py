@@ -147,15 +147,31 @@ def fence_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(_TICKS).alias("text")).select("doc_id", R.fence_length().alias("fence"))
 
 
-_PREFIX = "f1"
+#: Prefixes that are completed; the last one fits nothing.
+_PREFIXES = ["f1", "do", "RE", "s", "pub", "src", ".e", "deploy", "in", "md", "zz"]
+_LOCAL_SQL = "SELECT DISTINCT array_to_string(p[1:k], '/') AS path, k - 1 AS depth, k < len(p) AS is_dir FROM (SELECT p, unnest(range(1, least(len(p), 2) + 1)) AS k FROM (SELECT string_split({0}, '/') AS p FROM {1}))"
 
 
-@query(f"""WITH {M.FILES}, s AS (SELECT doc_id, path, CASE WHEN {M._PATH} = '{_PREFIX}' THEN 0 WHEN starts_with({M._BASE}, '{_PREFIX}') THEN 1 WHEN len(list_filter(string_split({M._PATH}, '/'), lambda x: starts_with(x, '{_PREFIX}'))) > 0 THEN 2
-  WHEN len(list_filter(regexp_split_to_array({M._PATH}, '[/.\\-_+]'), lambda x: starts_with(x, '{_PREFIX}'))) > 0 THEN 3 WHEN contains({M._BASE}, '{_PREFIX}') THEN 4 WHEN contains({M._PATH}, '{_PREFIX}') THEN 5 END AS score, doc_id % 10 AS grp FROM files)
-SELECT grp, doc_id, path, score::BIGINT AS score, r::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score, path, doc_id) AS r FROM s WHERE score IS NOT NULL) WHERE r <= 8""")
+@query(f"""WITH {M.FILES}, ext AS (SELECT DISTINCT source, lang || '/' || name AS rel FROM (SELECT d.source, d.lang, f.name FROM documents d JOIN files f USING (doc_id)) WHERE source IS NOT NULL AND lang IS NOT NULL),
+a AS ({_LOCAL_SQL.format("path", "files")}), e AS (SELECT DISTINCT 'ext/' || source || '/' || x.path AS path, x.depth, x.is_dir FROM (SELECT source, array_to_string(p[1:k], '/') AS path, k - 1 AS depth, k < len(p) AS is_dir FROM (SELECT source, p, unnest(range(1, least(len(p), 2) + 1)) AS k FROM (SELECT source, string_split(rel, '/') AS p FROM ext))) x WHERE x.path NOT IN (SELECT path FROM a)),
+c AS (SELECT *, false AS external FROM a UNION ALL SELECT *, true FROM e), w AS (SELECT unnest({_PREFIXES}) AS prefix),
+s AS (SELECT prefix, c.*, CASE WHEN depth = 0 AND starts_with(lower(path), lower(prefix)) AND NOT external THEN 0 WHEN depth = 0 AND starts_with(lower(string_split(path, '/')[-1]), lower(prefix)) THEN 0 WHEN depth = 1 AND starts_with(lower(string_split(path, '/')[-1]), lower(prefix)) THEN 1 WHEN starts_with(lower(path), lower(prefix)) THEN 2
+  WHEN len(list_filter(list_concat(string_split(lower(path), '/'), regexp_split_to_array(lower(path), '[/.\\-_+]')), lambda x: starts_with(x, lower(prefix)))) > 0 THEN 3 END + CASE WHEN is_dir THEN 4 ELSE 0 END AS score FROM c, w)
+SELECT prefix, path, is_dir, external, score::BIGINT AS score, r::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY score, external, is_dir, path) AS r FROM s WHERE score IS NOT NULL) WHERE r <= 8""")
 def completion_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir).withColumn("score", R.completion_score(_PREFIX).cast("long")).where("score is not null").withColumn("grp", F.expr("doc_id % 10"))
-    return top_k(rows, ["grp"], [F.asc("score"), F.asc("path"), F.asc("doc_id")], 8).select("grp", "doc_id", "path", "score", "rank")
+    """Completions of some prefixes: by score, local before external, files before directories, path."""
+    rows = files(spark, sf_dir)
+    local = R.shallow(rows.select("path"))
+    outside = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").where("source is not null and lang is not null").join(rows.select("doc_id", "name"), "doc_id").select("source", F.concat_ws("/", "lang", "name").alias("path")).distinct()
+    shown = outside.groupBy("path").agg(F.collect_set("source").alias("sources"))
+    parts = F.split("path", "/")
+    steps = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(2))), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("path"), (k - 1).alias("depth"), (k < F.size(parts)).alias("is_dir")))
+    steps = shown.select("sources", F.explode(steps).alias("s")).select("sources", "s.*").join(local.select("path"), "path", "left_anti")
+    external = steps.select(F.explode("sources").alias("source"), "path", "depth", "is_dir").distinct().select(F.concat_ws("/", F.lit("ext"), "source", "path").alias("path"), "depth", "is_dir")
+    both = local.withColumn("external", F.lit(False)).unionByName(external.withColumn("external", F.lit(True)))
+    wanted = both.select("*", F.explode(F.array(*map(F.lit, _PREFIXES))).alias("prefix"))
+    scored = wanted.withColumn("score", R.completion_score(F.col("prefix")).cast("long")).where("score is not null")
+    return top_k(scored, ["prefix"], [F.asc("score"), F.asc("external"), F.asc("is_dir"), F.asc("path")], 8).select("prefix", "path", "is_dir", "external", "score", "rank")
 
 
 #: A response for each document: one file written, one deleted, one bad path, for some a block without an end.
@@ -222,22 +238,31 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("""WITH h AS (SELECT vec_id, 1 + vec_id * 13 % 4000 AS w, 1 + vec_id * 7 % 3000 AS h FROM embeddings)
-SELECT vec_id, 'png' AS format, w::BIGINT AS width, h::BIGINT AS height, (w // gcd(w, h)) || ':' || (h // gcd(w, h)) AS aspect, vec_id % 2 = 0 AS alpha FROM h""")
+def _le(value: str, n: int) -> str:
+    """Hex digits of a number's ``n`` bytes, the least first; SQL of both engines."""
+    return "concat(" + ", ".join(f"lpad(hex(CAST(floor({value} / {256**k}) AS BIGINT) % 256), 2, '0')" for k in range(n)) + ")"
+
+
+_W, _H = "(1 + vec_id * 13 % 4000)", "(1 + vec_id * 7 % 3000)"
+_BE = lambda value, n: f"lpad(hex(CAST({value} AS BIGINT)), {2 * n}, '0')"
+#: First bytes of images of five formats, some broken or of other kinds, as hex digits.
+_IMAGE = f"""CASE CAST(vec_id % 9 AS INT) WHEN 0 THEN concat('89504E470D0A1A0A0000000D49484452', {_BE(_W, 4)}, {_BE(_H, 4)}, '08', CASE WHEN vec_id % 2 = 0 THEN '06' ELSE '02' END)
+  WHEN 1 THEN concat('474946383961', {_le(_W, 2)}, {_le(_H, 2)}, '0000') WHEN 2 THEN concat('524946460000000057454250565038580A000000', CASE WHEN vec_id % 4 < 2 THEN '10' ELSE '02' END, '000000', {_le(f"({_W} - 1)", 3)}, {_le(f"({_H} - 1)", 3)})
+  WHEN 3 THEN concat('000001000100', {_le(f"(vec_id % 3 * 128)", 1)}, {_le(_H, 1)}, '0000010020000000000016000000') WHEN 4 THEN concat('FFD8FFE000104A46494600010100000100010000FFDB000500', '0000', 'FFC', CAST(vec_id % 3 AS VARCHAR(1)), '001108', {_BE(_H, 2)}, {_BE(_W, 2)}, '03')
+  WHEN 5 THEN 'FFD8FFE000104A464946000101' WHEN 6 THEN concat('524946460000000057454250565038200A000000', '000000000000000000000000') WHEN 7 THEN '000001000000AABBCCDDEEFF00112233445566778899' ELSE '89504E47' END"""
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT vec_id, {_IMAGE} AS x FROM embeddings), b AS (SELECT vec_id, x, list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT) AS v FROM d),
+j(vec_id, p, w, h) AS (SELECT vec_id, 3::BIGINT, NULL::BIGINT, NULL::BIGINT FROM b WHERE starts_with(x, 'FFD8') UNION ALL SELECT j.vec_id, p + 2 + v[p + 2] * 256 + v[p + 3], CASE WHEN v[p + 1] BETWEEN 192 AND 194 THEN v[p + 7] * 256 + v[p + 8] END, CASE WHEN v[p + 1] BETWEEN 192 AND 194 THEN v[p + 5] * 256 + v[p + 6] END FROM j JOIN b USING (vec_id) WHERE w IS NULL AND v[p] = 255 AND len(v) >= p + 3),
+r AS (SELECT vec_id, CASE WHEN len(v) < 12 THEN NULL WHEN starts_with(x, 'FFD8') THEN 'JPEG' WHEN starts_with(x, '89504E47') AND len(v) >= 26 THEN 'PNG' WHEN starts_with(x, '474946') THEN 'GIF' WHEN starts_with(x, '52494646') AND x[17:32] = '5745425056503858' AND len(v) >= 30 THEN 'WebP' WHEN starts_with(x, '00000100') AND len(v) >= 22 AND v[5] + v[6] > 0 THEN 'ICO' END AS f, v FROM b),
+o AS (SELECT r.vec_id, f, v, CASE f WHEN 'JPEG' THEN (SELECT max(w) FROM j WHERE j.vec_id = r.vec_id) WHEN 'PNG' THEN ((v[17] * 256 + v[18]) * 256 + v[19]) * 256 + v[20] WHEN 'GIF' THEN v[7] + 256 * v[8] WHEN 'WebP' THEN v[25] + 256 * v[26] + 65536 * v[27] + 1 WHEN 'ICO' THEN CASE v[7] WHEN 0 THEN 256 ELSE v[7] END END AS w,
+  CASE f WHEN 'JPEG' THEN (SELECT max(h) FROM j WHERE j.vec_id = r.vec_id) WHEN 'PNG' THEN ((v[21] * 256 + v[22]) * 256 + v[23]) * 256 + v[24] WHEN 'GIF' THEN v[9] + 256 * v[10] WHEN 'WebP' THEN v[28] + 256 * v[29] + 65536 * v[30] + 1 WHEN 'ICO' THEN CASE v[8] WHEN 0 THEN 256 ELSE v[8] END END AS h FROM r)
+SELECT vec_id, CASE WHEN w IS NOT NULL THEN f END AS format, w::BIGINT AS width, h::BIGINT AS height, CASE WHEN w > 0 AND h > 0 THEN (w // gcd(w, h)) || ':' || (h // gcd(w, h)) WHEN w IS NOT NULL THEN '' END AS aspect, CASE WHEN w IS NOT NULL THEN CASE f WHEN 'PNG' THEN v[26] IN (4, 6) WHEN 'WebP' THEN v[21] & 16 > 0 ELSE false END END AS alpha FROM o""")
 def image_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format, size, aspect and alpha read from PNG header bytes (made from each row's id)."""
-    word = lambda c: F.lpad(F.hex(c), 8, "0")
-    colour = F.when(F.col("vec_id") % 2 == 0, "06").otherwise("02")
-    data = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(F.expr("1 + vec_id * 13 % 4000")), word(F.expr("1 + vec_id * 7 % 3000")), F.lit("08"), colour))
-    raw = table(spark, sf_dir, "embeddings").select("vec_id", data.alias("data"))
-    number = lambda at: F.conv(F.hex(F.substring("data", at, 4)), 16, 10).cast("long")
-    read = raw.where(F.hex(F.substring("data", 1, 8)) == "89504E470D0A1A0A").select("vec_id", number(17).alias("width"), number(21).alias("height"), F.hex(F.substring("data", 26, 1)).isin("04", "06").alias("alpha"))
-    # Euclid's steps as a fold; 64 are enough for 32-bit numbers.
-    step = lambda acc, _: F.when(acc["b"] == 0, acc).otherwise(F.struct(acc["b"].alias("a"), (acc["a"] % F.greatest(acc["b"], F.lit(1))).alias("b")))
-    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(F.col("width").alias("a"), F.col("height").alias("b")), step)["a"]
-    read = read.withColumn("g", gcd)
-    aspect = F.concat_ws(":", F.expr("width div g").cast("string"), F.expr("height div g").cast("string"))
-    return read.select("vec_id", F.lit("png").alias("format"), "width", "height", aspect.alias("aspect"), "alpha")
+    """Format, size, aspect and alpha read from header bytes (made from each row's id)."""
+    raw = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.expr(_IMAGE)).alias("data"))
+    read = raw.select("vec_id", R.image_header().alias("m")).select("vec_id", "m.*")
+    return read.withColumn("aspect", R.aspect_ratio("width", "height"))
 
 
 _SESSION = """concat('{"tokens": {"input": ', CAST(l_quantity * 100 AS bigint), ', "output": ', l_linenumber, ', "reasoning": ', l_partkey, ', "cache": {"read": ', l_suppkey, ', "write": 0}}, "time": {"created": ', l_orderkey, ', "updated": ', l_orderkey + l_partkey, '}, "summary": {"files": ', l_linenumber % 3, '}}')"""

@@ -153,13 +153,78 @@ def line_count(column: str = "text") -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, "\r\n|\r|\n"))).cast("long")
 
 
-def completion_score(prefix: str) -> Column:
-    """0 to 5, lower is nearer: name begins with the prefix, a segment does, a part of a segment does, name or path holds it; null otherwise."""
-    name, path = C.lower("name"), C.lower("path")
-    return (
-        F.when(path == prefix, 0).when(name.startswith(prefix), 1).when(F.exists(F.split(path, "/"), lambda s: s.startswith(prefix)), 2)
-        .when(F.exists(F.split(path, r"[/.\-_+]"), lambda s: s.startswith(prefix)), 3).when(name.contains(prefix), 4).when(path.contains(prefix), 5)
+def completion_score(prefix: Column) -> Column:
+    """0 to 7 for a candidate (path, depth, is_dir), lower is nearer; null where it doesn't fit.
+
+    Files before directories; of each: its name at the root begins with the prefix, its name one level down does, its path does, or a segment or a
+    part of one (cut at ``.``, ``-``, ``_``, ``+``) does; letters of any case.
+    """
+    path, wanted = F.lower("path"), F.lower(prefix)
+    name = F.element_at(F.split(path, "/"), -1)
+    parts = F.concat(F.split(path, "/"), F.split(path, r"[/.\-_+]"))
+    score = (
+        F.when((F.col("depth") == 0) & F.startswith(name, wanted), 0).when((F.col("depth") == 1) & F.startswith(name, wanted), 1).when(F.startswith(path, wanted), 2)
+        .when(F.exists(parts, lambda part: F.startswith(part, wanted)), 3)
     )
+    return score + F.when(F.col("is_dir"), 4).otherwise(0)
+
+
+def shallow(paths: DataFrame) -> DataFrame:
+    """(path, depth, is_dir) of the files and directories at the root and one level down."""
+    parts = F.split("path", "/")
+    steps = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(2))), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("path"), (k - 1).alias("depth"), (k < F.size(parts)).alias("is_dir")))
+    return paths.select(F.explode(steps).alias("s")).select("s.*").distinct()
+
+
+def _bytes(data: str, at: int | Column, n: int, little: bool = False) -> Column:
+    """A number from ``n`` bytes."""
+    raw = F.substring(data, F.lit(at + 1) if isinstance(at, int) else at + 1, F.lit(n))
+    digits = F.hex(raw)
+    if little:
+        digits = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(n))])
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def image_header(data: str = "data", segments: int = 64) -> Column:
+    """struct(format, width, height, alpha) from the first bytes of JPEG, PNG, GIF, WebP (extended) and ICO; null for others and where bytes are missing.
+
+    Of a JPEG ``segments`` segments are walked through at most.
+    """
+    start = F.hex(F.substring(data, 1, 4))
+    byte = lambda at: _bytes(data, at, 1)
+    made = lambda name, w, h, alpha: F.when(w.isNotNull() & h.isNotNull(), F.struct(F.lit(name).alias("format"), w.alias("width"), h.alias("height"), alpha.alias("alpha")))
+    long = lambda at_least: F.octet_length(data) >= at_least
+    none = F.lit(None).cast("long")
+    state = F.struct(F.lit(2).alias("at"), none.alias("width"), none.alias("height"))
+
+    def step(s: Column, _: Column) -> Column:
+        marker = F.hex(F.substring(data, s["at"] + 1, F.lit(2)))
+        frame = marker.isin("FFC0", "FFC1", "FFC2") & (F.octet_length(data) >= s["at"] + 9)
+        found = F.struct(s["at"].alias("at"), _bytes(data, s["at"] + 7, 2).alias("width"), _bytes(data, s["at"] + 5, 2).alias("height"))
+        size = _bytes(data, s["at"] + 2, 2)
+        onward = F.struct((s["at"] + 2 + size).cast("int").alias("at"), none.alias("width"), none.alias("height"))
+        fits = marker.startswith("FF") & (F.octet_length(data) >= s["at"] + 4)
+        return F.when(s["width"].isNotNull(), s).when(frame, found).when(fits, onward).otherwise(s)
+
+    jpeg = F.aggregate(F.sequence(F.lit(1), F.lit(segments)), state, step)
+    full = lambda b: F.when(b == 0, 256).otherwise(b).cast("long")
+    return (
+        F.when(~long(12), None)
+        .when(start.startswith("FFD8"), made("JPEG", jpeg["width"], jpeg["height"], F.lit(False)))
+        .when((start == "89504E47") & long(26), made("PNG", _bytes(data, 16, 4), _bytes(data, 20, 4), byte(25).isin(4, 6)))
+        .when(start.startswith("474946"), made("GIF", _bytes(data, 6, 2, little=True), _bytes(data, 8, 2, little=True), F.lit(False)))
+        .when((start == "52494646") & (F.hex(F.substring(data, 9, 8)) == "5745425056503858") & long(30), made("WebP", _bytes(data, 24, 3, little=True) + 1, _bytes(data, 27, 3, little=True) + 1, F.expr(f"conv(hex(substring({data}, 21, 1)), 16, 10) & 16") > 0))
+        .when((start == "00000100") & long(22) & (_bytes(data, 4, 2, little=True) > 0), made("ICO", full(byte(6)), full(byte(7)), F.lit(False)))
+    )
+
+
+def aspect_ratio(width: str, height: str) -> Column:
+    """``w:h`` without common factors; empty where either is not positive."""
+    # Euclid's steps as a fold; 64 are enough for 32-bit numbers.
+    step = lambda acc, _: F.when(acc["b"] == 0, acc).otherwise(F.struct(acc["b"].alias("a"), (acc["a"] % F.greatest(acc["b"], F.lit(1))).alias("b")))
+    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(F.col(width).alias("a"), F.col(height).alias("b")), step, lambda s: s["a"])
+    ratio = F.transform(F.array(gcd), lambda g: F.concat((F.col(width) / g).cast("long").cast("string"), F.lit(":"), (F.col(height) / g).cast("long").cast("string")))[0]
+    return F.when((F.col(width) > 0) & (F.col(height) > 0), ratio).when(F.col(width).isNotNull(), "")
 
 
 def untracked(files: DataFrame, keys: list[str], k: int = N.UNTRACKED) -> DataFrame:
