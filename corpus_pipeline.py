@@ -1,7 +1,8 @@
 """Toxic and poor documents, near copies and benchmark leaks go; the rest is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
-docs.  All but the last return rows of their docs, with all columns; the last returns digests of the coded texts.
+docs.  All but the last return rows of their docs, with all columns, whatever their names; the last returns digests of the
+coded texts.  An empty table gives no rows anywhere.
 """
 
 from __future__ import annotations
@@ -14,27 +15,39 @@ from treeloom.llm.storage import saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5."""
+    """Documents that score under 0.5.
+
+    Null and empty texts share the least score and stay, repeated rows and null ids are judged each; without labels of both kinds the score is constant.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the thresholds of their language and source."""
+    """Documents within the limits of their language and source.
+
+    Null, empty and blank texts have no words and go; null languages and sources form groups; repeated rows are judged, and counted, each.
+    """
     return quality_rules.keep_good(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of linked ones."""
+    """One document, that of the smallest doc_id, of each group of linked ones.
+
+    Texts without words link with nothing and stay, rows with a null doc_id too; of rows that share a doc_id one stays.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and blank texts and null ids stay; repeated rows stay or go together; null and blank items match nothing.
+    """
     return decontamination.keep_free(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the coded texts."""
+    """Token counts and digests of the coded texts; null texts count as empty, repeated rows and null ids are coded each."""
     return bpe.coded_digests(docs, vocabulary_text(bpe.VOCABULARY))
 
 
