@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import classify as C
 from treeloom.functions import names as N
 from treeloom.jobs import mapping as M
+from treeloom.jobs import review as V
 from treeloom.jobs import selection as L
+from treeloom.jobs import spans as P
 from treeloom.operators import modules as O
 from treeloom.operators import selectors as S
 from treeloom.operators.ranking import top_k
@@ -204,3 +206,99 @@ def directory_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files(spark, sf_dir).select(F.explode(step).alias("s")).select("s.*").distinct()
     fits = F.lower("child").startswith("f") | F.lower("child").startswith("s")
     return top_k(rows.where(fits), ["dir"], [F.asc("is_dir"), F.asc("child")], 8).select("dir", "child", "is_dir", "rank")
+
+
+_PROJECTS = f"""{_OWNED}, pl AS (SELECT string_split(root, '/')[1] AS project, language, count(*) AS n, count(DISTINCT root) AS roots FROM owned GROUP BY ALL),
+pj AS (SELECT project, sum(n) AS n_files, sum(roots) AS n_modules, arg_min(language, (-n, language)) AS main, count(*) AS n_languages, string_agg(language, ', ' ORDER BY language) AS languages FROM pl GROUP BY project)"""
+
+
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, n_files, n_modules, main, n_languages, languages): the modules of each first directory taken together."""
+    owned = O.detect_all(project_files(spark, sf_dir)).withColumn("project", F.split("root", "/")[0])
+    by_language = owned.groupBy("project", "language").agg(F.count("*").alias("n"), F.count_distinct("root").alias("roots"))
+    return by_language.groupBy("project").agg(
+        F.sum("n").alias("n_files"), F.sum("roots").alias("n_modules"), F.min_by("language", F.struct(-F.col("n"), F.col("language"))).alias("main"), F.count("*").alias("n_languages"),
+        F.array_join(F.array_sort(F.collect_list("language")), ", ").alias("languages"),  # at most one for each detector
+    )
+
+
+@query(f"""WITH {_PROJECTS} SELECT project, n_files::BIGINT AS n_files, n_modules::BIGINT AS n_modules,
+  '[PROJECT TOPOLOGY]' || chr(10) || 'Languages: ' || languages || chr(10) || CASE WHEN n_languages > 1 THEN 'Primary: ' || main || chr(10) ELSE '' END || 'Structure: ' || CASE WHEN n_modules > 1 THEN 'Multi-Module' ELSE 'Single Module' END || chr(10) AS header FROM pj""")
+def topology_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total files, modules and the map's header of each project; the primary language is named where there are several."""
+    primary = F.when(F.col("n_languages") > 1, F.concat(F.lit("Primary: "), "main", F.lit("\n"))).otherwise("")
+    structure = F.when(F.col("n_modules") > 1, "Multi-Module").otherwise("Single Module")
+    header = F.concat(F.lit("[PROJECT TOPOLOGY]\nLanguages: "), "languages", F.lit("\n"), primary, F.lit("Structure: "), structure, F.lit("\n"))
+    return _projects(spark, sf_dir).select("project", "n_files", "n_modules", header.alias("header"))
+
+
+@query(f"""WITH {_OWNED}, p AS (SELECT DISTINCT language, root, dir, CASE WHEN dir = root THEN '' ELSE substr(dir, length(root) + 2) END AS rel FROM owned)
+SELECT language, root, dir, CASE WHEN language = 'Java' THEN CASE WHEN rel = '' THEN 'default' ELSE replace(rel, '/', '.') END WHEN rel = '' THEN 'root' ELSE string_split(rel, '/')[-1] END AS name FROM p""")
+def package_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packages are called: Java by dots below the module, others by their last directory."""
+    packages = O.detect_all(project_files(spark, sf_dir)).select("language", "root", "dir").distinct()
+    rel = F.when(F.col("dir") == F.col("root"), "").otherwise(F.expr("substring(dir, length(root) + 2)"))
+    java = F.when(rel == "", "default").otherwise(F.replace(rel, F.lit("/"), F.lit(".")))
+    other = F.when(rel == "", "root").otherwise(F.element_at(F.split(rel, "/"), -1))
+    return packages.select("language", "root", "dir", F.when(F.col("language") == "Java", java).otherwise(other).alias("name"))
+
+
+@query(f"""WITH {M.FILES}, web AS (SELECT DISTINCT dir FROM files WHERE string_split(dir, '/')[1] IN {_list(N.STATIC_DIRS)} OR dir = ''), known AS (SELECT DISTINCT dir FROM files WHERE doc_id % 4 = 0)
+SELECT dir FROM web WHERE dir = '' OR dir NOT IN (SELECT dir FROM known)""")
+def web_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories of static files that a map doesn't show already (here: those of every fourth file); the root always stays."""
+    rows = files(spark, sf_dir)
+    web = rows.where(F.split("dir", "/")[0].isin(N.STATIC_DIRS) | (F.col("dir") == "")).select("dir").distinct()
+    known = rows.where("doc_id % 4 = 0").select("dir").distinct()
+    return web.where("dir <> ''").join(known, "dir", "left_anti").unionByName(web.where("dir = ''"))
+
+
+_ODD_PATH = "concat(source, CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN chr(9) WHEN 1 THEN '\"' WHEN 2 THEN chr(92) WHEN 3 THEN concat(chr(10), chr(13)) WHEN 4 THEN concat(chr(1), chr(31), chr(127)) ELSE ' é/' END, lang)"
+
+
+def escaped(path: Column) -> Column:
+    """A path on one line: backslashes, quotation marks and control characters written out."""
+    named = {"\\": "\\\\", '"': '\\"', "\a": "\\a", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v"}
+    for sign, shown in named.items():
+        path = F.replace(path, F.lit(sign), F.lit(shown))
+    for code in (c for c in (*range(32), 127) if chr(c) not in named):
+        path = F.replace(path, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    return path
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_ODD_PATH} AS path FROM documents), c AS (SELECT doc_id, unnest(string_split(path, '')) AS x, unnest(range(0, length(path))) AS i FROM p)
+SELECT doc_id, string_agg(CASE WHEN x = chr(92) THEN chr(92) || chr(92) WHEN x = '"' THEN chr(92) || '"' WHEN ord(x) BETWEEN 7 AND 13 THEN chr(92) || substr('abtnvfr', ord(x) - 6, 1) WHEN ord(x) < 32 OR ord(x) = 127 THEN chr(92) || printf('x%02x', ord(x)) ELSE x END, '' ORDER BY i) AS shown FROM c GROUP BY doc_id""")
+def escape_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", escaped(F.expr(_ODD_PATH)).alias("shown"))
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_custkey, 'f' || (o_orderkey % 50) AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'old/' || (o_orderkey % 7) ELSE '' END AS previous FROM orders)
+SELECT o_custkey, o_orderkey, path, previous, row_number() OVER (PARTITION BY o_custkey ORDER BY path, previous, o_orderkey)::BIGINT AS nth FROM c""")
+def change_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each change in its set: by path, then by the path before."""
+    previous = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("old/"), (F.col("o_orderkey") % 7).cast("string"))).otherwise("")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("f"), (F.col("o_orderkey") % 50).cast("string")).alias("path"), previous.alias("previous"))
+    order = Window.partitionBy("o_custkey").orderBy("path", "previous", "o_orderkey")
+    return rows.withColumn("nth", F.row_number().over(order).cast("long"))
+
+
+@query(f"WITH {M.FILES} SELECT path, doc_id FROM files WHERE doc_id % 3 = 0 AND NOT {M._SENSITIVE}")
+def safe_untracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untracked files (here every third) less sensitive ones."""
+    return files(spark, sf_dir).where((F.col("doc_id") % 3 == 0) & ~C.is_sensitive()).select("path", "doc_id")
+
+
+@query(f"SELECT op, count(*)::BIGINT AS n, count(*) FILTER (WHERE error IS NOT NULL)::BIGINT AS n_errors FROM ({V.ORACLE['write_plan']}) GROUP BY op")
+def apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes and deletions of all plans, and how many of them can't be done."""
+    return V.write_plan(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"))
+
+
+@query(f"""WITH s AS ({P.ORACLE['span_cascade']}), t AS (SELECT doc_id, full_file, strlen(content) > 400 AS cut, CASE WHEN strlen(content) > 400 THEN {_cut_sql("content", 400)} ELSE content END AS content FROM s)
+SELECT doc_id, '--- File: doc-' || doc_id || ' (' || CASE WHEN full_file THEN 'Full File' ELSE 'Extracted Span' END || CASE WHEN cut THEN ', Truncated' ELSE '' END || ') ---' || chr(10) || content || chr(10) || CASE WHEN cut THEN '--- End File (TRUNCATED) ---' ELSE '--- End File ---' END || chr(10) AS section FROM t""".replace("WITH s AS (WITH RECURSIVE", "WITH RECURSIVE s AS (WITH RECURSIVE"))
+def context_sections(spark: SparkSession, sf_dir: str, limit: int = 400) -> DataFrame:
+    """Labelled sections of the extracted spans, each cut to whole code points within ``limit`` bytes."""
+    rows = P.span_cascade(spark, sf_dir).withColumn("cut", F.octet_length("content") > limit)
+    label = F.concat(F.when(F.col("full_file"), "Full File").otherwise("Extracted Span"), F.when(F.col("cut"), ", Truncated").otherwise(""))
+    end = F.when(F.col("cut"), "\n--- End File (TRUNCATED) ---\n").otherwise("\n--- End File ---\n")
+    return rows.select("doc_id", F.concat(F.lit("--- File: doc-"), F.col("doc_id").cast("string"), F.lit(" ("), label, F.lit(") ---\n"), first_bytes(F.col("content"), limit), end).alias("section"))

@@ -62,7 +62,7 @@ SELECT dir, path, doc_id, status, used::BIGINT AS used, CASE WHEN status <> 'pen
 def review_budget(spark: SparkSession, sf_dir: str, limit: int = N.REVIEW_BYTES) -> DataFrame:
     change = F.expr("case doc_id % 4 when 0 then 'added' when 1 then 'deleted' else 'modified' end")
     rows = files(spark, sf_dir).withColumn("kind", C.kind()).withColumn("change", change).withColumn("status", R.context_status())
-    return R.greedy(rows, ["dir"], ["path", "doc_id"], limit).select("dir", "path", "doc_id", "status", "used", "verdict")
+    return R.greedy(rows, ["dir"], ["path", "doc_id"], limit, F.expr("substring(path, 1, length(dir) + 5)")).select("dir", "path", "doc_id", "status", "used", "verdict")
 
 
 _PATCH = "CASE (doc_id + ln) % 5 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '+++' WHEN 3 THEN '---' ELSE ' ' END"

@@ -22,13 +22,23 @@ def context_status() -> Column:
     return F.when(F.col("kind") == "binary", "binary").when(C.is_sensitive(), "sensitive").when(F.col("change") == "added", "added").when(F.col("change") == "deleted", "deleted").otherwise("pending")
 
 
-def greedy(changes: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
-    """Adds used and verdict: pending files are included until the first that overflows; it and all later ones are over budget."""
-    size = F.when(F.col("status") == "pending", F.col("size")).otherwise(0)
-    running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = changes.withColumn("used", F.sum(size).over(running))
-    over = F.max((F.col("status") == "pending") & (F.col("used") > limit)).over(running)
-    return used.withColumn("verdict", F.when(F.col("status") != "pending", F.col("status")).when(over, "budget").otherwise("included"))
+def greedy(changes: DataFrame, keys: list[str], order: list[str], limit: int, part: Column | None = None) -> DataFrame:
+    """Adds used and verdict: pending files are included until the first that overflows; it and all later ones are over budget.
+
+    ``part`` cuts a key's rows into runs of the order (a start of the first order column, say): sums run inside the parts, on top of the
+    totals of the parts before, so that a large key is many tasks' work.
+    """
+    rows = changes.withColumn("_part", F.lit("") if part is None else part).withColumn("_size", F.when(F.col("status") == "pending", F.col("size")).otherwise(0))
+    totals = rows.groupBy(*keys, "_part").agg(F.sum("_size").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    running = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    used = rows.withColumn("used", F.sum("_size").over(running)).join(totals, [*keys, "_part"]).withColumn("used", F.col("used") + F.col("_before"))
+    first = used.where((F.col("status") == "pending") & (F.col("used") > limit)).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_over"))
+    found = used.join(first, keys, "left")
+    over = F.coalesce(F.struct(*order) >= F.col("_over"), F.lit(False))
+    verdict = F.when(F.col("status") != "pending", F.col("status")).when(over, "budget").otherwise("included")
+    return found.withColumn("verdict", verdict).drop("_part", "_size", "_before", "_over")
 
 
 def fences(lines: Column) -> Column:

@@ -54,7 +54,9 @@ def top_limit() -> Column:
 
 def top_files(rows: DataFrame) -> DataFrame:
     limits = rows.groupBy("dir").agg(F.max(C.extension() == ".md").alias("has_md")).withColumn("top_limit", top_limit())
-    ranked = top_k(rows.where("in_top").join(limits, "dir"), ["dir"], [F.desc("priority"), F.desc("size"), F.asc("path"), F.asc("doc_id")], F.col("top_limit"))
+    # No limit is over ROOT_TOP, so that all but that many go before the shuffle.
+    first = top_k(rows.where("in_top"), ["dir"], [F.desc("priority"), F.desc("size"), F.asc("path"), F.asc("doc_id")], N.ROOT_TOP)
+    ranked = first.join(limits, "dir").where("rank <= top_limit")
     return ranked.select("dir", "rank", "path", "name", "size", "kind", "priority")
 
 
