@@ -4,7 +4,8 @@ Items are grouped by length into classes, each with a window a little shorter th
 over every document in short strides; an item's windows are taken at all offsets, so a copied item always holds a document
 window that stands like one of its own.  Fingerprints have 64 bits over words and word pairs.  They are cut into four blocks of 16
 bits: two fingerprints within RADIUS bits agree in some block within RADIUS // 4 bits.  An item's window stands in a block's table
-under all values within half of that distance, a document's window asks for all values within the other half: they meet.  Every hit is verified: the item-sized stretch of the document around it
+under all values within that distance; where such tables would be large, under those within half of it, and a document's window asks for
+all values within the other half: they meet.  Every hit is verified: the item-sized stretch of the document around it
 is compared with the item by weighted 5-word shingles (a shingle's weight is its count): sum of minima over sum of maxima.
 
 Documents are read once, without a shuffle.  The benchmark goes to the workers in blocks of checked size.
@@ -41,8 +42,9 @@ def _within(bits: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for n in range(bits + 1) for c in combinations(range(16), n)], dtype=np.int64)
 
 
-#: Bits that a block may differ by, shared out between the table and the questions.
-_TABLE_SIDE, _ASKING_SIDE = _within(RADIUS // 4 - RADIUS // 8), _within(RADIUS // 8)
+#: (bits in the table, bits in the questions) of what a block may differ by: the first way whose tables fit TABLE_BYTES, else the last.
+_WAYS = [(RADIUS // 4, 0), (RADIUS // 4 - RADIUS // 8, RADIUS // 8)]
+TABLE_BYTES = 64 << 20
 
 
 def _bit_sums(keys: np.ndarray) -> np.ndarray:
@@ -70,16 +72,17 @@ class _Class:
     item: np.ndarray
     offset: np.ndarray
     table: list[tuple[np.ndarray, np.ndarray]]  # for each block: first index by value, item windows
+    asking: np.ndarray  # what a document's value is changed by
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document window, item window) within RADIUS bits, all of them."""
         rows, hits = [], []
         for block, (first, windows) in enumerate(self.table):
             value = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            value = (value[:, None] ^ _ASKING_SIDE[None, :]).ravel()
+            value = (value[:, None] ^ self.asking[None, :]).ravel()
             low = first[value].astype(np.int64)
             count = first[value + 1] - low
-            row = np.repeat(np.repeat(np.arange(len(prints)), len(_ASKING_SIDE)), count)
+            row = np.repeat(np.repeat(np.arange(len(prints)), len(self.asking)), count)
             if not len(row):
                 continue
             ends = np.cumsum(count)
@@ -116,6 +119,9 @@ class Index:
             fits = [k for k, (size, stride) in enumerate(grid) if size + stride - 1 <= len(w)]
             if fits:
                 members.setdefault(fits[-1], []).append(i)
+        windows = sum(len(self.words[i]) - grid[k][0] + 1 for k, owned in members.items() for i in owned)
+        way = next((w for w in _WAYS if 16 * windows * len(_within(w[0])) <= TABLE_BYTES), _WAYS[-1])
+        stored, asking = map(_within, way)
         for k, owned in sorted(members.items()):
             size, stride = grid[k]
             prints, item, offset = [], [], []
@@ -128,11 +134,11 @@ class Index:
             tables = []
             for block in range(4):
                 value = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-                values = (value[:, None] ^ _TABLE_SIDE[None, :]).astype(np.uint16).ravel()
+                values = (value[:, None] ^ stored[None, :]).astype(np.uint16).ravel()
                 order = np.argsort(values, kind="stable")
                 first = np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << 16))]).astype(np.int32)
-                tables.append((first, (order // len(_TABLE_SIDE)).astype(np.int32)))
-            self.classes.append(_Class(size, stride, prints, np.concatenate(item), np.concatenate(offset), tables))
+                tables.append((first, (order // len(stored)).astype(np.int32)))
+            self.classes.append(_Class(size, stride, prints, np.concatenate(item), np.concatenate(offset), tables, asking))
 
     def item(self, i: int) -> tuple[Counter, dict[int, list[int]]]:
         """Shingles of an item with their counts, and the places of each."""

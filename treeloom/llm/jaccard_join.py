@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.llm.graph import connected_components
+from treeloom.llm.resident import vacate
 from treeloom.llm.storage import columns, discard, saved, table
 from treeloom.llm.words import chunks, hash_words, mix64, sequence_key, shingle_keys
 
@@ -40,6 +41,8 @@ SKETCH = 64
 ORDERS = 4
 #: Documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 4 << 20
+#: Documents and shingles that are multiplied out at once.
+TILE = 512
 #: Ids of at most this many bytes are broadcast when texts are looked up again; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -138,6 +141,7 @@ def _over_texts(emit: Callable[[list, list[bytes]], pa.RecordBatch | None]) -> C
     """mapInArrow function over (doc_id, text): calls ``emit`` with the ids and texts of about a megabyte at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, texts in chunks(s.as_py() for s in batch.column(1)):
@@ -265,9 +269,9 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((n, len(right)), dtype=np.float32)
     values, column = np.unique(np.concatenate(both), return_inverse=True)
     row = np.repeat(np.arange(len(both)), [len(x) for x in both])
-    for low in range(0, len(values), 2048):
-        use = (column >= low) & (column < low + 2048)
-        hot = np.zeros((len(both), min(2048, len(values) - low)), dtype=np.float32)
+    for low in range(0, len(values), TILE):
+        use = (column >= low) & (column < low + TILE)
+        hot = np.zeros((len(both), min(TILE, len(values) - low)), dtype=np.float32)
         hot[row[use], column[use] - low] = 1
         out += hot[:n] @ hot[n:].T
     return out
@@ -322,15 +326,17 @@ def _block_links(likely: DataFrame, blocks: DataFrame, pieces: DataFrame, num: i
         for block, *doc, fragments in zip(*columns, table.column("fragments"), strict=True):
             held[block][tuple(doc)] = [f.values.to_numpy() for f in fragments]
         left, right = list(held[x]), list(held[y])
-        shared = np.zeros((len(left), len(right)), dtype=np.int64)
-        for f in range(COARSE_FRAGMENTS):  # each fragment by itself, summed for each pair
-            shared += _overlaps([held[x][d][f] for d in left], [held[y][d][f] for d in right]).astype(np.int64)
         size = lambda docs: np.array([d[2] for d in docs], dtype=np.int64)
         component = lambda docs: np.array([d[1] for d in docs], dtype=np.int64)
-        near = den * shared >= num * (size(left)[:, None] + size(right)[None, :] - shared)
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, j in zip(*np.nonzero(near & (component(left)[:, None] != component(right)[None, :])), strict=True):
-            found.setdefault((left[i][1], right[j][1]), (left[i][0], right[j][0]))
+        for at in range(0, len(left), TILE):
+            some = left[at : at + TILE]
+            shared = np.zeros((len(some), len(right)), dtype=np.int64)
+            for f in range(COARSE_FRAGMENTS):  # each fragment by itself, summed for each pair
+                shared += _overlaps([held[x][d][f] for d in some], [held[y][d][f] for d in right]).astype(np.int64)
+            near = den * shared >= num * (size(some)[:, None] + size(right)[None, :] - shared)
+            for i, j in zip(*np.nonzero(near & (component(some)[:, None] != component(right)[None, :])), strict=True):
+                found.setdefault((some[i][1], right[j][1]), (some[i][0], right[j][0]))
         return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()), "b": pa.array([b for _, b in found.values()], pa.int64())})
 
     return saved(loaded.groupBy("x", "y").applyInArrow(link, "a long, b long"), "block-links")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from treeloom.llm.resident import vacate
 from treeloom.llm.storage import table
 from treeloom.llm.words import chunks, hash_words, shingle_keys
 
@@ -126,6 +127,7 @@ def _requests(buckets: int):
                     yield (part, n, b, *_pack(keys[lo:hi] - lows[b]), *_pack_counts(counts[lo:hi]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         held: dict[int, list[tuple[bytes, bytes]]] = {}  # compressed until their part's turn comes
         for part, _, sizes, data in _pieces(batches, ids=False):
             held.setdefault(part, []).append((sizes, data))

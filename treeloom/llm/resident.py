@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable
 from typing import Any
 
@@ -11,10 +12,12 @@ _kept: list[tuple[Hashable, Any]] = []
 
 
 def vacate() -> None:
-    """Drop what is kept; for operators that keep nothing."""
-    if _kept:
-        _kept.clear()
-        pa.default_memory_pool().release_unused()
+    """Drop what is kept, and hand freed memory back to the machine; for operators that keep nothing."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def resident(key: Hashable, build: Callable[[], Any]) -> Any:
