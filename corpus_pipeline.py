@@ -14,11 +14,23 @@ from treeloom.llm.pretokens import vocabulary_text
 from treeloom.llm.storage import saved, table
 
 
+#: Rows that go to a Python worker at once.  With texts of kilobytes Spark's default of 10,000 makes batches of tens of megabytes, which the
+#: JVM and the worker hold several times over.  The stages lower the session's setting to this.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5.
 
     Null and empty texts share the least score and stay, repeated rows and null ids are judged each; without labels of both kinds the score is constant.
     """
+    _small_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -27,6 +39,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and blank texts have no words and go; null languages and sources form groups; repeated rows are judged, and counted, each.
     """
+    _small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
@@ -35,6 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words link with nothing and stay, rows with a null doc_id too; of rows that share a doc_id one stays.
     """
+    _small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -43,11 +57,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and blank texts and null ids stay; repeated rows stay or go together; null and blank items match nothing.
     """
+    _small_batches(spark)
     return decontamination.keep_free(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the coded texts; null texts count as empty, repeated rows and null ids are coded each."""
+    _small_batches(spark)
     return bpe.coded_digests(docs, vocabulary_text(bpe.VOCABULARY))
 
 
