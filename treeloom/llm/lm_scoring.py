@@ -171,7 +171,7 @@ def _scores(texts: list[bytes], totals: list[np.ndarray], corpus_words: int) ->
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     others = []
     for (keys, ends), counts in zip(grams, totals, strict=True):
-        at = np.searchsorted(distinct := np.unique(keys), keys)
+        distinct, at = np.unique(keys, return_inverse=True)
         if len(distinct) != len(counts):
             raise ValueError("a part was read in two ways")
         total = counts[at]
