@@ -45,10 +45,13 @@ def _explode(texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], n
             keys, bounds = (words.keys, words.first) if n == 1 else shingle_keys(words, n)
             per = np.diff(bounds)
             at = np.repeat(words.first[:-1] + n - 1 - bounds[:-1], per) + np.arange(len(keys))
-            runs[n - 1].append((keys, at + before))
+            runs[n - 1].append((keys, (at + before).astype(np.int32)))
         before += len(words.keys)
-    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return [tuple(map(np.concatenate, zip(none, *r, strict=True))) for r in runs], np.cumsum(np.concatenate(counts))
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+    out = []
+    while runs:  # what is joined goes, so that not all is held twice
+        out.append(tuple(map(np.concatenate, zip(none, *runs.pop(0), strict=True))))
+    return out, np.cumsum(np.concatenate(counts))
 
 
 def _pack(keys: np.ndarray) -> tuple[int, int, bytes]:
@@ -118,8 +121,9 @@ def _requests(buckets: int):
     """mapInArrow function (part, text) -> blocks of distinct keys."""
 
     def blocks(part: int, texts: list[bytes]) -> Iterator[tuple]:
-        for n, (keys, _) in enumerate(_explode(texts)[0], 1):
-            keys, counts = np.unique(keys, return_counts=True)
+        grams = _explode(texts)[0]
+        for n in range(1, ORDER + 1):
+            keys, counts = np.unique(grams.pop(0)[0], return_counts=True)
             lows = [np.uint64((b << 64) // buckets) for b in range(buckets)]
             edges = np.searchsorted(keys, lows[1:])
             for b, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(keys)], strict=True)):
@@ -170,7 +174,8 @@ def _scores(texts: list[bytes], totals: list[np.ndarray], corpus_words: int) ->
     size = int(first[-1])
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     others = []
-    for (keys, ends), counts in zip(grams, totals, strict=True):
+    while grams:
+        (keys, ends), counts = grams.pop(0), totals.pop(0)
         distinct, at = np.unique(keys, return_inverse=True)
         if len(distinct) != len(counts):
             raise ValueError("a part was read in two ways")
