@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from treeloom.llm import bpe, decontamination, html_extraction, jaccard_join, lm_scoring, quality_rules, sharding, token_counts, toxicity, url_rules
+from treeloom.llm import bpe, decontamination, html_extraction, jaccard_join, lm_scoring, merkle, pii, quality_rules, sharding, token_counts, toxicity, url_rules, whitening
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_bpe_coding": bpe.query,
     "op9_toxicity": toxicity.query,
     "op10_ngram_jaccard_join": jaccard_join.query,
+    "op11_merkle_manifest": merkle.query,
+    "op12_pii_anchors": pii.query,
+    "op13_embedding_whitening": whitening.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +28,5 @@ ORACLE_SQL = {
     "op3_lm_scoring": lm_scoring.ORACLE_SQL,
     "op4_url_rules": url_rules.ORACLE_SQL,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
