@@ -26,10 +26,10 @@ _TOKEN = re.compile(
     re.S | re.X,
 )
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$|(?<=["']))""", re.I)
-_RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
+_RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_LEFT_OUT = frozenset("nav header footer aside form head button select option fieldset input svg canvas object dialog menu video audio map math applet".split()) | _RAW
+_LEFT_OUT = frozenset("nav header footer aside form head button select option fieldset input svg canvas object dialog menu video audio map math applet template".split()) | _RAW
 #: An opening tag ends an open element of these without an end tag.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
 _HOLDS = frozenset("ul ol dl table div section article main body html tr".split())
@@ -46,15 +46,22 @@ _LAYOUT = frozenset(
     "column unit slot list group item items link links posts inline full wide small large first last js id the".split()
 )
 _MAIN = frozenset("article content main post entry story body text".split())
+#: Words that mean reader comments beside any other, but those that tell of a state only ("comments-open").
+_COMMENTS = frozenset("comment comments commentlist commenter commenters disqus".split())
+_STATES = frozenset("with without has have no open opened closed enabled disabled allow allowed on off".split())
 _NEVER = frozenset("html body main article".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _means_noise(value: str) -> bool:
-    """Whether a class, id or role holds a token of noise words, with none but layout words beside them."""
+    """Whether a class, id or role holds a token of noise words, with none but layout words beside them, or of comment words."""
     for token in value.split():
         words = {w.lower() for w in _WORDS.findall(token)}
+        if words & _COMMENTS:
+            if not words & _STATES:
+                return True
+            continue
         noise = words & _NOISE
         if noise and words <= noise | _LAYOUT and not (words & _MAIN) - _LAYOUT:
             return True
@@ -115,7 +122,7 @@ class _Page:
 
     def _read(self, html: str) -> None:
         at, node, run, links, tag = 0, 0, None, 0, self.tag
-        for m in [*_TOKEN.finditer(html), None] if "<script" not in html and "<style" not in html and "<SCRIPT" not in html else self._tokens(html):
+        for m in self._tokens(html):
             start = m.start() if m else len(html)
             if start > at and not self.out[node]:
                 piece = unescape(html[at:start])
@@ -169,15 +176,20 @@ class _Page:
 
     @staticmethod
     def _tokens(html: str) -> Iterator[re.Match | None]:
-        """Tokens with the contents of raw elements passed over."""
-        at = 0
+        """Tokens with the contents of raw elements passed over, whatever their spelling; one without an end tag reaches to the page's end, or is empty if it closes itself."""
+        at, unclosed = 0, set()
         while m := _TOKEN.search(html, at):
             yield m
             at = m.end()
             name = (m["tag"] or m["tag2"] or "").lower()
             if name in _RAW and not (m["end"] or m["end2"]):
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])|\Z", re.I).search(html, at)
-                at = close.start()
+                close = None if name in unclosed else re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+                if close:
+                    at = close.start()
+                else:
+                    unclosed.add(name)
+                    if not (m["attrs"] or m["attrs2"] or "").endswith("/"):
+                        at = len(html)
         yield None
 
 
