@@ -121,19 +121,26 @@ def thresholds(frame: DataFrame) -> DataFrame:
     sizes = own.where(f"measure = '{next(iter(MEASURES))}'").groupBy("lang", "source").agg(F.sum("n").alias("docs"))
     lang_sizes = sizes.groupBy("lang").agg(F.sum("docs").alias("lang_docs"))
     level = sizes.join(lang_sizes, "lang").select("lang", "source", F.expr(f"case when docs >= {LEAST_DOCS} then 0 when lang_docs >= {LEAST_DOCS} then 1 else 2 end").alias("level"))
-    merged = (
-        own.join(level.where("level = 0"), ["lang", "source"]).select("lang", "source", "measure", "bin", "n")
-        .unionByName(level.where("level = 1").join(lang, "lang").select("lang", "source", "measure", "bin", "n"))
-        .unionByName(level.where("level = 2").join(F.broadcast(whole)).select("lang", "source", "measure", "bin", "n"))  # one sketch: some hundred rows
-    )
-    group = Window.partitionBy("lang", "source", "measure")
-    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
-    quantiles = ranked.groupBy("lang", "source", "measure").agg(*(bin_value(F.min(F.when(F.expr(f"100 * upto >= {q} * total"), F.col("bin")))).alias(f"q{q}") for q in (10, 25, 50, 75, 90)))
+    # Quantiles once for each level's own groups; a group then takes the one row of limits of its level.
+    parts = [
+        level.where("level = 0").join(_limits(own, ["lang", "source"]), ["lang", "source"]),
+        level.where("level = 1").join(_limits(lang, ["lang"]), "lang"),
+        level.where("level = 2").join(F.broadcast(_limits(whole, []).withColumn("level", F.lit(2))), "level"),  # one row
+    ]
+    names = ["lang", "source", *(f"{m}_most" for m in MEASURES), *(f"{m}_least" for m in LOW)]
+    return parts[0].select(names).unionByName(parts[1].select(names)).unionByName(parts[2].select(names))
+
+
+def _limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, <measure>_most ..., <measure>_least ...) from a sketch (keys, measure, bin, n)."""
+    group = Window.partitionBy(*keys, "measure")  # the bins of one sketch, some hundred rows
+    ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
+    quantiles = ranked.groupBy(*keys, "measure").agg(*(bin_value(F.min(F.when(F.expr(f"100 * upto >= {q} * total"), F.col("bin")))).alias(f"q{q}") for q in (10, 25, 50, 75, 90)))
     limits = quantiles.withColumn("floor", F.create_map(*[F.lit(x) for m in MEASURES.items() for x in m])[F.col("measure")]).selectExpr(
-        "lang", "source", "measure", f"q75 + {REACH} * greatest(floor, least(q90 - q50, {WIDE} * greatest(q75 - q50, floor))) as most", f"q25 - {REACH} * greatest(floor, least(q50 - q10, {WIDE} * greatest(q50 - q25, floor))) as least"
+        *keys, "measure", f"q75 + {REACH} * greatest(floor, least(q90 - q50, {WIDE} * greatest(q75 - q50, floor))) as most", f"q25 - {REACH} * greatest(floor, least(q50 - q10, {WIDE} * greatest(q50 - q25, floor))) as least"
     )
     pick = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}")
-    return limits.groupBy("lang", "source").agg(*(pick(m, "most") for m in MEASURES), *(pick(m, "least") for m in LOW))
+    return limits.groupBy(*keys).agg(*(pick(m, "most") for m in MEASURES), *(pick(m, "least") for m in LOW))
 
 
 def judged(frame: DataFrame, limits: DataFrame) -> DataFrame:
