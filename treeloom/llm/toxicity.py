@@ -397,9 +397,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     n = known.count()
     if n > rows:
         known = known.where(F.expr(f"pmod(xxhash64(doc_id), {1 << 30}) < {int(rows / n * (1 << 30))}"))
-    # At most about ``rows`` labelled ids stand beside the texts.  Copies of a text share a fold.
+    # At most about ``rows`` labelled ids stand beside the texts; of rows that share an id the text of the least hash is taken.  Copies of a text share a fold.
     fold = F.expr(f"cast(pmod(xxhash64(text), {FOLDS}) as int)").alias("fold")
-    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", fold).repartition(24)
+    one = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic"))
+    train = one.select("text", "toxic", fold).repartition(24)
     train = saved(train, "toxicity-training")
     totals = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
