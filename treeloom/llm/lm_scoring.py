@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from treeloom.llm.resident import vacate
-from treeloom.llm.storage import table
+from treeloom.llm.storage import saved, table
 from treeloom.llm.words import chunks, hash_words, shingle_keys
 
 ORDER, ALPHA = 3, 0.4
@@ -201,12 +201,15 @@ def _scores(texts: list[bytes], totals: list[np.ndarray], corpus_words: int) ->
     return [np.diff(first), sums[first[1:]] - sums[first[:-1]], *levels]
 
 
-def _split_of(docs: DataFrame) -> list[Column]:
-    """What names the scan split of a row: the file and its block; for frames that aren't scans, nothing."""
+def _split_of(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """(rows, columns): what names the scan split of a row, the file and its block, and its number in the file.
+
+    Frames that aren't Parquet scans are written first: they needn't give the same rows twice.
+    """
     try:
-        return [docs["_metadata.file_path"], docs["_metadata.file_block_start"]]
+        return docs, [docs["_metadata.file_path"], docs["_metadata.file_block_start"], docs["_metadata.row_index"]]
     except Exception:  # noqa: BLE001  the analyzer's error class differs by frame
-        return []
+        return _split_of(saved(docs.select("doc_id", "text"), "lm-texts"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -216,15 +219,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     nothing for it.  A word that no other document has counts as 1 / (other words + 1) at the unigram's level, less one ALPHA more.
     Repeated rows are documents of their own; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    corpus_words, n_bytes = _size(docs.select("text"))
+    docs, (*split, number) = _split_of(docs)
+    corpus_words, largest = _size(docs.select("text"))
     buckets = max(4, -(-corpus_words * 8 // BUCKET_BYTES))
-    split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    split = _split_of(docs)
-    # A split of compressed columns holds about twice its bytes of text; frames without splits are cut by hash alone.
-    parts = max(1, -(-2 * split_bytes // PART_BYTES)) if split else max(1, -(-n_bytes // PART_BYTES))
-    rows = docs.select(F.xxhash64(*split, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).alias("part"), "doc_id", "text")
-    asked = (rows if split else rows.repartition("part")).select("part", "text").mapInArrow(_requests(buckets), _BLOCK)
+    # Parts of the largest task's real bytes; rows of one id, or one text, are dealt out by their number too.
+    parts = max(1, -(-largest // PART_BYTES))
+    rows = docs.select(F.xxhash64(*split, F.pmod(F.xxhash64("doc_id", "text", number), F.lit(parts))).alias("part"), "doc_id", "text")
+    asked = rows.select("part", "text").mapInArrow(_requests(buckets), _BLOCK)
     answered = asked.groupBy("n", "bucket").applyInArrow(_totals, _BLOCK)
     id_type = docs.schema["doc_id"].dataType
     arrow_type = to_arrow_type(id_type)
@@ -244,7 +245,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 
 def _size(texts: DataFrame) -> tuple[int, int]:
-    """Words and bytes of all texts."""
+    """Words of all texts, and bytes of the task with most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = size = 0
@@ -254,7 +255,7 @@ def _size(texts: DataFrame) -> tuple[int, int]:
                 size += sum(map(len, part))
         yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([size], pa.int64())], ["words", "size"])
 
-    found = texts.mapInArrow(run, "words long, size long").agg(F.sum("words"), F.sum("size")).first()
+    found = texts.mapInArrow(run, "words long, size long").agg(F.sum("words"), F.max("size")).first()
     return found[0] or 0, found[1] or 0
 
 
