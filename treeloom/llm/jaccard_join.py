@@ -10,11 +10,11 @@ keys, and the order is cut into fragments:
    segments must agree.  Sketches (size and hash of each of 64 fragments) bound the differences of a pair from below and
    drop hopeless pairs before any set is moved.
 2. *Overlaps.*  The order is cut into a few coarse fragments.  For each candidate pair the overlap is counted in each
-   fragment separately (a join on set and fragment) and summed per pair; the sum decides.
+   fragment separately (joins on set and fragment) and summed per pair; the sum decides.
 
-Equal sets are joined through their smallest id and never paired.  Within a bucket of equal segments, members are first
+Equal sets hang on their smallest id, outside the graph of links, and are never paired.  Within a bucket of equal segments, members are first
 compared with one hub; only members that the links found so far leave in different components are then compared with each
-other, block of documents by block, so a group of near copies costs its size, and no link between components is lost.
+other, block of documents by block (there a task takes a pair of blocks, fragment after fragment), so a group of near copies costs its size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ ORDERS = 4
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 4 << 20
 #: Documents and shingles that are multiplied out at once.
 TILE = 512
+#: One document in so many is looked at for hot segments: those of at least so many of them, and of one in so many of them.
+HUB_SAMPLE, HUB_LEAST, HUB_SHARE = 64, 16, 2_000
 #: Ids of at most this many bytes are broadcast when texts are looked up again; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -199,7 +201,7 @@ def _may_link(left: np.ndarray, right: np.ndarray, a_size: np.ndarray, b_size: n
 
 
 def coarse_segments(docs: DataFrame, n: int) -> DataFrame:
-    """(hi, lo, fragments) of each row's set: its shingles cut into COARSE_FRAGMENTS runs of the global order."""
+    """(hi, lo, fragments) of each row's set: its shingles cut into COARSE_FRAGMENTS runs of the global order, empty ones among them."""
 
     def emit(ids, texts):
         owner, keys, sizes = sets_of(texts, n)
@@ -239,16 +241,41 @@ def _promising(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 
 def _similar(pairs: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` (of _promising) whose sets are similar: overlaps by fragment, summed by pair."""
-    # Both sides take the sets dealt out by the same key, so that they are shuffled once.
-    left = pieces.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("fragments").alias("left"))
-    right = pieces.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("fragments").alias("right"))
-    both = pairs.join(left, ["a_hi", "a_lo"]).join(right, ["b_hi", "b_lo"])
-    partial = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
-    total = both.withColumn("shared", F.aggregate(partial, F.lit(0).cast("long"), lambda a, x: a + x))
+    """The (a, b) of ``pairs`` (of _promising) whose sets are similar: overlaps by pair and fragment, summed by pair.
+
+    Sets and pairs are dealt out by fragment too, so the fragments of a set that is in many pairs are different tasks' work.
+    """
+    # Both sides take the fragments dealt out by the same key, so that they are shuffled once.
+    fragments = pieces.select("hi", "lo", F.posexplode("fragments").alias("fragment", "keys")).where("size(keys) > 0")
+    left = fragments.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), "fragment", F.col("keys").alias("left"))
+    right = fragments.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), "fragment", F.col("keys").alias("right"))
+    asked = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(COARSE_FRAGMENTS - 1))))
+    both = asked.join(left, ["a_hi", "a_lo", "fragment"]).join(right, ["b_hi", "b_lo", "fragment"])
+    partial = both.select(*pairs.columns, F.size(F.array_intersect("left", "right")).cast("long").alias("shared"))
+    total = partial.groupBy(*pairs.columns).agg(F.sum("shared").alias("shared"))
     return total.where(f"{den} * shared >= {num} * (a_size + b_size - shared)").select("a", "b").distinct()
 
 
+def _with_hubs(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(segment, doc_id, hub): segments of more than one document, less each one's hub, its least doc_id.
+
+    Segments that are in a large share of a sample of the documents take their hub from a pre-aggregated minimum, and their rows are dealt
+    out by document.  The sample only decides which way a segment goes; the rows are the same.
+    """
+    sample = docs.where(F.expr(f"pmod(xxhash64(doc_id), {HUB_SAMPLE}) = 0"))
+    least = max(HUB_LEAST, sample.count() // HUB_SHARE)
+    # At most HUB_SHARE times a document's segments.
+    hot = saved(segments(sample, n, num, den).groupBy("segment").count().where(F.col("count") >= least).select("segment"), "hot-segments")
+    rows = segments(docs, n, num, den)
+    if not hot.limit(1).count():
+        first = F.first("doc_id").over(Window.partitionBy("segment").orderBy("doc_id"))
+        return rows.withColumn("hub", first).where("hub <> doc_id")
+    tops = saved(rows.join(F.broadcast(hot), "segment", "left_semi").groupBy("segment").agg(F.min("doc_id").alias("top")), "hot-hubs")
+    rows = rows.join(F.broadcast(tops), "segment", "left").withColumn("deal", F.when(F.col("top").isNull(), 0).otherwise(F.xxhash64("doc_id")))
+    first = F.first("doc_id").over(Window.partitionBy("segment", "deal").orderBy("doc_id"))
+    return rows.withColumn("hub", F.coalesce("top", first)).where("hub <> doc_id").select("segment", "doc_id", "hub")
+
+
 def _blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(block, doc_id, component, size, hi, lo, sketch): members of buckets in blocks of bounded size, neighbours of like size together."""
     # The least hub of the buckets' least hubs: what shares buckets mostly shares a family.
@@ -365,12 +392,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     reps = real.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("doc_id"))
     copies = real.join(reps.select("hi", "lo", F.col("doc_id").alias("b")), ["hi", "lo"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     reps = saved(reps, "representatives")
-    spare = saved(copies.select(F.col("a").alias("doc_id")).join(reps.select("doc_id"), "doc_id", "left_anti").distinct(), "copies")
+    copies = saved(copies, "copies")
+    # Sets are in one row each unless ids repeat.
+    unique = not sets.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    spare = copies.select(F.col("a").alias("doc_id"))
+    if not unique:
+        spare = spare.join(reps.select("doc_id"), "doc_id", "left_anti").distinct()
     # Copies would stand in all buckets of their representative.
     once = docs.join(F.broadcast(spare) if _is_small(spare) else spare, "doc_id", "left_anti")
+    # A document of one text that is a copy hangs on its representative alone: no link of the graph.
+    leaves = copies if unique else copies.join(real.groupBy("doc_id").count().where("count = 1").select(F.col("doc_id").alias("a")), "a", "left_semi")
+    inner = copies.limit(0) if unique else copies.join(leaves.select("a"), "a", "left_anti")
 
-    bucket = Window.partitionBy("segment").orderBy("doc_id")
-    hubs = segments(once, n, num, den).withColumn("hub", F.first("doc_id").over(bucket)).where("hub <> doc_id")
+    hubs = _with_hubs(once, n, num, den)
     # Representatives alone lose nothing; a hub is always one.
     members = saved(hubs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "members")
     starred = members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -378,14 +412,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     drawn = sketches(_only(docs, ids), n).join(reps.select("hi", "lo", "size"), ["hi", "lo"]).select("doc_id", "size", "hi", "lo", "sketch")
     drawn = saved(drawn.dropDuplicates(["doc_id", "hi", "lo"]), "sketches")
     pairs = saved(_promising(starred, drawn, num, den), "pairs")
-    # Sets are in one row each unless ids repeat.
-    unique = not sets.groupBy("doc_id").count().where("count > 1").limit(1).count()
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = saved(wanted, "wanted")
     pieces = _pieces(docs, wanted, n, unique)
     near = saved(_similar(pairs, pieces, num, den), "near")
-    discard(pieces, wanted, pairs, ids, spare)
-    first = connected_components(copies.unionByName(near))
+    discard(pieces, wanted, pairs, ids)
+    first = connected_components(inner.unionByName(near))
 
     # Members of one bucket that are still in different components: compared block by block.
     rows = members.select("segment", "doc_id", "hub").unionByName(members.select("segment", F.col("hub").alias("doc_id"), "hub").distinct())
@@ -404,6 +436,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     last = connected_components(more.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     discard(more, near, reps)
 
+    hanging = leaves.join(last, leaves.b == last.id, "left").select(leaves.a.alias("id"), F.coalesce("component", "b").alias("component"))
+    last = last.unionByName(hanging)
     out = sets.join(last, sets.doc_id == last.id, "left")
     return out.select(sets.doc_id, F.col("size").alias("n_shingles"), F.coalesce("component", sets.doc_id).alias("component_id"))
 
