@@ -158,19 +158,58 @@ def test_whole_scores_against_brute_force():
         assert math.isclose(model.score(" ".join(text)), 1 / (1 + math.exp(-odds)), rel_tol=1e-12), text
 
 
+def weighted_jaccard(a, b):
+    both = (a & b).total()
+    return both / max(1, a.total() + b.total() - both)
+
+
+def brute_stretch(text, item, threshold):
+    """(similarity, first word) of the first best item-sized stretch of those in which a shingle stands as in the item."""
+    shingles = lambda w: [tuple(w[k : k + min(5, len(w))]) for k in range(len(w) - min(5, len(w)) + 1)]
+    last, want = max(0, len(text) - len(item)), shingles(item)
+    starts = {min(max(p - q, 0), last) for p, x in enumerate(shingles(text)) for q, y in enumerate(want) if x == y}
+    found = [(weighted_jaccard(Counter(shingles(text[s : s + len(item)])), Counter(want)), -s) for s in starts]
+    best = max(found, default=(0, 0))
+    return (best[0], -best[1]) if best[0] >= threshold else None
+
+
+@pytest.mark.parametrize("pairs", [decontamination.PAIRS, 0])
+def test_best_stretch_is_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(decontamination, "PAIRS", pairs)
+    rnd, hits = random.Random(5), 0
+    for n in range(600):
+        item = [rnd.choice("ab" if n % 2 else "abcdefgh") for _ in range(rnd.randrange(2, 40))]
+        text = [rnd.choice("ab") for _ in range(rnd.randrange(20))] + item[: rnd.choice([40, 40, 8])] + [rnd.choice("ab") for _ in range(rnd.randrange(20))]
+        index = decontamination.Index([(1, " ".join(item))])
+        keys = decontamination.hash_words([" ".join(text).encode()]).keys
+        got = decontamination._best_stretch(keys, index.item(0), len(item), True, True, 0.3)
+        assert got == brute_stretch(text, item, 0.3), (text, item)
+        hits += got is not None
+    assert hits > 300
+
+
+def test_repeated_words_are_linear():
+    began = time.process_time()
+    for words, item in (("spam " * 40_000, "spam " * 20_000), ("a b " * 20_000, "a b " * 200), ("spam " * 20_000, "spam " * 50)):
+        index = decontamination.Index([(1, item)])
+        w = decontamination.hash_words([words.encode()], lower=True)
+        assert index.search(w.keys, w.first, 0.8) == [(0, 1, 0, 1.0)]
+    assert time.process_time() - began < 5
+
+
 def test_recall_near_the_threshold():
     rnd, found, near = random.Random(11), 0, 0
     items = [(i, " ".join(rnd.choice(WORDS) for _ in range(n))) for i, n in enumerate([50, 70, 120, 250, 500] * 20)]
     index = decontamination.Index(items)
     for i, text in items:
         words = text.split()
-        want = Counter(decontamination._shingles(index.words[i]))
+        want = Counter(decontamination._shingles(index.words[i]).tolist())
         # Change words apart from each other until similarity would fall under 0.8.
         copy = list(words)
         for at in rnd.sample(range(len(words)), len(words)):
             trial = copy[:at] + ["changed"] + copy[at + 1 :]
             keys = decontamination.hash_words([" ".join(trial).encode()], lower=True).keys
-            if decontamination._weighted_jaccard(Counter(decontamination._shingles(keys)), want) < 0.8:
+            if weighted_jaccard(Counter(decontamination._shingles(keys).tolist()), want) < 0.8:
                 break
             copy = trial
         doc = [rnd.choice(WORDS) for _ in range(rnd.randrange(300))] + copy + [rnd.choice(WORDS) for _ in range(100)]

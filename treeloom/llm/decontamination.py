@@ -13,7 +13,6 @@ Documents are read once, without a shuffle.  The benchmark goes to the workers i
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -34,6 +33,8 @@ SHINGLE, RADIUS, CLASS_RATIO = 5, 11, 1.3
 BLOCK_ITEMS, BLOCK_CHARS = 50_000, 8 << 20
 #: Items whose shingles a worker keeps for verification.
 KEPT_ITEMS = 2_000
+#: Pairs of like shingles of a text and an item that are written out at once.
+PAIRS = 1 << 20
 _BITS = 64
 
 
@@ -111,7 +112,7 @@ class Index:
         words = hash_words([t.encode("utf-8", "surrogatepass") for _, t in items], lower=True)
         self.ids = [i for i, _ in items]
         self.words = [words.keys[words.first[i] : words.first[i + 1]] for i in range(len(items))]
-        self.known: dict[int, tuple[Counter, dict[int, list[int]]]] = {}
+        self.known: dict[int, _Item] = {}
         self.classes: list[_Class] = []
         grid = class_sizes(max([0, *map(len, self.words)]))
         members: dict[int, list[int]] = {}
@@ -140,16 +141,12 @@ class Index:
                 tables.append((first, (order // len(stored)).astype(np.int32)))
             self.classes.append(_Class(size, stride, prints, np.concatenate(item), np.concatenate(offset), tables, asking))
 
-    def item(self, i: int) -> tuple[Counter, dict[int, list[int]]]:
-        """Shingles of an item with their counts, and the places of each."""
+    def item(self, i: int) -> _Item:
         found = self.known.get(i)
         if found is None:
-            places: dict[int, list[int]] = {}
-            for q, shingle in enumerate(_shingles(self.words[i])):
-                places.setdefault(shingle, []).append(q)
             if len(self.known) >= KEPT_ITEMS:
                 self.known.clear()
-            found = self.known[i] = Counter({s: len(q) for s, q in places.items()}), places
+            found = self.known[i] = _Item.of(self.words[i])
         return found
 
     def search(self, keys: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
@@ -157,7 +154,7 @@ class Index:
         if len(keys) < 2:
             return []
         sums = _bit_sums(keys)
-        tries: set[tuple[int, int, int]] = set()
+        tries = []
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         for c in self.classes:
             at = np.arange(0, len(keys) - c.size + 1)
@@ -166,39 +163,110 @@ class Index:
             if not len(at):
                 continue
             row, hit = c.near(_fingerprints(sums, at, c.size))
-            tries.update(zip(owner[at[row]].tolist(), c.item[hit].tolist(), (at[row] - c.offset[hit]).tolist(), strict=True))
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for doc, i, begin in self._alignments(keys, first, tries):
+            tries.append(np.stack([owner[at[row]], c.item[hit], at[row] - c.offset[hit]], axis=1))
+        out = []
+        for doc, i, starts in _grouped(tries):
             low, high, size = int(first[doc]), int(first[doc + 1]), len(self.words[i])
-            value = _weighted_jaccard(Counter(_shingles(keys[begin : min(begin + size, high)])), self.item(i)[0])
-            if value >= threshold and (doc, i) not in best or (doc, i) in best and (value, -(begin - low)) > (best[doc, i][0], -best[doc, i][1]):
-                best[doc, i] = (value, begin - low)
-        return [(doc, self.ids[i], at, value) for (doc, i), (value, at) in sorted(best.items())]
-
-    def _alignments(self, keys: np.ndarray, first: np.ndarray, tries: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
-        """(document, item, first word) of every item-sized stretch around ``tries`` in which a shingle stands as in the item."""
-        out = set()
-        for doc, i, start in tries:
-            low, high, size = int(first[doc]), int(first[doc + 1]), len(self.words[i])
-            begin, places = max(low, start - size), self.item(i)[1]
-            for p, shingle in enumerate(_shingles(keys[begin : min(high, start + 2 * size)])):
-                for q in places.get(shingle, ()):
-                    out.add((doc, i, min(max(begin + p - q, low), max(low, high - size))))
+            best = None
+            # Stretches of three item lengths around the starts, those that meet taken as one.
+            cuts = np.flatnonzero(np.diff(starts) > 3 * size) + 1
+            for near in np.split(starts, cuts):
+                begin, end = max(low, int(near[0]) - 2 * size), min(high, int(near[-1]) + 3 * size)
+                found = _best_stretch(keys[begin:end], self.item(i), size, begin == low, end == high, threshold)
+                if found and (best is None or found[0] > best[0]):
+                    best = found[0], found[1] + begin - low
+            if best:
+                out.append((doc, self.ids[i], best[1], best[0]))
         return out
 
 
-def _shingles(words: np.ndarray) -> list[int]:
+@dataclass
+class _Item:
+    """Shingles of an item: the different ones, their counts, where each one's places begin in ``places``."""
+
+    shingles: np.ndarray
+    counts: np.ndarray
+    first: np.ndarray
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray) -> _Item:
+        keys = _shingles(words)
+        order = np.argsort(keys, kind="stable")
+        shingles, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
+        return cls(shingles, counts, first, order)
+
+
+def _grouped(tries: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(document, item, different starts in order)."""
+    rows = np.unique(np.concatenate(tries), axis=0) if tries else np.zeros((0, 3), dtype=np.int64)
+    if len(rows):
+        for part in np.split(rows, np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0), axis=1)) + 1):
+            yield int(part[0, 0]), int(part[0, 1]), part[:, 2]
+
+
+def _best_stretch(words: np.ndarray, item: _Item, size: int, at_start: bool, at_end: bool, threshold: float) -> tuple[float, int] | None:
+    """(similarity, first word) of the first best item-sized stretch in which a shingle stands as in the item; linear in ``words``.
+
+    Stretches don't reach over the document's ends: one that would stands at the end.
+    """
+    keys = _shingles(words)
+    kind = np.minimum(np.searchsorted(item.shingles, keys), len(item.shingles) - 1)
+    at = np.flatnonzero(item.shingles[kind] == keys)
+    if not len(at):
+        return None
+    kind = kind[at]
+    last = max(0, len(words) - size)
+    width = min(size, len(words)) - min(SHINGLE, size, len(words)) + 1
+    # A shingle counts in the stretches that hold fewer of its kind before it than the item has: those that begin behind the place that
+    # is so many of its kind back.
+    order = np.argsort(kind, kind="stable")
+    place, k = at[order], kind[order]
+    nth = np.arange(len(k)) - np.searchsorted(k, k)
+    back = np.arange(len(k)) - item.counts[k]
+    low = np.maximum(place - width + 1, np.where(nth >= item.counts[k], place[np.maximum(back, 0)] + 1, 0))
+    steps = np.bincount(np.maximum(low, 0), minlength=len(keys) + 2) - np.bincount(place + 1, minlength=len(keys) + 2)
+    shared = np.cumsum(steps)[: last + 1]
+    value = shared / np.maximum(1, width + len(item.places) - shared)
+    starts = _aligned(place, k, item, len(words))
+    inside = ((starts >= 0) | at_start) & ((starts <= last) | at_end)
+    starts = np.unique(np.clip(starts[inside], 0, last))
+    starts = starts[value[starts] >= threshold]
+    if not len(starts):
+        return None
+    best = starts[np.argmax(value[starts])]
+    return float(value[best]), int(best)
+
+
+def _aligned(place: np.ndarray, kind: np.ndarray, item: _Item, n: int) -> np.ndarray:
+    """All differences between a shingle's places in a text of ``n`` words and in the item; both sorted by kind."""
+    counts = item.counts[kind]
+    if counts.sum() <= PAIRS:
+        ends = np.cumsum(counts)
+        at = np.repeat(item.first[kind] - ends + counts, counts) + np.arange(ends[-1])
+        return np.repeat(place, counts) - item.places[at]
+    out = []
+    size = 1 << int(n + len(item.places)).bit_length()
+    for at in np.split(np.arange(len(kind)), np.flatnonzero(np.diff(kind)) + 1):
+        mine, its = place[at], item.places[item.first[kind[at[0]]] :][: counts[at[0]]]
+        if len(mine) * len(its) <= 64 * size:
+            out.append(np.unique(mine[:, None] - its[None, :]))
+        else:  # a shingle that repeats on both sides: its differences by correlation
+            marks = np.zeros((2, size))
+            marks[0, mine] = marks[1, its] = 1
+            a, b = np.fft.rfft(marks)
+            found = np.flatnonzero(np.fft.irfft(a * b.conj(), size) > 0.5)
+            out.append(np.where(found >= n, found - size, found))
+    return np.unique(np.concatenate(out))
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
     """Keys of 5-word shingles; of fewer words, the whole sequence is one."""
     n = min(SHINGLE, len(words))
     acc = np.zeros(max(len(words) - n + 1, 0) if n else 0, dtype=np.uint64)
     for i in range(n):
         acc = acc * np.uint64(0xD6E8FEB86659FD93) + words[i : len(words) - n + 1 + i]
-    return acc.tolist()
-
-
-def _weighted_jaccard(a: Counter, b: Counter) -> float:
-    both = sum((a & b).values())
-    return both / max(1, a.total() + b.total() - both)
+    return acc
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
@@ -206,7 +274,7 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_CHARS))
-    return [items.where(F.expr(f"pmod(xxhash64(item_id), {parts}) = {k}")) if parts > 1 else items for k in range(parts)]
+    return [items.where(F.expr(f"pmod(xxhash64(item_id, text), {parts}) = {k}")) if parts > 1 else items for k in range(parts)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
