@@ -45,7 +45,7 @@ EXAMPLE_DIRS = "example examples sample samples demo demos".split()
 # Limits.
 MARKER_DEPTH, PACKAGE_TOP, ROOT_TOP, DOCS_TOP, GENERIC_TOP, OPS_TOP = 4, 3, 10, 5, 10, 5
 MAP_BYTES, PROMPT_BYTES, FILE_BYTES, MAX_PACKAGES = 512 << 10, 192 << 10, 50 << 10, 50
-DIR_FILES, SCAN_FILES, REVIEW_BYTES, UNTRACKED = 250, 10_000, 512 << 10, 25
+DIR_FILES, SCAN_FILES, REVIEW_BYTES, REVIEW_FILE_BYTES, UNTRACKED = 250, 10_000, 512 << 10, 64 << 10, 25
 BRACE_LINES, INDENT_LINES, DECLARATION_LINES, SMALL_LINES, SMALL_BYTES, LINES_BEFORE, LINES_AFTER = 48, 24, 24, 24, 4096, 3, 6
 
 # Languages by extension.

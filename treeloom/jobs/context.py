@@ -12,6 +12,7 @@ from treeloom.jobs import review as V
 from treeloom.jobs import selection as L
 from treeloom.jobs import spans as P
 from treeloom.operators import modules as O
+from treeloom.operators import review as R
 from treeloom.operators import selectors as S
 from treeloom.operators.ranking import top_k
 from treeloom.sources.corpus import files, table
@@ -162,13 +163,13 @@ def goal_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.when(F.size(shown) == 0, "  (blank)").otherwise(F.array_join(shown, "\n")).alias("preview"))
 
 
-@query("""WITH t AS (SELECT doc_id, CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN encode(text) || '\\x00'::BLOB WHEN 1 THEN encode(text) || '\\xC3'::BLOB WHEN 2 THEN '\\xFF'::BLOB || encode(text) ELSE encode(text) END AS data, doc_id % 5 AS k FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, try(decode(data)) IS NOT NULL AND NOT contains(hex(data)[-2:], '00') AS is_text FROM t""")
+@query("""WITH t AS (SELECT doc_id, CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN encode(text) || '\\x00'::BLOB || encode(text) WHEN 1 THEN encode(text) || '\\xC3'::BLOB WHEN 2 THEN '\\xFF'::BLOB || encode(text) ELSE encode(text) END AS data, doc_id % 5 AS k FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, try(decode(data)) IS NOT NULL AND NOT regexp_matches(hex(data), '^(..)*00') AS is_text FROM t""")
 def review_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a file's bytes are text: valid UTF-8 without a zero."""
     extra = lambda code: F.unhex(F.lit(code))
     data, kind = F.encode("text", "UTF-8"), F.col("doc_id") % 5
-    bytes_ = F.when(kind == 0, F.concat(data, extra("00"))).when(kind == 1, F.concat(data, extra("C3"))).when(kind == 2, F.concat(extra("FF"), data)).otherwise(data)
+    bytes_ = F.when(kind == 0, F.concat(data, extra("00"), data)).when(kind == 1, F.concat(data, extra("C3"))).when(kind == 2, F.concat(extra("FF"), data)).otherwise(data)
     text = bytes_.cast("string")
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", (F.is_valid_utf8(text) & ~F.contains(text, F.lit("\x00"))).alias("is_text"))
 
@@ -294,11 +295,20 @@ def apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.write_plan(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"))
 
 
-@query(f"""WITH s AS ({P.ORACLE['span_cascade']}), t AS (SELECT doc_id, full_file, strlen(content) > 400 AS cut, CASE WHEN strlen(content) > 400 THEN {_cut_sql("content", 400)} ELSE content END AS content FROM s)
-SELECT doc_id, '--- File: doc-' || doc_id || ' (' || CASE WHEN full_file THEN 'Full File' ELSE 'Extracted Span' END || CASE WHEN cut THEN ', Truncated' ELSE '' END || ') ---' || chr(10) || content || chr(10) || CASE WHEN cut THEN '--- End File (TRUNCATED) ---' ELSE '--- End File ---' END || chr(10) AS section FROM t""".replace("WITH s AS (WITH RECURSIVE", "WITH RECURSIVE s AS (WITH RECURSIVE"))
-def context_sections(spark: SparkSession, sf_dir: str, limit: int = 400) -> DataFrame:
-    """Labelled sections of the extracted spans, each cut to whole code points within ``limit`` bytes."""
+def _sections_sql(limit: int) -> str:
+    half = limit // 2
+    head, tail = (", ".join(f"try(decode(data[{cut.format(i=i)}]))" for i in range(4)) for cut in (f"1:{half} - {{i}}", f"size - {half} + 1 + {{i}}:size"))
+    spans = P.ORACLE["span_cascade"]
+    with_ = "WITH RECURSIVE" if spans.startswith("WITH RECURSIVE") else "WITH"
+    return f"""{with_} s AS ({spans}), d AS (SELECT doc_id, full_file, content, encode(content) AS data, strlen(content) AS size FROM s), h AS (SELECT *, coalesce({head}) AS head, coalesce({tail}) AS tail FROM d),
+t AS (SELECT doc_id, full_file, size > {limit} AS cut, CASE WHEN size <= {limit} THEN content ELSE head || chr(10) || '... [cut ' || (size - strlen(head) - strlen(tail)) || ' bytes] ...' || chr(10) || tail END AS content FROM h)
+SELECT doc_id, '--- File: doc-' || doc_id || ' (' || CASE WHEN full_file THEN 'Full File' ELSE 'Extracted Span' END || CASE WHEN cut THEN ', Truncated' ELSE '' END || ') ---' || chr(10) || content || chr(10) || CASE WHEN cut THEN '--- End File (TRUNCATED) ---' ELSE '--- End File ---' END || chr(10) AS section FROM t"""
+
+
+@query(_sections_sql(N.FILE_BYTES))
+def context_sections(spark: SparkSession, sf_dir: str, limit: int = N.FILE_BYTES) -> DataFrame:
+    """Labelled sections of the extracted spans; of contents beyond ``limit`` bytes both ends stay, cut to whole code points."""
     rows = P.span_cascade(spark, sf_dir).withColumn("cut", F.octet_length("content") > limit)
     label = F.concat(F.when(F.col("full_file"), "Full File").otherwise("Extracted Span"), F.when(F.col("cut"), ", Truncated").otherwise(""))
     end = F.when(F.col("cut"), "\n--- End File (TRUNCATED) ---\n").otherwise("\n--- End File ---\n")
-    return rows.select("doc_id", F.concat(F.lit("--- File: doc-"), F.col("doc_id").cast("string"), F.lit(" ("), label, F.lit(") ---\n"), first_bytes(F.col("content"), limit), end).alias("section"))
+    return rows.select("doc_id", F.concat(F.lit("--- File: doc-"), F.col("doc_id").cast("string"), F.lit(" ("), label, F.lit(") ---\n"), R.trimmed("content", limit), end).alias("section"))

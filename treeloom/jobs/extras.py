@@ -140,12 +140,17 @@ def asset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.concat_ws("\n", F.concat(F.lit("Binary file: "), "path"), F.concat(F.lit("Kind: "), "kind"), F.concat(F.lit("Size: "), C.size_label())).alias("summary"))
 
 
-@query(f"""WITH {M.FILES}, s AS (SELECT doc_id, CASE WHEN {M._KIND} = 'binary' THEN 'binary' WHEN {M._SENSITIVE} THEN 'sensitive' WHEN size > 8192 THEN 'oversized' ELSE 'included' END AS status FROM files)
-SELECT doc_id, status, CASE status WHEN 'binary' THEN 'binary content' WHEN 'sensitive' THEN 'sensitive path' WHEN 'oversized' THEN 'over 8 KiB' END AS reason FROM s""")
-def status_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(C.kind() == "binary", "binary").when(C.is_sensitive(), "sensitive").when(F.col("size") > 8192, "oversized").otherwise("included")
+def _limit_label(limit: int) -> str:
+    return f"{limit // 1024} KiB" if limit % 1024 == 0 else f"{limit} bytes"
+
+
+@query(f"""WITH {M.FILES}, s AS (SELECT doc_id, CASE WHEN {M._KIND} = 'binary' THEN 'binary' WHEN {M._SENSITIVE} THEN 'sensitive' WHEN size > {N.REVIEW_FILE_BYTES} THEN 'oversized' ELSE 'included' END AS status FROM files)
+SELECT doc_id, status, CASE status WHEN 'binary' THEN 'binary content' WHEN 'sensitive' THEN 'sensitive path' WHEN 'oversized' THEN 'over {_limit_label(N.REVIEW_FILE_BYTES)}' END AS reason FROM s""")
+def status_reasons(spark: SparkSession, sf_dir: str, limit: int = N.REVIEW_FILE_BYTES) -> DataFrame:
+    """What a review shows of each file and why; files of more than ``limit`` bytes are oversized, and the reason names the limit."""
+    status = F.when(C.kind() == "binary", "binary").when(C.is_sensitive(), "sensitive").when(F.col("size") > limit, "oversized").otherwise("included")
     rows = files(spark, sf_dir).select("doc_id", status.alias("status"))
-    return rows.select("doc_id", "status", F.when(F.col("status") == "binary", "binary content").when(F.col("status") == "sensitive", "sensitive path").when(F.col("status") == "oversized", "over 8 KiB").alias("reason"))
+    return rows.select("doc_id", "status", F.when(F.col("status") == "binary", "binary content").when(F.col("status") == "sensitive", "sensitive path").when(F.col("status") == "oversized", f"over {_limit_label(limit)}").alias("reason"))
 
 
 _WORK = "concat('go 1.2', chr(10), 'use (', chr(10), chr(9), './', source, chr(10), chr(9), './', lang, ' // note', chr(10), ')', chr(10), 'use ./tail')"

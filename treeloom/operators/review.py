@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +161,7 @@ def trimmed(column: str, limit: int) -> Column:
 
 def line_count(column: str = "text") -> Column:
     """Lines without trailing line ends; CR, LF and CRLF each end one; 0 if empty."""
-    text = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"[\r\n]+\z", "")
+    text = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?<![\r\n])[\r\n]++\z", "")
     return F.when(text == "", 0).otherwise(F.size(F.split(text, "\r\n|\r|\n"))).cast("long")
 
 
@@ -195,28 +197,35 @@ def _bytes(data: str, at: int | Column, n: int, little: bool = False) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def image_header(data: str = "data", segments: int = 64) -> Column:
-    """struct(format, width, height, alpha) from the first bytes of JPEG, PNG, GIF, WebP (extended) and ICO; null for others and where bytes are missing.
-
-    Of a JPEG ``segments`` segments are walked through at most.
-    """
-    start = F.hex(F.substring(data, 1, 4))
-    byte = lambda at: _bytes(data, at, 1)
-    made = lambda name, w, h, alpha: F.when(w.isNotNull() & h.isNotNull(), F.struct(F.lit(name).alias("format"), w.alias("width"), h.alias("height"), alpha.alias("alpha")))
-    long = lambda at_least: F.octet_length(data) >= at_least
+def _jpeg_frame(data: str, start: Column) -> Column:
+    """struct(width, height) of a JPEG's first frame, however many segments stand before it."""
     none = F.lit(None).cast("long")
-    state = F.struct(F.lit(2).alias("at"), none.alias("width"), none.alias("height"))
+    state = F.struct(F.lit(2).alias("at"), F.lit(False).alias("over"), none.alias("width"), none.alias("height"))
 
     def step(s: Column, _: Column) -> Column:
         marker = F.hex(F.substring(data, s["at"] + 1, F.lit(2)))
         frame = marker.isin("FFC0", "FFC1", "FFC2") & (F.octet_length(data) >= s["at"] + 9)
-        found = F.struct(s["at"].alias("at"), _bytes(data, s["at"] + 7, 2).alias("width"), _bytes(data, s["at"] + 5, 2).alias("height"))
+        found = F.struct(s["at"].alias("at"), F.lit(True).alias("over"), _bytes(data, s["at"] + 7, 2).alias("width"), _bytes(data, s["at"] + 5, 2).alias("height"))
+        onward = lambda by: F.struct((s["at"] + by).cast("int").alias("at"), F.lit(False).alias("over"), none.alias("width"), none.alias("height"))
         size = _bytes(data, s["at"] + 2, 2)
-        onward = F.struct((s["at"] + 2 + size).cast("int").alias("at"), none.alias("width"), none.alias("height"))
-        fits = marker.startswith("FF") & (F.octet_length(data) >= s["at"] + 4)
-        return F.when(s["width"].isNotNull(), s).when(frame, found).when(fits, onward).otherwise(s)
+        stop = F.struct(s["at"].alias("at"), F.lit(True).alias("over"), none.alias("width"), none.alias("height"))
+        fill, alone = marker == "FFFF", marker.rlike("^FF(D[0-7]|01)$")  # fill bytes; markers without a segment
+        fits = marker.startswith("FF") & (F.octet_length(data) >= s["at"] + 4) & (size >= 2)
+        return F.when(s["over"], s).when(frame, found).when(fill, onward(F.lit(1))).when(alone, onward(F.lit(2))).when(fits, onward(2 + size)).otherwise(stop)
 
-    jpeg = F.aggregate(F.sequence(F.lit(1), F.lit(segments)), state, step)
+    # Most frames stand near the start: the steps of the whole walk (a byte each at least) are made only where 64 don't get there.
+    walk = lambda steps: F.aggregate(F.sequence(F.lit(1), steps), state, step)
+    near = walk(F.lit(64))
+    return F.when(~start.startswith("FFD8"), None).when(near["over"], near).otherwise(walk(F.greatest(F.octet_length(data), F.lit(1))))
+
+
+def image_header(data: str = "data") -> Column:
+    """struct(format, width, height, alpha) from the first bytes of JPEG, PNG, GIF, WebP (extended) and ICO; null for others and where bytes are missing."""
+    start = F.hex(F.substring(data, 1, 4))
+    byte = lambda at: _bytes(data, at, 1)
+    made = lambda name, w, h, alpha: F.when(w.isNotNull() & h.isNotNull(), F.struct(F.lit(name).alias("format"), w.alias("width"), h.alias("height"), alpha.alias("alpha")))
+    long = lambda at_least: F.octet_length(data) >= at_least
+    jpeg = _jpeg_frame(data, start)
     full = lambda b: F.when(b == 0, 256).otherwise(b).cast("long")
     return (
         F.when(~long(12), None)
@@ -239,7 +248,9 @@ def aspect_ratio(width: str, height: str) -> Column:
 
 def untracked(files: DataFrame, keys: list[str], k: int = N.UNTRACKED) -> DataFrame:
     """(keys, path, doc_id, nth, omitted): files by review priority, time and path; omitted counts those beyond k."""
+    # The rank alone stands over the window, so that tasks send k rows of a group at most; counts are summed before they are shuffled.
     order = Window.partitionBy(*keys).orderBy(F.desc("priority"), F.desc("mtime"), F.asc("path"), F.asc("doc_id"))
-    group = Window.partitionBy(*keys)
-    ranked = files.withColumn("nth", F.row_number().over(order).cast("long")).withColumn("omitted", F.greatest(F.count("*").over(group) - k, F.lit(0)))
-    return ranked.where(F.col("nth") <= k)
+    first = files.withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= k)
+    counts = files.groupBy(*keys).agg(F.greatest(F.count("*") - k, F.lit(0)).alias("omitted"))
+    same = reduce(lambda x, y: x & y, [first[c].eqNullSafe(counts[c]) for c in keys])
+    return first.join(counts, same).select(*[first[c] for c in first.columns], "omitted")
