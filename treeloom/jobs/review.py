@@ -199,7 +199,7 @@ def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDENTED = "CASE WHEN (doc_id + ln) % 4 = 0 THEN concat(chr(9), line) WHEN (doc_id + ln) % 4 = 1 THEN concat(repeat(' ', CAST(2 + doc_id % 2 * 2 AS int)), line) WHEN (doc_id + ln) % 4 = 2 THEN concat('    ', line) ELSE line END"
 
 
-@query(f"""WITH {_DOC_LINES}, t AS (SELECT doc_id, ln, {_INDENTED} AS line FROM lines), d AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS nth FROM t WHERE regexp_matches(line, '^[ \t]+[^ \t]')),
+@query(f"""WITH {_DOC_LINES}, t AS (SELECT doc_id, ln, {_INDENTED} AS line FROM lines), d AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS nth FROM t WHERE regexp_matches(line, '^[ \t]')),
 v AS (SELECT doc_id, CASE WHEN NOT starts_with(line, chr(9)) THEN length(regexp_extract(line, '^ +')) END AS width, count(*) AS n FROM d WHERE nth <= 200 GROUP BY ALL)
 SELECT doc_id, coalesce(sum(n) FILTER (WHERE width IS NULL), 0) >= coalesce(sum(n) FILTER (WHERE width IS NOT NULL), 0) AS tabs, (arg_min(width, struct_pack(a := -n, b := width)) FILTER (WHERE width IS NOT NULL))::BIGINT AS width FROM v GROUP BY doc_id""")
 def indent_style(spark: SparkSession, sf_dir: str) -> DataFrame:

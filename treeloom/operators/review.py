@@ -82,16 +82,27 @@ def fence_mask(texts: DataFrame, lines: str = "lines") -> DataFrame:
     return rows.select(*[c for c in texts.columns if c != lines], F.col("_i").cast("long").alias("ln"), is_fenced(F.col("_blocks"), F.col("_i")).alias("fenced"))
 
 
+def _outside_fences(texts: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """``texts`` with helper columns, and the text without its fenced lines."""
+    rows = texts.withColumn("_lines", F.split(column, "\n"))
+    rows = rows.withColumn("_blocks", fences(F.col("_lines")))
+    return rows, F.when(F.size("_blocks") == 0, F.col(column)).otherwise(F.array_join(F.transform("_lines", lambda x, i: F.when(is_fenced(F.col("_blocks"), i), "").otherwise(x)), "\n"))
+
+
+def open_references(texts: DataFrame, column: str = "text") -> DataFrame:
+    """The rows of ``texts`` with a quoted reference outside fenced blocks that lacks its end; there is one at most, since the next quotation mark ends it."""
+    rows, open_text = _outside_fences(texts, column)
+    return rows.withColumn("_open", open_text).where(unclosed_reference("_open")).select(*texts.columns)
+
+
 def references(texts: DataFrame, column: str = "text") -> DataFrame:
     """(…, pos, ref): ``@path`` and ``@"quoted path"`` outside fenced blocks, where no letter, digit or underscore stands before the sign.
 
     Unquoted paths lose trailing punctuation; in quoted ones a backslash keeps a quotation mark or backslash.  An unclosed quotation is no
-    reference.
+    reference; open_references() finds those.
     """
     token = r'(?s)(?<![\p{L}\p{Nd}_])@("(?:[^"\\]++|\\.)*+"|[\p{L}\p{Nd}/.\-_~+]+)'
-    rows = texts.withColumn("_lines", F.split(column, "\n"))
-    rows = rows.withColumn("_blocks", fences(F.col("_lines")))
-    open_text = F.when(F.size("_blocks") == 0, F.col(column)).otherwise(F.array_join(F.transform("_lines", lambda x, i: F.when(is_fenced(F.col("_blocks"), i), "").otherwise(x)), "\n"))
+    rows, open_text = _outside_fences(texts, column)
     quoted = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r'\\(["\\])', "$1")
     plain = lambda x: F.regexp_replace(x, r"[.]+\z", "")
     found = F.transform(F.regexp_extract_all(open_text, F.lit(token), 1), lambda x: F.struct(F.startswith(x, F.lit('"')).alias("quoted"), F.when(F.startswith(x, F.lit('"')), quoted(x)).otherwise(plain(x)).alias("ref")))
@@ -127,9 +138,9 @@ def write_plan(lines: DataFrame, keys: list[str]) -> DataFrame:
     return inside.select(*keys, F.col("block").cast("long").alias("block"), "op", "target", content.alias("content"), error.alias("error"))
 
 
-def path_error(column: str) -> Column:
+def path_error(column: str | Column) -> Column:
     """Why a path may not be written; null where it may."""
-    path = F.col(column)
+    path = F.col(column) if isinstance(column, str) else column
     return (
         F.when(path == "", "empty").when(path.rlike(r"^([/\\]|[A-Za-z]:)"), "absolute").when(path.rlike(r"[*?\[\]]"), "pattern").when(path.rlike("[<>]"), "placeholder")
         .when(path.rlike(r"(^|[/\\])[.][.]([/\\]|$)"), "outside").when(path == ".", "root")
@@ -139,7 +150,7 @@ def path_error(column: str) -> Column:
 def indent_style(lines: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
     """(keys, tabs, width): votes of the first indented lines; tabs win ties and empty votes, of widths the smaller."""
     nth = Window.partitionBy(*keys).orderBy("ln")
-    deep = lines.where(F.col("line").rlike(r"^[ \t]+[^ \t]")).withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= most)
+    deep = lines.where(F.col("line").rlike(r"^[ \t]")).withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= most)
     deep = deep.withColumn("tab", F.col("line").startswith("\t")).withColumn("width", F.when(~F.col("tab"), F.length(F.regexp_extract("line", "^ +", 0))))
     votes = deep.groupBy(*keys, "width").agg(F.count("*").alias("n"))
     return votes.groupBy(*keys).agg(
