@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.jobs import context, extras, mapping, replies, review, selection, spans, star, tagging
+from treeloom.jobs import context, extras, mapping, prompts, replies, review, selection, spans, star, tagging
 
-QUERIES = mapping.QUERIES | selection.QUERIES | spans.QUERIES | review.QUERIES | extras.QUERIES | context.QUERIES | star.QUERIES | tagging.QUERIES | replies.QUERIES
-ORACLE_SQL = mapping.ORACLE | selection.ORACLE | spans.ORACLE | review.ORACLE | extras.ORACLE | context.ORACLE | star.ORACLE | tagging.ORACLE | replies.ORACLE
+QUERIES = mapping.QUERIES | selection.QUERIES | spans.QUERIES | review.QUERIES | extras.QUERIES | context.QUERIES | star.QUERIES | tagging.QUERIES | replies.QUERIES | prompts.QUERIES
+ORACLE_SQL = mapping.ORACLE | selection.ORACLE | spans.ORACLE | review.ORACLE | extras.ORACLE | context.ORACLE | star.ORACLE | tagging.ORACLE | replies.ORACLE | prompts.ORACLE
