@@ -63,3 +63,32 @@ DETECTORS = [
 # What external directories leave out, and the limits of a goal's preview and of review budgets.
 EXTERNAL_NOISE = ".ds_store thumbs.db go.sum package-lock.json pnpm-lock.yaml yarn.lock".split()
 GOAL_LINES, GOAL_BYTES, TOPOLOGY_RESERVE = 3, 96, 40 << 10
+
+# Source roots of a Java module in the order in which they are tried, and extensions of resources in them.
+JAVA_ROOTS = "src/main/java src/test/java src/main src/java src".split()
+JAVA_RESOURCES = ".xml .properties .yaml .yml .sql .proto .json .txt".split()
+
+# Node sources, commands that are no paths, files at a module's root that an overview looks for.
+NODE_EXT = ".js .jsx .cjs .mjs .ts .tsx .cts .mts".split()
+NODE_COMMANDS = "node tsx ts-node ts-node-esm nodemon vite vitest jest mocha tsx-watch".split()
+NODE_ROOT_FILES = "package.json tsconfig.json jsconfig.json server.ts server.js main.ts main.js index.ts index.js index.html".split()
+
+# Frameworks in their order as (name, dependencies, paths that prove it in a map, further ones that prove it in an overview, files and
+# directories that an overview shows).
+_NEXT_CONFIG = "next.config.js next.config.ts next.config.mjs next.config.cjs".split()
+_VITE_CONFIG = "vite.config.js vite.config.ts vite.config.mjs vite.config.cjs".split()
+FRAMEWORKS = [
+    ("React", ["react"], "src/App.jsx src/App.tsx App.jsx App.tsx components hooks".split(), "src/components src/hooks".split(),
+     "App.jsx App.tsx src/App.jsx src/App.tsx main.jsx main.tsx index.jsx index.tsx src/main.jsx src/main.tsx src/index.jsx src/index.tsx".split(), "components hooks src/components src/hooks".split()),
+    ("Next.js", ["next"], [*_NEXT_CONFIG, "pages", "app"], [],
+     [*_NEXT_CONFIG, *"pages/index.jsx pages/index.tsx pages/index.js pages/index.ts app/page.jsx app/page.tsx app/page.js app/page.ts".split()], "pages app".split()),
+    ("Vue", ["vue"], "src/App.vue App.vue components".split(), "src/main.ts src/main.js main.ts main.js src/components".split(), "src/main.ts src/main.js main.ts main.js src/App.vue App.vue".split(), "components src/components".split()),
+    ("Vite", ["vite"], [*_VITE_CONFIG, "index.html"], [], [*_VITE_CONFIG, *"main.jsx main.tsx main.js main.ts src/main.jsx src/main.tsx src/main.js src/main.ts".split()], []),
+    ("NestJS", ["@nestjs/core", "@nestjs/common"], "nest-cli.json src/main.ts src/main.js".split(), "apps libs".split(), "nest-cli.json src/main.ts src/main.js".split(), "apps libs".split()),
+]
+#: Build systems by marker, before the frameworks.
+BUILD_MARKERS = [("Maven", ["pom.xml"]), ("Gradle", ["build.gradle", "build.gradle.kts"]), ("Go Modules", ["go.mod"]), ("Node.js", ["package.json"])]
+#: Ranks of overview files: names anywhere, names at the root, and beginnings of paths.
+OVERVIEW_NAMES = [["package.json"], ["tsconfig.json", "jsconfig.json"], [*_NEXT_CONFIG, *_VITE_CONFIG, "nest-cli.json"]]
+OVERVIEW_ROOT_NAMES = [["server.ts", "server.js"], ["main.ts", "main.js"], ["index.ts", "index.js"], ["index.html"], ["app.tsx", "app.jsx", "app.ts", "app.js"]]
+OVERVIEW_STARTS = [["pages/", "app/"], ["components/", "hooks/", "src/components/", "src/hooks/"], ["server/"], ["apps/"], ["libs/"], ["bin/"]]
