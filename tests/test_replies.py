@@ -87,7 +87,7 @@ def reviewed(spark, rows, *limits, **more):
     return [(r.status, r.shown) for r in verdicts.orderBy("nth").collect()], prompts.first()
 
 
-ROWS = [("a.go", False, None, "@@ a", "one\n"), ("b.go", False, "deleted", "@@ b", None), ("c.go", False, None, "@@ c\n", "``` two"), ("d.go", True, None, None, "three")]
+ROWS = [("a.go", False, None, "@@ a", "one\n"), ("b.go", False, "deleted", "@@ b", None), ("c.go", False, None, "@@ c\n", "``` two"), ("d.go", True, None, None, "three " * 20)]
 
 
 def test_a_review_fits_to_the_byte(spark):

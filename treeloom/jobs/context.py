@@ -40,9 +40,9 @@ _PROJECT_PATH = (
 )
 
 
-def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def project_files(spark: SparkSession, sf_dir: str, path: str = _PROJECT_PATH) -> DataFrame:
     """(path, dir, name, ext, size), a row for each path."""
-    paths = table(spark, sf_dir, "documents").select(F.expr(_PROJECT_PATH).alias("path"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    paths = table(spark, sf_dir, "documents").select(F.expr(path).alias("path"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     one = paths.where("path is not null").groupBy("path").agg(F.max("size").alias("size"))
     return one.select("path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.element_at(F.split("path", "/"), -1).alias("name"), F.regexp_extract("path", r"([.][^./]*)$", 1).alias("ext"), "size")
 
@@ -70,6 +70,26 @@ def detected_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.rollup(O.detect_all(project_files(spark, sf_dir)))
 
 
+#: The same files, less those of detectors in every third project: there only texts, images and other languages are left.
+_SPARSE_PATH = f"CASE WHEN doc_id % 37 % 3 = 0 THEN concat('p', CAST(doc_id % 37 AS VARCHAR(9)), '/', CASE CAST(doc_id % 13 AS INT) WHEN 0 THEN 'x.rs' WHEN 1 THEN concat('lib/f', CAST(doc_id AS VARCHAR(20)), CASE CAST(doc_id % 37 AS INT) WHEN 6 THEN '.rb' ELSE '.rs' END) WHEN 2 THEN 'a.rb' WHEN 3 THEN '.env' WHEN 4 THEN concat('dist/f', CAST(doc_id AS VARCHAR(20)), '.rb') WHEN 5 THEN 'lib/q.jar' ELSE concat('docs/', lang, '.md') END) ELSE {_PROJECT_PATH} END"
+_OMITTED_SQL = f"({M._SENSITIVE} OR lower(name) IN {_list(N.NOISE)} OR lower(ext) IN {_list(N.COMPILED_EXT)})"
+_LANGUAGE_SQL = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in N.LANGUAGES.items()) + " END"
+
+
+def _omitted() -> Column:
+    return C.is_sensitive() | F.lower("name").isin(N.NOISE) | F.lower("ext").isin(N.COMPILED_EXT)
+
+
+@query(f"""WITH {_OWNED.replace(_PROJECT_PATH, _SPARSE_PATH)}, lone AS (SELECT *, string_split(dir, '/')[1] AS root FROM usable WHERE NOT {_OMITTED_SQL} AND string_split(dir, '/')[1] NOT IN (SELECT string_split(root, '/')[1] FROM owned)),
+said AS (SELECT root, coalesce(arg_min(l, struct_pack(n := -n, l := l)) FILTER (WHERE l IS NOT NULL), 'Generic') AS language FROM (SELECT root, {_LANGUAGE_SQL} AS l, count(*) AS n FROM lone GROUP BY ALL) GROUP BY root),
+every AS (SELECT language, root, dir, path, size FROM owned UNION ALL SELECT language, root, dir, path, size FROM lone JOIN said USING (root))
+SELECT language, root, count(DISTINCT dir)::BIGINT AS n_packages, count(*)::BIGINT AS n_files, sum(size)::BIGINT AS size, arg_min(path, (-size, path)) AS heaviest FROM every GROUP BY language, root""")
+def scanned_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules of all detectors; a project in which none finds any is one generic module."""
+    known = project_files(spark, sf_dir, _SPARSE_PATH)
+    return O.rollup(O.with_fallback(O.detect_all(known), known, _omitted()))
+
+
 @query(f"""WITH {_OWNED}, k AS (SELECT dir, path, size FROM (SELECT *, row_number() OVER (PARTITION BY language, root, dir ORDER BY size DESC, path) AS r FROM owned) WHERE r <= {N.PACKAGE_TOP}),
 t AS (SELECT dir, string_agg(path, ',' ORDER BY size DESC, path) AS tops FROM (SELECT DISTINCT * FROM k) GROUP BY dir)
 SELECT o.dir, min(root || '|' || language) AS first, count(*)::BIGINT AS n_files, any_value(tops) AS tops FROM owned o JOIN t USING (dir) GROUP BY o.dir""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,34 +15,44 @@ def _in_ignored(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda part: part.isin(N.MARKER_IGNORED_DIRS))
 
 
-def detect(files: DataFrame, language: str, markers: list[str], extensions: list[str], depth: int | None) -> DataFrame:
-    """(language, root, dir, path, name, size) of a language's files, each owned by the nearest directory above that holds a marker.
-
-    Markers and files under ignored directories don't count; ``depth`` bounds how deep a marker may stand.  Without markers the whole of a
-    project (the first directory) is one module.
-    """
-    usable = files.where(~_in_ignored(F.col("path")))
-    if not markers:
-        whole = F.when(F.col("dir") == "", "").otherwise(F.split("dir", "/")[0])
-        return usable.where(F.col("ext").isin(extensions)).select(F.lit(language).alias("language"), whole.alias("root"), "dir", "path", "name", "size")
-    parents = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-    roots = usable.where(F.lower("name").isin(markers) & (parents <= depth if depth is not None else F.lit(True))).select(F.col("dir").alias("root"), parents.alias("deep")).distinct()
-    parts = F.split("dir", "/")
-    above = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.array_append(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), F.lit("")))
-    owned = usable.where(F.col("ext").isin(extensions)).select("dir", "path", "name", "size").distinct()
-    # Directories, not files, are matched with the roots above them.
-    dirs = owned.select("dir").distinct().select("dir", F.explode(above).alias("root")).join(roots, "root")
-    nearest = dirs.groupBy("dir").agg(F.max_by("root", "deep").alias("root"))
-    return owned.join(nearest, "dir").select(F.lit(language).alias("language"), "root", "dir", "path", "name", "size")
+def _above(column: str) -> Column:
+    """A directory, all above it, and the root."""
+    parts = F.split(column, "/")
+    return F.when(F.col(column) == "", F.array(F.lit(""))).otherwise(F.array_append(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), F.lit("")))
 
 
 def detect_all(files: DataFrame) -> DataFrame:
-    """The union of all detectors' files."""
-    found = [detect(files, *how) for how in N.DETECTORS]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    """(language, root, dir, path, name, size) of all detectors' files, each owned by the nearest directory above that holds a marker of its language.
+
+    ``files``: a row for each path.  Markers and files under ignored directories don't count; markers may stand so deep only.  Of a language without markers
+    the whole of a project (the first directory) is one module.  Files are tagged with their own language and the one that they mark in one pass; directories, a
+    row each, are matched with the roots above them.
+    """
+    table = lambda at: F.create_map(*[F.lit(x) for d in N.DETECTORS for v in d[at] for x in (v, d[0])])
+    parents = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    marks = F.try_element_at(table(1), F.lower("name"))
+    reach = reduce(lambda found, d: found.when(marks == d[0], parents <= d[3] if d[3] is not None else F.lit(True)), N.DETECTORS[1:], F.when(marks == N.DETECTORS[0][0], parents <= N.DETECTORS[0][3]))
+    tagged = files.where(~_in_ignored(F.col("path"))).select("dir", "path", "name", "size", F.try_element_at(table(2), F.col("ext")).alias("language"), F.when(reach, marks).alias("marks"))
+    by_dir = tagged.groupBy("dir").agg(F.collect_set("language").alias("languages"), F.collect_set("marks").alias("marks"))  # at most one for each detector
+    marked = [d[0] for d in N.DETECTORS if d[1]]
+    roots = by_dir.select(F.explode("marks").alias("language"), F.col("dir").alias("root"))
+    wanted = by_dir.select("dir", F.explode("languages").alias("language")).where(F.col("language").isin(marked)).select("language", "dir", F.explode(_above("dir")).alias("root"))
+    nearest = wanted.join(roots, ["language", "root"]).groupBy("language", "dir").agg(F.max_by("root", F.length("root")).alias("root"))
+    owned = tagged.where("language is not null").join(nearest, ["language", "dir"], "left")
+    whole = F.when(~F.col("language").isin(marked), F.when(F.col("dir") == "", "").otherwise(F.split("dir", "/")[0]))
+    return owned.withColumn("root", F.coalesce("root", whole)).where("root is not null").select("language", "root", "dir", "path", "name", "size")
+
+
+def with_fallback(owned: DataFrame, files: DataFrame, omitted: Column) -> DataFrame:
+    """``owned`` and, for projects (first directories) of ``files`` in which no detector found a file, one generic module of all files that aren't ``omitted``.
+
+    A generic module's language is that of most of its files, of equal ones the first by name; Generic without any.
+    """
+    project = F.split("dir", "/")[0]
+    found = owned.select(F.split("root", "/")[0].alias("root")).distinct()
+    rest = files.where(~omitted & ~_in_ignored(F.col("path"))).withColumn("root", project).join(found, "root", "left_anti")
+    said = languages(rest, ["root"]).select("root", "language")
+    return owned.unionByName(rest.join(said, "root").select("language", "root", "dir", "path", "name", "size"))
 
 
 def rollup(owned: DataFrame) -> DataFrame:
