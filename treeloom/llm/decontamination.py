@@ -35,7 +35,6 @@ BLOCK_ITEMS, BLOCK_CHARS = 50_000, 8 << 20
 KEPT_ITEMS = 2_000
 #: Pairs of like shingles of a text and an item that are written out at once.
 PAIRS = 1 << 20
-_BITS = 64
 
 
 def _within(bits: int) -> np.ndarray:
@@ -48,20 +47,30 @@ _WAYS = [(RADIUS // 4, 0), (RADIUS // 4 - RADIUS // 8, RADIUS // 8)]
 TABLE_BYTES = 64 << 20
 
 
-def _bit_sums(keys: np.ndarray) -> np.ndarray:
-    """Prefix sums, by bit, of the features at each word: the word itself and the pair that it begins."""
+def _bit_sums(keys: np.ndarray, lane: type) -> np.ndarray:
+    """Prefix sums, by bit, of the features at each word: the word itself and the pair that it begins.
+
+    Several bits' sums stand side by side in one word of 64 bits, a ``lane`` each.  Lanes may run over into the next, but a difference of two
+    such words is right as long as each bit's own difference fits a lane.
+    """
     pairs = keys.copy()
     pairs[:-1] = mix64(keys[:-1] * np.uint64(3) + keys[1:])
-    sums = np.zeros((len(keys) + 1, _BITS), dtype=np.int32)
     bits = np.unpackbits(keys.view(np.uint8).reshape(-1, 8), axis=1)
     bits += np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1)
-    np.cumsum(bits, axis=0, out=sums[1:])
+    packed = bits.astype(lane).view(np.uint64)
+    sums = np.zeros((len(keys) + 1, packed.shape[1]), dtype=np.uint64)
+    np.cumsum(packed, axis=0, out=sums[1:])
     return sums
 
 
-def _fingerprints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def _lane(longest: int) -> type:
+    """The narrowest lane for windows of up to ``longest`` words: a word adds two features."""
+    return np.uint16 if 2 * longest < 1 << 16 else np.uint32
+
+
+def _fingerprints(sums: np.ndarray, at: np.ndarray, size: int, lane: type) -> np.ndarray:
     """SimHash of the ``size``-word windows at ``at``; the last word's pair would leave the window and isn't counted, nor is the word."""
-    over = sums[at + size - 1] - sums[at] > size - 1
+    over = (sums[at + size - 1] - sums[at]).view(lane) > size - 1
     return np.packbits(over, axis=1).view(np.uint64).reshape(-1)
 
 
@@ -115,6 +124,7 @@ class Index:
         self.known: dict[int, _Item] = {}
         self.classes: list[_Class] = []
         grid = class_sizes(max([0, *map(len, self.words)]))
+        self.lane = _lane(grid[-1][0])
         members: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
             fits = [k for k, (size, stride) in enumerate(grid) if size + stride - 1 <= len(w)]
@@ -128,7 +138,7 @@ class Index:
             prints, item, offset = [], [], []
             for i in owned:
                 at = np.arange(len(self.words[i]) - size + 1)
-                prints.append(_fingerprints(_bit_sums(self.words[i]), at, size))
+                prints.append(_fingerprints(_bit_sums(self.words[i], self.lane), at, size, self.lane))
                 item.append(np.full(len(at), i))
                 offset.append(at)
             prints = np.concatenate(prints)
@@ -153,7 +163,7 @@ class Index:
         """(document, item, start word, similarity): the best stretch of each document for each item that it holds."""
         if len(keys) < 2:
             return []
-        sums = _bit_sums(keys)
+        sums = _bit_sums(keys, self.lane)
         tries = []
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         for c in self.classes:
@@ -162,7 +172,7 @@ class Index:
             at = at[((at - first[owner[at]]) % c.stride == 0) & (owner[at] == owner[at + c.size - 1])]
             if not len(at):
                 continue
-            row, hit = c.near(_fingerprints(sums, at, c.size))
+            row, hit = c.near(_fingerprints(sums, at, c.size, self.lane))
             tries.append(np.stack([owner[at[row]], c.item[hit], at[row] - c.offset[hit]], axis=1))
         out = []
         for doc, i, starts in _grouped(tries):
