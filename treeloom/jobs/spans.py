@@ -157,5 +157,4 @@ q AS (SELECT doc_id, method, full_file, CASE WHEN method <> 'window' THEN start
 SELECT doc_id, method, full_file, first_line::BIGINT AS first_line, last_line::BIGINT AS last_line, string_agg(line, chr(10) ORDER BY i) || CASE WHEN full_file THEN '' ELSE chr(10) END AS content FROM q JOIN xs USING (doc_id) WHERE i BETWEEN first_line AND last_line GROUP BY doc_id, method, full_file, first_line, last_line""")
 def span_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first useful span of braces, body and declaration, else the lines around the anchor or the whole of a small file."""
-    rows = S.with_declaration_end(S.with_indent_end(S.with_brace_end(_code(spark, sf_dir))))
-    return rows.select("doc_id", *S.cascade("at", "start", "lines", "size", ["brace", "indent", "declaration"]))
+    return S.cascade(_code(spark, sf_dir)).select("doc_id", "method", "full_file", "first_line", "last_line", "content")

@@ -16,9 +16,13 @@ from treeloom.functions import names as N
 TOKENS = r"""(?s)//[^\n]*+|/\*.*?(?:\*/|\z)|#[^\n]*+|'(?:[^'\\]++|\\.)*+(?:\\?\z|')|"(?:[^"\\]++|\\.)*+(?:\\?\z|")|`(?:[^`\\]++|\\.)*+(?:\\?\z|`)|[{};\n]"""
 
 
+#: All white space of Unicode.
+_BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(text: Column) -> Column:
-    """Without white space of any kind at the ends; linear, since a run of blanks is looked at once."""
-    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++\z", "")
+    """Without white space of any kind at the ends."""
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def lines_of(column: str = "text") -> Column:
@@ -36,13 +40,30 @@ def first_match(lines: Column, pattern: Column, near: bool) -> Column:
     return F.array_position(test, True).cast("long") - 1
 
 
+def _starts(text: Column, *signs: str) -> Column:
+    return reduce(lambda found, sign: found | F.startswith(text, F.lit(sign)), signs[1:], F.startswith(text, F.lit(signs[0])))
+
+
+# Tests of a trimmed line.
+def _comment(t: Column) -> Column:
+    return _starts(t, "//", "/*", "*", "#")
+
+
+def _attachment(t: Column) -> Column:
+    return _starts(t, "//", "/*", "*", "#", "@")
+
+
+def _intro(t: Column) -> Column:
+    return F.endswith(t, F.lit(":")) & _starts(t, "def ", "class ", "async def ")
+
+
 def is_comment(line: Column) -> Column:
-    return trim(line).rlike(r"^(//|/\*|\*|#)")
+    return _comment(trim(line))
 
 
 def is_attachment(line: Column) -> Column:
     """A comment, or an annotation."""
-    return trim(line).rlike(r"^(//|/\*|\*|#|@)")
+    return _attachment(trim(line))
 
 
 def is_blank(line: Column) -> Column:
@@ -51,12 +72,13 @@ def is_blank(line: Column) -> Column:
 
 def is_intro(line: Column) -> Column:
     """Opens a block that is told by its indentation."""
-    return trim(line).rlike(r"(?s)^(def|class|async def) .*:$")
+    return _intro(trim(line))
 
 
 def indent(line: Column) -> Column:
     """Width of leading blanks, a tab being four."""
-    return F.length(F.replace(F.regexp_extract(line, r"^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
+    lead = F.left(line, F.length(line) - F.length(F.ltrim(line, F.lit(" \t"))))
+    return F.length(F.replace(lead, F.lit("\t"), F.lit("    ")))
 
 
 def extend(lines: Column, at: Column) -> Column:
@@ -96,18 +118,22 @@ def with_brace_end(rows: DataFrame, name: str = "brace") -> DataFrame:
     return rows.withColumn(name, F.col("start") + F.aggregate(marks, state, step, lambda s: s["end"]))
 
 
-def with_indent_end(rows: DataFrame, name: str = "indent") -> DataFrame:
-    """Adds where the body of a ``def``, ``class`` or ``async def`` ends; it must be the first code line within INDENT_LINES lines.  Else null.
+def _lines(where: Column | None) -> Column:
+    return F.col("lines") if where is None else F.when(where, F.col("lines"))
+
+
+def with_indent_end(rows: DataFrame, name: str = "indent", where: Column | None = None) -> DataFrame:
+    """Adds where the body of a ``def``, ``class`` or ``async def`` ends; it must be the first code line within INDENT_LINES lines.  Else, and not ``where``, null.
 
     Step by step in columns of their own, so that nothing is worked out again for each line.
     """
-    head = F.transform(from_line(F.col("lines"), F.col("start"), N.INDENT_LINES), lambda x: ~is_blank(x) & ~is_attachment(x))
+    head = F.transform(from_line(_lines(where), F.col("start"), N.INDENT_LINES), lambda x: ~is_blank(x) & ~is_attachment(x))
     found = rows.withColumn("_intro", F.col("start") + F.nullif(F.array_position(head, True), F.lit(0)) - 1)
     line = F.get("lines", F.col("_intro").cast("int"))
     found = found.withColumn("_base", F.when(is_intro(line), indent(line)))
     rest = F.when(F.col("_base").isNotNull(), F.slice("lines", F.col("_intro").cast("int") + 2, F.size("lines")))
-    kinds = F.transform(rest, lambda x: F.struct(is_blank(x).alias("blank"), is_comment(x).alias("comment"), indent(x).alias("indent")))
-    found = found.withColumn("_rest", kinds)
+    measured = F.transform(rest, lambda x: F.struct(trim(x).alias("t"), indent(x).alias("indent")))
+    found = found.withColumn("_rest", F.transform(measured, lambda x: F.struct((x["t"] == "").alias("blank"), _comment(x["t"]).alias("comment"), x["indent"].alias("indent"))))
     # Lines of the body: up to the next that isn't blank and not deeper.
     stop = F.array_position(F.zip_with("_rest", F.array_repeat("_base", F.size("_rest")), lambda x, base: ~x["blank"] & (x["indent"] <= base)), True)
     found = found.withColumn("_stop", stop.cast("int"))
@@ -121,17 +147,19 @@ def with_indent_end(rows: DataFrame, name: str = "indent") -> DataFrame:
 _DECLARES = r"(?s)=>|->|[=(){}\[\]<>;]|^(const|let|var|func|type|interface|class|export|public|private|protected|static|package|import|return|if|for|switch|case|async|def) "
 
 
-def with_declaration_end(rows: DataFrame, name: str = "declaration") -> DataFrame:
-    """Adds where the declaration at line ``start`` ends, within DECLARATION_LINES lines; null if it opens a brace or an indented block, or is none."""
-    found = rows.withColumn("_near", from_line(F.col("lines"), F.col("start"), N.DECLARATION_LINES))
+def with_declaration_end(rows: DataFrame, name: str = "declaration", where: Column | None = None) -> DataFrame:
+    """Adds where the declaration at line ``start`` ends, within DECLARATION_LINES lines; null if it opens a brace or an indented block, is none, and not ``where``."""
+    # Each line is trimmed and measured once; all tests read that.
+    near = F.transform(from_line(_lines(where), F.col("start"), N.DECLARATION_LINES), lambda x: F.struct(x.alias("line"), trim(x).alias("t"), indent(x).alias("indent")))
+    found = rows.withColumn("_near", near)
     # Comments and annotations between are passed over, quotes and braces in them too.
-    marks = structure(F.transform("_near", lambda x: F.when(is_attachment(x), "").otherwise(x)))
-    found = found.withColumn("_marks", marks).withColumn("_base", indent(F.get("_near", F.lit(0))))
-    found = found.withColumn("_next", F.array_append(F.slice("_near", 2, N.DECLARATION_LINES), F.lit("")))
+    marks = structure(F.transform("_near", lambda x: F.when(_attachment(x["t"]), "").otherwise(x["line"])))
+    found = found.withColumn("_marks", marks).withColumn("_base", F.get("_near", F.lit(0))["indent"])
+    found = found.withColumn("_next", F.slice("_near", 2, N.DECLARATION_LINES))
     facts = F.transform(F.arrays_zip("_near", "_marks", "_next"), lambda x, i: F.struct(
-        is_blank(x["_near"]).alias("blank"), is_attachment(x["_near"]).alias("comment"), is_intro(x["_near"]).alias("intro"), trim(x["_near"]).rlike(_DECLARES).alias("declares"),
-        trim(x["_near"]).rlike(r"[,.+\-*/=(\[{\\:]$").alias("goes_on"), (indent(x["_near"]) > F.col("_base")).alias("deeper"), x["_marks"].alias("has"), i.alias("at"),
-        (~is_blank(x["_next"]) & (indent(x["_next"]) > F.col("_base"))).alias("deeper_next"),
+        (x["_near"]["t"] == "").alias("blank"), _attachment(x["_near"]["t"]).alias("comment"), _intro(x["_near"]["t"]).alias("intro"), x["_near"]["t"].rlike(_DECLARES).alias("declares"),
+        F.right(x["_near"]["t"], F.lit(1)).isin(*",.+-*/=([{\\:").alias("goes_on"), (x["_near"]["indent"] > F.col("_base")).alias("deeper"), x["_marks"].alias("has"), i.alias("at"),
+        F.coalesce((x["_next"]["t"] != "") & (x["_next"]["indent"] > F.col("_base")), F.lit(False)).alias("deeper_next"),
     ))
     state = F.struct(F.lit(False).alias("seen"), F.lit(-1).alias("end"), F.lit(False).alias("over"), F.lit(False).alias("failed"))
 
@@ -172,15 +200,24 @@ def joined(lines: Column, first: Column, last: Column, tail: str = "") -> Column
     return F.concat(F.array_join(from_line(lines, first, (last - first + 1).cast("int")), "\n"), F.lit(tail))
 
 
-def cascade(at: str, start: str, lines: str, size: str, ends: list[str]) -> list[Column]:
-    """method, full_file, first_line, last_line, content by the first of ``ends`` (columns named like their method) that gives a useful span, else around ``at``."""
-    all_lines, first = F.col(lines), F.col(start)
-    fits = [(name, F.coalesce(is_useful(all_lines, first, F.col(name)), F.lit(False)) & (F.col(at) >= 0)) for name in ends]
-    pick = lambda values, rest: reduce(lambda found, x: F.when(x[0], x[1]).otherwise(found), reversed(values), rest)
-    method = pick([(ok, F.lit(name)) for name, ok in fits], F.lit("window"))
-    whole, (low, high) = small_file(all_lines, F.col(size)), window(all_lines, F.col(at))
-    is_span = method != "window"
-    low = F.when(is_span, first).when(whole, F.lit(0)).otherwise(low)
-    high = pick([(ok, F.col(name)) for name, ok in fits], F.when(whole, F.size(all_lines) - 1).otherwise(high))
-    content = F.when(~is_span & whole, F.array_join(all_lines, "\n")).otherwise(joined(all_lines, low, high, "\n"))
-    return [method.alias("method"), (~is_span & whole).alias("full_file"), low.cast("long").alias("first_line"), high.cast("long").alias("last_line"), content.alias("content")]
+def cascade(rows: DataFrame) -> DataFrame:
+    """Adds method, full_file, first_line, last_line and content: the first useful span of braces, body and declaration, else the lines around ``at`` or a small file.
+
+    ``rows``: lines, size, at (-1 without an anchor) and start.  An end is looked for only where those before gave nothing.
+    """
+    useful = lambda end: F.coalesce(is_useful(F.col("lines"), F.col("start"), F.col(end)), F.lit(False)) & (F.col("at") >= 0)
+    none = F.col("method").isNull()
+    rows = with_brace_end(rows, "_brace")
+    rows = rows.withColumn("method", F.when(useful("_brace"), "brace"))
+    rows = with_indent_end(rows, "_indent", none)
+    rows = rows.withColumn("method", F.when(none & useful("_indent"), "indent").otherwise(F.col("method")))
+    rows = with_declaration_end(rows, "_declaration", none)
+    rows = rows.withColumn("method", F.when(none & useful("_declaration"), "declaration").when(none, "window").otherwise(F.col("method")))
+    whole, (low, high) = small_file(F.col("lines"), F.col("size")), window(F.col("lines"), F.col("at"))
+    is_span = F.col("method") != "window"
+    rows = rows.withColumn("full_file", ~is_span & whole)
+    rows = rows.withColumn("first_line", F.when(is_span, F.col("start")).when(F.col("full_file"), F.lit(0)).otherwise(low).cast("long"))
+    last = reduce(lambda found, m: found.when(F.col("method") == m, F.col(f"_{m}")), ("indent", "declaration"), F.when(F.col("method") == "brace", F.col("_brace")))
+    rows = rows.withColumn("last_line", last.when(F.col("full_file"), F.size("lines") - 1).otherwise(high).cast("long"))
+    content = F.when(F.col("full_file"), F.array_join("lines", "\n")).otherwise(joined(F.col("lines"), F.col("first_line"), F.col("last_line"), "\n"))
+    return rows.withColumn("content", content).drop("_brace", "_indent", "_declaration")
