@@ -45,10 +45,15 @@ s AS (SELECT d.lang AS project, t.doc_id, '--- File: ' || path || ' (' || CASE W
   || CASE WHEN bytes <= {limit} THEN content ELSE head || chr(10) || '... [cut ' || (bytes - strlen(head) - strlen(tail)) || ' bytes] ...' || chr(10) || tail END || chr(10) || '--- End File ---' || chr(10) AS section FROM t JOIN documents d USING (doc_id))"""
 
 
-def _fitted_sql(head: str, limit: int, trim: int) -> str:
-    return f"""WITH {_sections_sql(trim)}, k AS (SELECT project, section, row_number() OVER w AS k, sum(strlen(section)) OVER w AS upto FROM s WINDOW w AS (PARTITION BY project ORDER BY doc_id)),
+def fitted_ctes(head: str, limit: int) -> str:
+    """p(project, n, kept, prompt) from s(project, doc_id, section)."""
+    return f"""k AS (SELECT project, section, row_number() OVER w AS k, sum(strlen(section)) OVER w AS upto FROM s WINDOW w AS (PARTITION BY project ORDER BY doc_id)),
 m AS (SELECT project, count(*) AS n, coalesce(max(k) FILTER (WHERE upto + strlen({head.format("k")}) <= {limit}), 0) AS kept FROM k GROUP BY project),
-p AS (SELECT m.project, n, kept, {head.format("kept")} || coalesce((SELECT string_agg(section, '' ORDER BY k) FROM k WHERE k.project IS NOT DISTINCT FROM m.project AND k.k <= m.kept), '') AS prompt FROM m)
+p AS (SELECT m.project, n, kept, {head.format("kept")} || coalesce((SELECT string_agg(section, '' ORDER BY k) FROM k WHERE k.project IS NOT DISTINCT FROM m.project AND k.k <= m.kept), '') AS prompt FROM m)"""
+
+
+def _fitted_sql(head: str, limit: int, trim: int) -> str:
+    return f"""WITH {_sections_sql(trim)}, {fitted_ctes(head, limit)}
 SELECT project, kept::BIGINT AS kept, (n - kept)::BIGINT AS dropped, strlen(prompt)::BIGINT AS size, prompt FROM p"""
 
 
