@@ -122,7 +122,7 @@ class _Page:
 
     def _read(self, html: str) -> None:
         at, node, run, links, tag = 0, 0, None, 0, self.tag
-        for m in self._tokens(html):
+        for m, empty in self._tokens(html):
             start = m.start() if m else len(html)
             if start > at and not self.out[node]:
                 piece = unescape(html[at:start])
@@ -168,19 +168,21 @@ class _Page:
                     if up > 0:
                         node, links = self._close(node, up, links)
             made = self._open(name, m["attrs"] or m["attrs2"] or "", node)
-            if name not in _VOID:
+            if name not in _VOID and not empty:
                 if name == "a":
                     links += 1
                 node = made
                 self._count(made, 1)
 
     @staticmethod
-    def _tokens(html: str) -> Iterator[re.Match | None]:
-        """Tokens with the contents of raw elements passed over, whatever their spelling; one without an end tag reaches to the page's end, or is empty if it closes itself."""
+    def _tokens(html: str) -> Iterator[tuple[re.Match | None, bool]]:
+        """Tokens, and whether they are elements without contents; contents of raw elements are passed over, whatever their spelling.
+
+        A raw element without an end tag reaches to the page's end; if it closes itself, it has no contents.
+        """
         at, unclosed = 0, set()
         while m := _TOKEN.search(html, at):
-            yield m
-            at = m.end()
+            at, empty = m.end(), False
             name = (m["tag"] or m["tag2"] or "").lower()
             if name in _RAW and not (m["end"] or m["end2"]):
                 close = None if name in unclosed else re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
@@ -188,9 +190,10 @@ class _Page:
                     at = close.start()
                 else:
                     unclosed.add(name)
-                    if not (m["attrs"] or m["attrs2"] or "").endswith("/"):
-                        at = len(html)
-        yield None
+                    empty = (m["attrs"] or m["attrs2"] or "").endswith("/")
+                    at = at if empty else len(html)
+            yield m, empty
+        yield None, False
 
 
 #: What reaches a container of a run's points, by the containers between.
