@@ -15,7 +15,7 @@ from treeloom.llm.storage import saved, table
 
 
 #: Rows that go to a Python worker at once.  With texts of kilobytes Spark's default of 10,000 makes batches of tens of megabytes, which the
-#: JVM and the worker hold several times over.  The stages lower the session's setting to this.
+#: JVM and the worker hold several times over.  The stages lower the session's setting to this; run() gives the caller's back.
 BATCH_ROWS = 2_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -81,7 +81,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{i}")
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(_BATCH)
+    try:
+        for i, (_, stage) in enumerate(STAGES):
+            docs = saved(stage(spark, docs, sf_dir), f"stage-{i}")
+    finally:
+        spark.conf.set(_BATCH, before)
     return docs
