@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeloom.functions import classify as C
 from treeloom.functions import names as N
 from treeloom.operators import topology as T
-from treeloom.operators.ranking import joined, top_k, within_budget
+from treeloom.operators.ranking import top_k
 from treeloom.sources.corpus import DIR_SQL, NAME_SQL, files
 
 
@@ -217,9 +217,12 @@ def _budget(limit: int) -> str:
 
 
 def _kept_lines(f: DataFrame, limit: int) -> DataFrame:
-    # No more than MAX_PACKAGES lines can stay, so that the windows below see no others.
-    first = T.package_lines(T.candidates(f)).orderBy("dir").limit(N.MAX_PACKAGES)
-    return within_budget(first, [], ["dir"], F.octet_length("line") + 1, limit).withColumn("ord", F.row_number().over(Window.orderBy("dir")).cast("long"))
+    """(dir, line, used, ord, kept) of the first lines, one more than can stay: whether any was left out shows there."""
+    first = T.package_lines(T.candidates(f)).orderBy("dir").limit(N.MAX_PACKAGES + 1)
+    whole = Window.orderBy("dir")  # MAX_PACKAGES + 1 rows at most
+    used = F.sum(F.octet_length("line") + 1).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = first.withColumns({"used": used, "ord": F.row_number().over(whole).cast("long")})
+    return ranked.withColumn("kept", (F.col("used") <= limit) & (F.col("ord") <= N.MAX_PACKAGES))
 
 
 def _budget_sql(limit: int) -> str:
@@ -228,7 +231,7 @@ def _budget_sql(limit: int) -> str:
 
 @query(_budget_sql(N.MAP_BYTES))
 def topology_budget(f: DataFrame, limit: int = N.MAP_BYTES) -> DataFrame:
-    return _kept_lines(f, limit).select("dir", "line", "used", "ord")
+    return _kept_lines(f, limit).where("kept").select("dir", "line", "used", "ord")
 
 
 def _text_sql(limit: int) -> str:
@@ -237,10 +240,10 @@ def _text_sql(limit: int) -> str:
 
 @query(_text_sql(N.MAP_BYTES))
 def topology_text(f: DataFrame, limit: int = N.MAP_BYTES) -> DataFrame:
-    kept = _kept_lines(f, limit).agg(joined("line", "ord", "\n").alias("body"), F.count("*").alias("shown"))
-    total = T.package_lines(T.candidates(f)).agg(F.count("*").alias("total"))
-    more = F.when(F.col("total") > F.col("shown"), "\n... [shortened to fit] ...").otherwise("")
-    return kept.join(F.broadcast(total), how="cross").select(F.concat(F.lit("[SOURCE TREE]\n"), F.col("body"), more).alias("map"))  # one row each
+    shown = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("ord", "line"))))  # MAX_PACKAGES lines at most
+    found = _kept_lines(f, limit).agg(shown.alias("shown"), F.count("*").alias("n"))
+    more = F.when(F.col("n") > F.size("shown"), "\n... [shortened to fit] ...").otherwise("")
+    return found.select(F.concat(F.lit("[SOURCE TREE]\n"), F.array_join(F.transform("shown", lambda x: x["line"]), "\n"), more).alias("map"))
 
 
 def _dir_sql(limit: int) -> str:
