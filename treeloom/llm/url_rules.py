@@ -19,8 +19,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: A combination counts from this share of the labelled URLs on, and from this many; a rule blocks from this confidence on,
 #: if the lower end of the confidence's 95 % interval (Wilson's) is LIFT times the share of bad URLs at least.
 SUPPORT, LEAST_COUNT, CONFIDENCE, LIFT, Z = 0.002, 5, 0.6, 1.2, 1.96
-#: Sets of tokens that are broadcast at most; more are joined by a shuffle.
-FEW_SETS = 100_000
+#: Bytes of token sets that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -127,7 +127,9 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("coalesce(quality = 0, false) or coalesce(toxic = 1, false)")).alias("bad"))
     rules = mine_rules(parts.join(bad, parts.page_id == bad.doc_id).select("tokens", "bad"))
     found = saved(matches(parts, rules), "matches")
-    found = F.broadcast(found) if found.count() <= FEW_SETS else found
+    # A row's bytes: its tokens, a word for each, and its fields.
+    size = found.agg(F.sum(F.octet_length(F.array_join("tokens", "")) + 16 * F.size("tokens") + 64)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
     rule, verdict = given_rule()
     mined = F.when(F.col("n_rules") > 0, "block").otherwise("allow")
     return parts.join(found, "tokens", "left").select(
