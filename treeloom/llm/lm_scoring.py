@@ -31,7 +31,7 @@ from treeloom.llm.words import chunks, hash_words, shingle_keys
 
 ORDER, ALPHA = 3, 0.4
 #: Bytes of text in a part, of text in a piece of it, and of keys in a bucket, about.
-PART_BYTES, PIECE_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 64 << 20
+PART_BYTES, PIECE_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 32 << 20
 _TEXT, _KEYS = pa.Codec("zstd", 6), pa.Codec("zstd", 1)
 
 
