@@ -22,16 +22,21 @@ _EVENT = "struct<kind:string,target:string,error:string,first:int,last:int>"
 
 def reply_lines(text: Column) -> Column:
     """Lines as a reader of lines gives them: no carriage return at their ends, no line behind a last line end."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.endswith(x, F.lit("\r")), F.left(x, F.length(x) - 1)).otherwise(x))
     return F.when(text == "", F.array().cast("array<string>")).when(F.endswith(text, F.lit("\n")), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
-def _mark(x: Column, i: Column) -> Column:
-    t = trim(x)
-    shut = F.endswith(t, F.lit(TAIL))
-    kind = F.when(t == END, "end").when(F.startswith(t, F.lit(FILE)) & shut, "write").when(F.startswith(t, F.lit(DELETE)) & shut, "delete").when(F.startswith(t, F.lit("```")), "fence")
-    inner = F.regexp_replace(F.regexp_replace(t, f"^({FILE}|{DELETE})", ""), f"{TAIL}$", "")
-    return F.struct(i.alias("i"), kind.alias("kind"), inner.alias("target"))
+def _marks(lines: Column) -> Column:
+    """Array of struct(i, kind, target): the lines that may be marks or fences, told by how they begin before anything else is looked at."""
+    near = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), trim(x).alias("t"))), lambda m: F.startswith(m["t"], F.lit("--- ")) | F.startswith(m["t"], F.lit("```")))
+
+    def mark(m: Column) -> Column:
+        t, shut = m["t"], F.endswith(m["t"], F.lit(TAIL))
+        kind = F.when(t == END, "end").when(F.startswith(t, F.lit(FILE)) & shut, "write").when(F.startswith(t, F.lit(DELETE)) & shut, "delete").when(F.startswith(t, F.lit("```")), "fence")
+        inner = F.regexp_replace(F.regexp_replace(t, f"^({FILE}|{DELETE})", ""), f"{TAIL}$", "")
+        return F.struct(m["i"].alias("i"), kind.alias("kind"), inner.alias("target"))
+
+    return F.filter(F.transform(near, mark), lambda m: m["kind"].isNotNull())
 
 
 def with_events(rows: DataFrame, lines: str = "lines") -> DataFrame:
@@ -41,9 +46,7 @@ def with_events(rows: DataFrame, lines: str = "lines") -> DataFrame:
     the last line and writes nothing).  Inside a block only its end counts; in a Markdown file an end mark between fences is content.  Marks whose
     path is an example's (angle brackets, "(Extracted Block)") are text.
     """
-    marks = F.filter(F.transform(lines, _mark), lambda m: m["kind"].isNotNull())
-    # path_error works on columns by name; paths are checked with the marks taken apart.
-    seen = rows.withColumn("_marks", marks)
+    seen = rows.withColumn("_marks", _marks(F.col(lines)))
     checked = F.transform("_marks", lambda m: F.struct(
         m["i"].alias("i"), m["kind"].alias("kind"), m["target"].alias("target"), path_error(trim(m["target"])).alias("error"),
         (m["target"].rlike("[<>]") | F.contains(m["target"], F.lit("(Extracted Block)"))).alias("example"), F.lower(F.regexp_extract(m["target"], r"([.][^./]*)$", 1)).isin(MARKDOWN).alias("markdown"),
