@@ -7,14 +7,15 @@ keys, and the order is cut into fragments:
    each size class the order is cut into more fragments than that, so that two similar sets agree wholly on at least
    one fragment that isn't empty.  Each document sends a key for each of its non-empty segments.  A document so lumpy
    that this cannot be promised also sends its shingles of a prefix filter.  Frequent shingles do no harm: whole
-   segments must agree.  Sketches (size and hash of each of 64 fragments) bound the differences of a pair from below and
-   drop hopeless pairs before any set is moved.
+   segments must agree.  Sketches (size and hash of each of 64 fragments or more, of about 8 shingles at most) bound the
+   differences of a pair from below and drop hopeless pairs before any set is moved.
 2. *Overlaps.*  The order is cut into a few coarse fragments.  For each candidate pair the overlap is counted in each
    fragment separately (joins on set and fragment) and summed per pair; the sum decides.
 
 Equal sets hang on their smallest id, outside the graph of links, and are never paired.  Within a bucket of equal segments, members are first
 compared with one hub; only members that the links found so far leave in different components are then compared with each
-other, block of documents by block (there a task takes a pair of blocks, fragment after fragment), so a group of near copies costs its size, and no link between components is lost.
+other: pair by pair in buckets of bounded size, so that large texts that share a segment by chance meet no others, and block of documents by
+block in larger ones (there a task takes a pair of blocks, fragment after fragment), so a group of near copies costs its size.  No link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ from treeloom.llm.words import chunks, hash_words, mix64, sequence_key, shingle_
 
 SIZE_RATIO = 1.6
 COARSE_FRAGMENTS = 8
-#: Fragments of a sketch.
-SKETCH = 64
+#: Least fragments of a sketch, and shingles that a fragment holds on average at most; the number of fragments is doubled until that holds.
+SKETCH, SKETCH_SHINGLES = 64, 8
+#: Members of a bucket that are compared pair by pair at most.
+BUCKET_PAIRS = 16
 #: Orders that are tried for a document whose shingles fall too unevenly, before a prefix filter.
 ORDERS = 4
 #: Documents and shingles of a block.
@@ -175,26 +178,39 @@ def segments(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, hi, lo, sketch): size and 16 bits of hash of each of SKETCH fine fragments, for lower bounds of differences."""
+    """(doc_id, hi, lo, sketch): size and 16 bits of hash of each of SKETCH or more fine fragments, for lower bounds of differences.
+
+    Both are sums (the hash modulo 2**16), so that two neighbours of a fine sketch add up to one of the next coarser sketch.
+    """
 
     def emit(ids, texts):
         owner, keys, sizes = sets_of(texts, n)
         hi, lo = _set_ids(owner, keys, sizes)
-        part = owner * SKETCH + (keys >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
-        count = np.bincount(part, minlength=len(texts) * SKETCH)
-        mark = np.zeros(len(texts) * SKETCH, dtype=np.uint64)
+        steps = np.ceil(np.log2(np.maximum(sizes / (SKETCH * SKETCH_SHINGLES), 1))).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(SKETCH << steps)])
+        shift = (64 - SKETCH.bit_length() + 1 - steps).astype(np.uint64)
+        part = first[owner] + (keys >> shift[owner]).astype(np.int64)
+        count = np.bincount(part, minlength=first[-1])
+        mark = np.zeros(first[-1], dtype=np.uint64)
         at = np.flatnonzero(np.diff(part, prepend=-1))
         if len(at):
-            mark[part[at]] = np.add.reduceat(mix64(keys), at) >> np.uint64(48)
-        both = np.stack([np.minimum(count, 65535).astype(np.uint16), mark.astype(np.uint16)], axis=1).reshape(len(texts), -1)
-        data = pa.array([row.tobytes() for row in both], pa.binary())
+            mark[part[at]] = np.add.reduceat(mix64(keys), at) & np.uint64(0xFFFF)
+        both = np.stack([np.minimum(count, 65535).astype(np.uint16), mark.astype(np.uint16)], axis=1)
+        data = pa.array([both[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi), pa.array(lo), data], ["doc_id", "hi", "lo", "sketch"])
 
     return docs.mapInArrow(_over_texts(emit), "doc_id long, hi long, lo long, sketch binary")
 
 
+def _read_sketches(data: list[bytes], parts: int) -> np.ndarray:
+    """(sketch, fragment, size and hash) of sketches of one length, in ``parts`` fragments."""
+    whole = np.frombuffer(b"".join(data), dtype=np.uint16).astype(np.int64).reshape(len(data), parts, -1, 2).sum(axis=2)
+    whole[..., 1] &= 0xFFFF
+    return whole
+
+
 def _may_link(left: np.ndarray, right: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether sketches (.., SKETCH, 2) allow a link: unlike fragments differ by their sizes' difference, and by 2 if those are equal."""
+    """Whether sketches (.., fragments, 2) allow a link: unlike fragments differ by their sizes' difference, and by 2 if those are equal."""
     apart = np.abs(left[..., 0].astype(np.int64) - right[..., 0])
     least = np.where(left[..., 1] == right[..., 1], apart, np.where(apart == 0, 2, apart)).sum(axis=-1)
     return den * (a_size + b_size - least) >= num * (a_size + b_size + least)
@@ -233,8 +249,16 @@ def _promising(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, SKETCH, 2) for c in ("a_sketch", "b_sketch"))
-            keep = _may_link(left, right, batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy(), num, den)
+            left, right = (np.array(batch.column(c).to_pylist(), dtype=object) for c in ("a_sketch", "b_sketch"))
+            a_size, b_size = (batch.column(c).to_numpy() for c in ("a_size", "b_size"))
+            parts = np.array([(len(a) // 4, len(b) // 4) for a, b in zip(left, right, strict=True)], dtype=np.int64).reshape(-1, 2)
+            keep = np.zeros(len(parts), dtype=bool)
+            for lengths in np.unique(parts, axis=0):
+                alike = np.flatnonzero((parts == lengths).all(axis=1))
+                for low in range(0, len(alike), TILE):
+                    at = alike[low : low + TILE]
+                    a, b = (_read_sketches(side[at].tolist(), int(lengths.min())) for side in (left, right))
+                    keep[at] = _may_link(a, b, a_size[at], b_size[at], num, den)
             yield batch.select(names).filter(pa.array(keep))
 
     return both.where(alike).select(*names, "a_sketch", "b_sketch").mapInArrow(run, ", ".join(f"{c} long" for c in names))
@@ -276,6 +300,13 @@ def _with_hubs(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return rows.withColumn("hub", F.coalesce("top", first)).where("hub <> doc_id").select("segment", "doc_id", "hub")
 
 
+def _bucket_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): two members of a bucket in different components, less the pairs with the bucket's hub, which are compared already."""
+    side = lambda x: rows.select("segment", "hub", F.col("doc_id").alias(x), F.col("component").alias(f"{x}_component"))
+    both = side("a").join(side("b").drop("hub"), "segment").where("a < b and a <> hub and a_component <> b_component")
+    return both.select("a", "b").distinct()
+
+
 def _blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(block, doc_id, component, size, hi, lo, sketch): members of buckets in blocks of bounded size, neighbours of like size together."""
     # The least hub of the buckets' least hubs: what shares buckets mostly shares a family.
@@ -324,16 +355,26 @@ def _likely(blocks: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
     def pick(key: tuple, table: pa.Table) -> pa.Table:
         x, y = (k.as_py() for k in key)
         block, doc, component, size = (table.column(c).to_numpy() for c in ("block", "doc_id", "component", "size"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, SKETCH, 2)
+        data = np.array([*table.column("sketch").to_pylist(), b""], dtype=object)[:-1]
+        parts = np.array([len(d) // 4 for d in data], dtype=np.int64)
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         out: set[int] = set()
-        for i in left.tolist():
-            near = (component[right] != component[i]) & (den * np.minimum(size[right], size[i]) >= num * np.maximum(size[right], size[i]))
-            near = right[near]
-            near = near[_may_link(sketch[i][None], sketch[near], size[i], size[near], num, den)]
-            if len(near):
-                out.add(i)
-                out.update(near.tolist())
+        for fine in np.unique(parts[right]).tolist():
+            some = right[parts[right] == fine]
+            read: dict[int, np.ndarray] = {}
+            for i in left.tolist():
+                # Of two sketches the finer one is read as one of the other's length.
+                least = min(fine, int(parts[i]))
+                near = (component[some] != component[i]) & (den * np.minimum(size[some], size[i]) >= num * np.maximum(size[some], size[i]))
+                if not near.any():
+                    continue
+                if least not in read:
+                    read[least] = _read_sketches(data[some].tolist(), least)
+                near = np.flatnonzero(near)
+                near = some[near[_may_link(_read_sketches([data[i]], least), read[least][near], size[i], size[some[near]], num, den)]]
+                if len(near):
+                    out.add(i)
+                    out.update(near.tolist())
         at = np.array(sorted(out), dtype=np.int64)
         return pa.table({"x": pa.array(np.full(len(at), x)), "y": pa.array(np.full(len(at), y)), "doc_id": pa.array(doc[at])})
 
@@ -419,22 +460,27 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     discard(pieces, wanted, pairs, ids)
     first = connected_components(inner.unionByName(near))
 
-    # Members of one bucket that are still in different components: compared block by block.
+    # Members of one bucket that are still in different components: compared pair by pair, or block by block in large buckets.
     rows = members.select("segment", "doc_id", "hub").unionByName(members.select("segment", F.col("hub").alias("doc_id"), "hub").distinct())
     rows = rows.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = rows.groupBy("segment").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("segment")
-    rows = saved(rows.join(split, "segment", "left_semi"), "split")
+    split = rows.groupBy("segment").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
+    # Two members are the hub and one that was compared with it.
+    rows = saved(rows.join(split.where("x <> y and members > 2").select("segment", "members"), "segment"), "split")
     discard(members)
-    blocks = saved(_blocks(rows, drawn, num, den), "blocks")
-    block_pairs = _block_pairs(rows, blocks, num, den)
+    large = rows.where(F.col("members") > BUCKET_PAIRS)
+    pairs = saved(_promising(_bucket_pairs(rows.where(F.col("members") <= BUCKET_PAIRS)), drawn, num, den), "pairs")
+    blocks = saved(_blocks(large, drawn, num, den), "blocks")
+    block_pairs = _block_pairs(large, blocks, num, den)
     discard(rows, drawn)
     likely = _likely(blocks, block_pairs, num, den)
-    wanted = saved(likely.select("doc_id").distinct(), "wanted")
+    wanted = likely.select("doc_id").unionByName(pairs.select(F.col("a").alias("doc_id"))).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    wanted = saved(wanted.distinct(), "wanted")
     pieces = _pieces(docs, wanted, n, unique)
+    close = saved(_similar(pairs, pieces, num, den), "close")
     more = _block_links(likely, blocks, pieces, num, den)
-    discard(pieces, wanted, likely, blocks, block_pairs)
-    last = connected_components(more.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-    discard(more, near, reps)
+    discard(pieces, wanted, likely, blocks, block_pairs, pairs)
+    last = connected_components(more.unionByName(close).unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    discard(more, close, near, reps)
 
     hanging = leaves.join(last, leaves.b == last.id, "left").select(leaves.a.alias("id"), F.coalesce("component", "b").alias("component"))
     last = last.unionByName(hanging)
