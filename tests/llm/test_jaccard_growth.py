@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.test_llm_operators import components, shingle_sets
@@ -52,3 +53,44 @@ def test_buckets_by_pairs_or_blocks_against_all_pairs(spark, monkeypatch, bucket
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert 5 < len(set(want.values())) < len(rows)
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def shared_segments(sets):
+    """(segments that more than one set sends, segments in all) of arrays of distinct keys."""
+    sizes = np.array([len(s) for s in sets])
+    _, segment = jaccard_join._segment_keys(np.repeat(np.arange(len(sets)), sizes), np.concatenate([np.sort(s) for s in sets]), sizes, 85, 100)
+    found, count = np.unique(segment, return_counts=True)
+    return int((count > 1).sum()), len(segment)
+
+
+def fresh(rng, n, lumpy=False):
+    keys = rng.integers(0, 2**64, n, dtype=np.uint64)
+    return np.unique((keys >> np.uint64(40)) + rng.choice(keys[:3], n) if lumpy and n else keys)
+
+
+def test_unrelated_texts_with_common_lines_share_few_segments():
+    rng = np.random.default_rng(1)
+    for size in (150, 300, 1000):
+        common = fresh(rng, size // 10)
+        sets = [np.unique(np.concatenate([common, fresh(rng, size - len(common) + int(rng.integers(0, 30)))])) for _ in range(200)]
+        shared, sent = shared_segments(sets)
+        assert shared <= 2 * 200 / 100
+        # One for each difference and one more, in the own class and at most one beside.
+        assert sent <= 2 * sum(15 * len(s) // 85 + 1 for s in sets)
+
+
+@pytest.mark.parametrize("lumpy", [False, True])
+def test_sets_at_the_edge_of_a_link_share_a_segment(lumpy):
+    rng, edges = np.random.default_rng(2), 0
+    for _ in range(400):
+        n = int(rng.integers(1, 4000) if rng.random() < 0.5 else rng.integers(1, 60))
+        base = rng.permutation(fresh(rng, n, lumpy))
+        gone = int(rng.integers(0, 15 * n // 100 + 1))
+        # As many new keys as the threshold allows.
+        new = max(0, 100 * (n - gone) // 85 - n)
+        other = np.unique(np.concatenate([base[gone:], fresh(rng, new, lumpy)]))
+        both = len(np.intersect1d(base, other))
+        if both and 100 * both >= 85 * (len(base) + len(other) - both):
+            edges += 1
+            assert shared_segments([base, other])[0]
+    assert edges > 200

@@ -5,8 +5,10 @@ keys, and the order is cut into fragments:
 
 1. *Candidates.*  Two sets of similarity t differ in at most ``(1-t)/t * m`` shingles, m being the smaller size.  For
    each size class the order is cut into more fragments than that, so that two similar sets agree wholly on at least
-   one fragment that isn't empty.  Each document sends a key for each of its non-empty segments.  A document so lumpy
-   that this cannot be promised also sends its shingles of a prefix filter.  Frequent shingles do no harm: whole
+   one fragment that isn't empty.  With m differences at most, a document sends keys for its m + 1 largest segments only:
+   similar sets agree on all but m of their segments, and the largest of those is among the m + 1 largest of both.  Segments of
+   one or two shingles, which unrelated texts share by chance, so stay at home.  A document so lumpy
+   that agreement cannot be promised also sends its shingles of a prefix filter.  Frequent shingles do no harm: whole
    segments must agree.  Sketches (size and hash of each of 64 fragments or more, of about 8 shingles at most) bound the
    differences of a pair from below and drop hopeless pairs before any set is moved.
 2. *Overlaps.*  The order is cut into a few coarse fragments.  For each candidate pair the overlap is counted in each
@@ -35,6 +37,8 @@ from treeloom.llm.storage import columns, discard, saved, table
 from treeloom.llm.words import chunks, hash_words, mix64, sequence_key, shingle_keys
 
 SIZE_RATIO = 1.6
+#: Fragments of a size class for each difference: the more, the more of the small ones need not be sent, but the smaller all are.
+SPARE_FRAGMENTS = 1.3
 COARSE_FRAGMENTS = 8
 #: Least fragments of a sketch, and shingles that a fragment holds on average at most; the number of fragments is doubled until that holds.
 SKETCH, SKETCH_SHINGLES = 64, 8
@@ -62,7 +66,7 @@ def size_classes(num: int, den: int, top: int = 1 << 40) -> tuple[np.ndarray, np
     while low < top:
         nxt = int(low * SIZE_RATIO) + 1
         differ = (den - num) * (nxt - 1) // num
-        parts = differ + 1
+        parts = math.ceil(SPARE_FRAGMENTS * differ) + 1
         while differ and parts < 2 * differ and parts - differ <= (e := parts * math.exp(-low / parts)) + 1.3 * math.sqrt(e):
             parts += 1 + differ // 500
         first.append(low)
@@ -103,7 +107,10 @@ def _set_ids(owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> tuple[np
 
 
 def _segment_keys(owner, keys, sizes, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key) of every segment that a document offers for candidates."""
+    """(owner, key) of the segments that a document offers for candidates: of each order its largest ones, one more than its differences.
+
+    Equal segments have equal sizes and keys, so all documents drop by one order, and the largest segment that two similar sets share is sent by both.
+    """
     first, most, cut = size_classes(num, den)
     own = np.searchsorted(first, sizes, side="right") - 1
     owners, out = [], []
@@ -113,6 +120,8 @@ def _segment_keys(owner, keys, sizes, num: int, den: int) -> tuple[np.ndarray, n
         use = (sizes > 0) & (own >= back)
         if back:
             use &= den * (first[own] - 1) >= num * sizes
+        # The smaller of two similar sets bounds their differences, and is of this class.
+        differ = np.minimum(most[cls], (den - num) * sizes // num)
         for order in range(ORDERS):
             pick = use[owner]
             o, k = owner[pick], keys[pick]
@@ -127,11 +136,16 @@ def _segment_keys(owner, keys, sizes, num: int, den: int) -> tuple[np.ndarray, n
             edge[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
             at = np.flatnonzero(edge)
             label = mix64(part[at] * np.uint64(4099) + (cls[o[at]] * ORDERS + order).astype(np.uint64) + np.uint64(1))
-            owners.append(o[at])
-            out.append(mix64(np.add.reduceat(mix64(k), at) ^ label))
+            segment, own_at = mix64(np.add.reduceat(mix64(k), at) ^ label), o[at]
+            filled = np.bincount(own_at, minlength=len(sizes))
+            by = np.lexsort((segment, -np.diff(at, append=len(o)), own_at))
+            rank = np.arange(len(by)) - np.repeat(np.cumsum(filled) - filled, filled)
+            by = by[rank <= differ[own_at]]
+            owners.append(own_at[by])
+            out.append(segment[by])
             # Where too many fragments are empty, two similar sets may agree on empty ones only; both then come here.
-            use &= np.bincount(o[at], minlength=len(sizes)) <= most[cls]
-            use &= most[cls] > 0
+            use &= filled <= differ
+            use &= differ > 0
         for i in np.flatnonzero(use).tolist():
             lo, hi = np.searchsorted(owner, [i, i + 1])
             prefix = keys[lo : lo + (hi - lo) - -(-(hi - lo) * num // den) + 1]
