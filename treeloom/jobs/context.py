@@ -15,6 +15,7 @@ from treeloom.operators import modules as O
 from treeloom.operators import review as R
 from treeloom.operators import selectors as S
 from treeloom.operators.ranking import top_k
+from treeloom.operators.spans import trim
 from treeloom.sources.corpus import files, table
 
 QUERIES, ORACLE = {}, {}
@@ -178,7 +179,7 @@ SELECT d.doc_id, coalesce(any_value(p), '  (blank)') AS preview FROM documents d
 def goal_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three lines that aren't blank, trimmed and cut to whole code points."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    lines = F.slice(F.filter(F.transform(F.split("text", "\n"), S.trim), lambda x: x != ""), 1, N.GOAL_LINES)
+    lines = F.slice(F.filter(F.transform(F.split("text", "\n"), trim), lambda x: x != ""), 1, N.GOAL_LINES)
     shown = F.transform(lines, lambda x: F.concat(F.lit("  "), first_bytes(x, N.GOAL_BYTES), F.when(F.octet_length(x) > N.GOAL_BYTES, "...").otherwise("")))
     return docs.select("doc_id", F.when(F.size(shown) == 0, "  (blank)").otherwise(F.array_join(shown, "\n")).alias("preview"))
 

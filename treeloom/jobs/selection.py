@@ -9,7 +9,7 @@ from treeloom.functions import names as N
 from treeloom.jobs.mapping import FILES
 from treeloom.operators import selectors as S
 from treeloom.operators.review import trimmed
-from treeloom.sources.corpus import DIR_SQL, NAME_SQL, files, table
+from treeloom.sources.corpus import DIR_SQL, NAME_SQL, files, skipping, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -25,7 +25,7 @@ def selector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(req_id, seq, role, line) of ``conversations``."""
     turns = table(spark, sf_dir, "conversations")
     # A generator keeps the long expression in one place, where filters would repeat it in generated code.
-    return turns.select(F.col("conv_id").alias("req_id"), F.col("turn").alias("seq"), "role", F.explode(F.array(F.expr(_LINE_SQL))).alias("line"))
+    return turns.select(F.col("conv_id").alias("req_id"), F.col("turn").alias("seq"), "role", F.explode(F.array(F.expr(skipping(_LINE_SQL)))).alias("line"))
 
 
 _LINES = f"sel AS (SELECT conv_id AS req_id, turn AS seq, role, {_LINE_SQL} AS line FROM conversations)"
