@@ -39,3 +39,8 @@ def test_lines_that_are_null_or_end(spark):
     rows = spark.createDataFrame([(0, None), (1, "FILE: a.go\n"), (2, "NEAR: a.go#x\n"), (3, "NEAR: a.go#x\r\n"), (4, "\n"), (5, "NEAR: a\n.go#x")], "i int, line string")
     got = [(r.type, r.sel_path, r.pattern, r.code) for r in S.parse(rows).orderBy("i").collect()]
     assert got == [("", "", "", "blank"), ("FILE", "a.go", "", "ok"), ("", "", "", "not_a_selector"), ("", "", "", "not_a_selector"), ("", "", "", "blank"), ("NEAR", "a\n.go", "x", "ok")]
+
+
+def test_strict(spark, odd):
+    got = {r.req_id: (r.n_lines, r.n_ok, r.accepted) for r in same(spark, odd, "strict_selectors")}
+    assert (got[-3], got[1], got[3], got[10]) == ((1, 0, False), (6, 1, False), (5, 3, False), (5, 1, False))
