@@ -44,3 +44,9 @@ def test_lines_that_are_null_or_end(spark):
 def test_strict(spark, odd):
     got = {r.req_id: (r.n_lines, r.n_ok, r.accepted) for r in same(spark, odd, "strict_selectors")}
     assert (got[-3], got[1], got[3], got[10]) == ((1, 0, False), (6, 1, False), (5, 3, False), (5, 1, False))
+
+
+def test_superseded(spark, odd):
+    got = {(r.req_id, r.seq) for r in same(spark, odd, "supersede")}
+    # Turns 2 of the requests 1 and 3 of the first group: a line end in the pattern, and one that is none.
+    assert (0, 102) not in got and (0, 302) in got
