@@ -50,3 +50,8 @@ def test_superseded(spark, odd):
     got = {(r.req_id, r.seq) for r in same(spark, odd, "supersede")}
     # Turns 2 of the requests 1 and 3 of the first group: a line end in the pattern, and one that is none.
     assert (0, 102) not in got and (0, 302) in got
+
+
+def test_resolved_by_name(spark, odd):
+    got = {r.sel_path: r.resolved for r in same(spark, odd, "resolve_fuzzy")}
+    assert got["src/src1/en/f18.sql"] == "src//en/f18.sql" and got["public/en/f14.go"] == "public//f14.go"

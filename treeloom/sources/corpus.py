@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """(doc_id, dir, name, path, ext, size, text) of ``documents``, and expressions over its columns; text is read only where it is used."""
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{DIR_SQL} AS dir", f"{NAME_SQL} AS name", *more)
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{skipping(DIR_SQL)} AS dir", f"{skipping(NAME_SQL)} AS name", *more)
     path = F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat_ws("/", "dir", "name"))
     ext = F.regexp_extract("name", r"([.][^.]*)$", 1)
     return docs.select("doc_id", "dir", "name", path.alias("path"), ext.alias("ext"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text", *docs.columns[4:])
