@@ -52,6 +52,11 @@ def test_superseded(spark, odd):
     assert (0, 102) not in got and (0, 302) in got
 
 
+def test_resolved_exactly(spark, odd):
+    got = {(r.req_id, r.seq): (r.sel_path, r.found) for r in same(spark, odd, "resolve_exact")}
+    assert got[0, 0] == ("README.md", True) and got[4, 2] == ("public/en/f14.go", False) and not {(0, 2), (-3, 2), (10, 4)} & set(got)
+
+
 def test_resolved_by_name(spark, odd):
     got = {r.sel_path: r.resolved for r in same(spark, odd, "resolve_fuzzy")}
     assert got["src/src1/en/f18.sql"] == "src//en/f18.sql" and got["public/en/f14.go"] == "public//f14.go"
