@@ -60,3 +60,8 @@ def test_resolved_exactly(spark, odd):
 def test_resolved_by_name(spark, odd):
     got = {r.sel_path: r.resolved for r in same(spark, odd, "resolve_fuzzy")}
     assert got["src/src1/en/f18.sql"] == "src//en/f18.sql" and got["public/en/f14.go"] == "public//f14.go"
+
+
+def test_resolved_by_suffix(spark, odd):
+    got = {r.request: (r.status, r.path) for r in same(spark, odd, "resolve_suffix")}
+    assert got["f18.sql"] == ("found", "src//en/f18.sql") and got["f14.go"] == ("found", "public//f14.go") and None not in got
