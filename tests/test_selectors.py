@@ -65,3 +65,9 @@ def test_resolved_by_name(spark, odd):
 def test_resolved_by_suffix(spark, odd):
     got = {r.request: (r.status, r.path) for r in same(spark, odd, "resolve_suffix")}
     assert got["f18.sql"] == ("found", "src//en/f18.sql") and got["f14.go"] == ("found", "public//f14.go") and None not in got
+
+
+def test_verdicts_of_groups(spark, odd):
+    got = {r.grp: (r.n_ok, r.n_failed, r.n_excluded) for r in same(spark, odd, "extraction_verdict")}
+    # The texts of the group of turns 8 to 11 have line ends or nothing in their patterns: only the four FILE lines are selectors.
+    assert got[2] == (4, 0, 0)
